@@ -36,7 +36,7 @@ class Settings:
     evidence: float = 10.0
     rounds: int = 250
     rate: float = 0.3
-    shrink: float = 2e-4
+    shrink: float = 1e-5
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def _descend(rows: list, words: list[str], settings: Settings) -> tuple[dict[str, float], float]:
-    """Maximise the likelihood of the documents by Adam over all of them; classes weigh the same."""
+    """Maximise the likelihood of the documents by Adam over all of them."""
     doc, sent, word, y, bare = [], [], [], [], []
     for i, r in enumerate(rows):
         y.append(r.toxic)
@@ -120,8 +120,7 @@ def _descend(rows: list, words: list[str], settings: Settings) -> tuple[dict[str
             doc.append(i)
     doc_of, sent_of, word_of = (np.array(x, dtype=np.int64) for x in (doc, sent, word))
     target, empty = np.array(y, dtype=float), np.array(bare, dtype=float)
-    n, pos = len(target), max(1.0, target.sum())
-    each = np.where(target > 0, 0.5 / pos, 0.5 / max(1.0, n - pos))
+    n = len(target)
     w, b = np.zeros(len(words)), -6.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, settings.rounds + 1):
@@ -131,7 +130,7 @@ def _descend(rows: list, words: list[str], settings: Settings) -> tuple[dict[str
         log_clean = np.bincount(doc_of, clean, minlength=n) + empty * base
         # d(-log likelihood)/d(log_clean): 1 for other documents is -1; for toxic ones exp(lc) / (1 - exp(lc)).
         odds = np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-9)
-        pull = each * np.where(target > 0, odds, -1.0)
+        pull = np.where(target > 0, odds, -1.0) / n
         dz = -pull[doc_of] * np.exp(-np.logaddexp(0.0, -z))
         g = np.empty(len(words) + 1)
         g[:-1] = np.bincount(word_of, dz[sent_of], minlength=len(words)) + settings.shrink * w
