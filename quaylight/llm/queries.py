@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, tokencounts
+from . import exactdedup, langid, linededup, packing, simhash, tokencounts, topk, toxicity
 from .shared import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,46 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir), size=3, radius=3)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir), PIECES)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir), min_chars=20, min_docs=3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.context_limits(tokencounts.length_histogram(documents(spark, sf_dir), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op8_token_counts)}
-SQL: dict[str, str] = {}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_simhash_near_dedup,
+        op4_exact_dedup,
+        op5_toxicity,
+        op6_language_id,
+        op7_line_dedup,
+        op8_token_counts,
+        op10_exact_top_k,
+    )
+}
+SQL = {
+    "op4_exact_dedup": exactdedup.EXACT_SQL,
+    "op7_line_dedup": linededup.LINES_SQL,
+    "op10_exact_top_k": topk.TOP_K_SQL,
+}

@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: int = 3) -> DataFrame:
                         else:
                             lc = base
                         total += lc
-                    scores.append(float(-np.expm1(total)))
+                    scores.append(abs(float(np.expm1(total))))
                     spans.append([{"start": s, "end": e, "p": float(-np.expm1(lc))} for lc, s, e in sorted(worst)[:keep]])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "worst"])
