@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import slices
 
@@ -196,18 +197,20 @@ def scorer(model: Model) -> Scorer:
     return _SCORERS[model.name]
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score (the posterior of that language).
+def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with lang_pred and score (the posterior of that language) added.
 
-    ``docs`` needs doc_id and text; other columns are not read. Whole texts are scored. A text that is null or has
-    no letter is ``und`` with the score 0, as is every text without a model. Repeated rows are scored each.
+    ``docs`` needs text and no column of those names; the others are passed through. Whole texts are scored. A
+    text that is null or has no letter is ``und`` with the score 0, as is every text without a model. Repeated
+    rows are scored each.
     """
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if model is None else scorer(model)
         for batch in batches:
             langs, scores = [], []
-            for part in slices(x.as_py() for x in batch.column(1)):
+            for part in slices(x.as_py() for x in batch.column(at)):
                 for t in part:
                     total = own.text(t) if own else None
                     if total is None:
@@ -217,9 +220,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         best = int(total.argmax())
                         langs.append(model.languages[best])
                         scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+
+    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred and score; columns of ``docs`` but doc_id and text are not read."""
+    return predict_rows(docs.select(F.col("doc_id").cast("long"), "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def held_out_fold() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, langid, linededup, packing, simhash, tokencounts, topk, toxicity
+from . import chunkdedup, exactdedup, langid, linededup, mixing, packing, simhash, tokencounts, topk, toxicity
 from .shared import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir), size=3, radius=3)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_runs(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
@@ -40,6 +44,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.context_limits(tokencounts.length_histogram(documents(spark, sf_dir), VOCABULARY))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir).select("doc_id", "source"), block=16, slots=1000)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -50,16 +58,19 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_simhash_near_dedup,
+        op3_substring_dedup,
         op4_exact_dedup,
         op5_toxicity,
         op6_language_id,
         op7_line_dedup,
         op8_token_counts,
+        op9_source_mixing,
         op10_exact_top_k,
     )
 }
 SQL = {
     "op4_exact_dedup": exactdedup.EXACT_SQL,
     "op7_line_dedup": linededup.LINES_SQL,
+    "op9_source_mixing": mixing.MIX_SQL,
     "op10_exact_top_k": topk.TOP_K_SQL,
 }
