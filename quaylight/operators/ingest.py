@@ -46,7 +46,7 @@ def prepare(raw: DataFrame, load_id: str, mark: int) -> DataFrame:
     """Raw records → events: ids above the mark in order of arrival, the book's fingerprint, the day."""
     return (
         raw.withColumn("rec_id", F.monotonically_increasing_id() + mark + 1)
-        .withColumn("order_book_hash", book_hash(F.coalesce("levels", F.array().cast(S.MBP["levels"].dataType))))
+        .withColumn("order_book_hash", book_hash(F.coalesce("levels", F.array().cast(S.LEVELS))))
         .withColumn("day", day_of("ts_recv"))
         .withColumn("load_id", F.lit(load_id))
         .select(*S.MBP.names)

@@ -17,38 +17,51 @@ TRADE = 84  #: the code of a trade in ``action``
 DATASET_CODES = {"futures": 1, "equities": 2, "option": 3}
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "strings": T.ArrayType(T.StringType()),
+}
+
+
+def columns(spec: str, **more: T.DataType) -> T.StructType:
+    """"name type, name type" as a type, without a session; ``more`` names further types."""
+    kinds = _TYPES | more
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in spec.split(","))])
 
 
-LEVEL = "struct<depth:int,bid_px:bigint,bid_sz:bigint,bid_ct:bigint,ask_px:bigint,ask_sz:bigint,ask_ct:bigint>"
+LEVEL = columns("depth int, bid_px bigint, bid_sz bigint, bid_ct bigint, ask_px bigint, ask_sz bigint, ask_ct bigint")
+LEVELS = T.ArrayType(LEVEL)
 BOOK = ["bid_px", "ask_px", "bid_sz", "ask_sz", "bid_ct", "ask_ct"]
 
-INSTRUMENTS = _struct(
+INSTRUMENTS = columns(
     "dataset string, instrument_id bigint, ticker string, name string, vendor string, vendor_data bigint, last_available bigint,"
     " first_available bigint, expiration_date bigint, is_continuous boolean, active boolean"
 )
 #: A record as it arrives: ``rtype`` names the kind of record.
-RAW = _struct(
+RAW = columns(
     "rtype string, dataset string, instrument_id bigint, ts_event bigint, price bigint, size bigint, action int, side int, flags int,"
-    f" ts_recv bigint, ts_in_delta int, sequence bigint, discriminator bigint, levels array<{LEVEL}>"
+    " ts_recv bigint, ts_in_delta int, sequence bigint, discriminator bigint, levels levels",
+    levels=LEVELS,
 )
-MBP = _struct(
+MBP = columns(
     "dataset string, rec_id bigint, instrument_id bigint, ts_event bigint, price bigint, size bigint, action int, side int, flags int,"
-    f" ts_recv bigint, ts_in_delta int, sequence bigint, discriminator bigint, order_book_hash string, levels array<{LEVEL}>,"
-    " day bigint, load_id string"
+    " ts_recv bigint, ts_in_delta int, sequence bigint, discriminator bigint, order_book_hash string, levels levels, day bigint, load_id string",
+    levels=LEVELS,
 )
-CONTINUOUS_MAP = _struct("ts_day bigint, continuous_ticker string, instrument_id bigint, continuous_instrument_id bigint, rollover_flag int")
+CONTINUOUS_MAP = columns("ts_day bigint, continuous_ticker string, instrument_id bigint, continuous_instrument_id bigint, rollover_flag int")
 
 #: What makes two events the same event.
 EVENT_KEY = ["instrument_id", "ts_event", "price", "size", "flags", "sequence", "order_book_hash", "ts_recv", "action", "side", "discriminator"]
 
 _EVENT = "instrument_id bigint, ts_event bigint, rollover_flag int, price bigint, size bigint, action int, side int, flags int, depth int, ts_recv bigint, ts_in_delta int, sequence bigint"
 _SIDES = "bid_px bigint, ask_px bigint, bid_sz bigint, ask_sz bigint, bid_ct bigint, ask_ct bigint"
-MBP1_RECORD = _struct(f"{_EVENT}, discriminator bigint, {_SIDES}")
-TRADE_RECORD = _struct(_EVENT)
-BBO_RECORD = _struct(f"instrument_id bigint, ts_event bigint, rollover_flag int, {_SIDES}")
-OHLCV_RECORD = _struct("instrument_id bigint, ts_event bigint, rollover_flag int, open bigint, close bigint, low bigint, high bigint, volume bigint")
+MBP1_RECORD = columns(f"{_EVENT}, discriminator bigint, {_SIDES}")
+TRADE_RECORD = columns(_EVENT)
+BBO_RECORD = columns(f"instrument_id bigint, ts_event bigint, rollover_flag int, {_SIDES}")
+OHLCV_RECORD = columns("instrument_id bigint, ts_event bigint, rollover_flag int, open bigint, close bigint, low bigint, high bigint, volume bigint")
 
 
 @dataclass(frozen=True)

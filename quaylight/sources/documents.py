@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-PARAMETERS = "strategy_name string, capital bigint, data_type string, `schema` string, start bigint, end bigint, tickers array<string>"
+from ..schema import columns
+
+PARAMETERS = "strategy_name string, capital bigint, data_type string, schema string, start bigint, end bigint, tickers strings"
 STATIC_STATS = (
     "total_trades int, total_winning_trades int, total_losing_trades int, avg_profit bigint, avg_profit_percent bigint, avg_gain bigint,"
     " avg_gain_percent bigint, avg_loss bigint, avg_loss_percent bigint, profitability_ratio bigint, profit_factor bigint,"
@@ -20,16 +22,13 @@ _ACCOUNT = ["buying_power", "excess_liquidity", "full_available_funds", "full_in
 ACCOUNT = "currency string, " + ", ".join(f"{when}_timestamp bigint, " + ", ".join(f"{when}_{a} bigint" for a in _ACCOUNT) for when in ("start", "end"))
 
 
-def _nested(spec: str) -> str:
-    return "struct<" + ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in spec.split(", "))) + ">"
-
-
-_BODY = f"trades array<{_nested(TRADES)}>, signals array<struct<timestamp: bigint, trade_instructions: array<{_nested(INSTRUCTION)}>>>"
-BACKTEST = T.StructType.fromDDL(
-    f"metadata struct<backtest_id: int, backtest_name: string, parameters: {_nested(PARAMETERS)}, static_stats: {_nested(STATIC_STATS)}>,"
-    f" period_timeseries_stats array<{_nested(SERIES)}>, daily_timeseries_stats array<{_nested(SERIES)}>, {_BODY}"
+_SIGNAL = columns("timestamp bigint, trade_instructions instructions", instructions=T.ArrayType(columns(INSTRUCTION)))
+_BODY = {"trades": T.ArrayType(columns(TRADES)), "signals": T.ArrayType(_SIGNAL)}
+_META = columns("backtest_id int, backtest_name string, parameters parameters, static_stats stats", parameters=columns(PARAMETERS), stats=columns(STATIC_STATS))
+BACKTEST = columns(
+    "metadata meta, period_timeseries_stats series, daily_timeseries_stats series, trades trades, signals signals", meta=_META, series=T.ArrayType(columns(SERIES)), **_BODY
 )
-LIVE = T.StructType.fromDDL(f"parameters {_nested(PARAMETERS)}, account {_nested(ACCOUNT)}, {_BODY}")
+LIVE = columns("parameters parameters, account account, trades trades, signals signals", parameters=columns(PARAMETERS), account=columns(ACCOUNT), **_BODY)
 
 
 def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -1,0 +1,48 @@
+"""Small market tables with results that are known by hand."""
+
+from quaylight import schema as S
+from quaylight.operators import ingest
+from quaylight.operators.continuous import build_continuous_map
+from quaylight.operators.retrieve import Market
+
+D1, D2, D3 = 1_704_153_600_000_000_000, 1_704_240_000_000_000_000, 1_707_091_200_000_000_000
+UNIT = 1_000_000_000
+
+
+def instrument(dataset, id_, ticker, expiry=0, continuous=False, vendor="v"):
+    return (dataset, id_, ticker, ticker, vendor, 1, 0, 0, expiry, continuous, True)
+
+
+def raw(dataset, id_, t, price, size, action=84, rtype="mbp-1", levels=1, sequence=739763):
+    book = [(d, 1, 1, 10, 1, 1, 20) for d in range(levels)]
+    return (rtype, dataset, id_, t, price, size, action, 65, 0, t, 17493, sequence, 0, book)
+
+
+FUTURES = [
+    instrument("futures", 1, "HEG4", 1_707_937_194_000_000_000),
+    instrument("futures", 2, "HEJ4", 1_712_941_200_000_000_000),
+    instrument("futures", 3, "LEG4", 1_707_937_194_000_000_000),
+    instrument("futures", 4, "LEJ4", 0),
+    instrument("futures", 5, "HE.c.0", 0, True),
+    instrument("futures", 6, "HE.v.0", 0, True),
+    instrument("equities", 7, "AAPL", None),
+    instrument("equities", 8, "TSLA", None),
+    instrument("option", 9, "APPLP12345", 0),
+]
+RECORDS = [
+    raw("futures", 1, 1_704_209_103_644_092_562, 500 * UNIT, 1),
+    raw("futures", 1, 1_704_240_000_000_000_001, 500 * UNIT, 1),
+    raw("futures", 2, 1_707_117_590_000_000_000, 6770 * UNIT, 1),
+    raw("futures", 3, 1_704_295_503_644_092_562, 6870, 2),
+    raw("futures", 4, 1_707_117_590_000_000_000, 6870 * UNIT, 2),
+    raw("equities", 7, 1_704_209_103_644_092_564, 6770, 1),
+    raw("equities", 8, 1_704_209_103_644_092_565, 6870, 2),
+    raw("option", 9, 1_704_209_103_644_092_564, 6770, 1),
+    raw("option", 9, 1_704_209_103_644_092_565, 6870, 2, action=65),
+]
+
+
+def market(spark):
+    instruments = spark.createDataFrame(FUTURES, S.INSTRUMENTS)
+    mbp = ingest.prepare(spark.createDataFrame(RECORDS, S.RAW).coalesce(1), "t", 0)
+    return Market(mbp, instruments, build_continuous_map(mbp, instruments))

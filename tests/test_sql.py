@@ -1,0 +1,52 @@
+"""Every registered query against its SQL, over all of the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from quaylight.plans.registry import QUERIES
+from quaylight.plans.sql import SQL
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    return con
+
+
+def plain(rows):
+    return sorted(repr([float(v) if type(v).__name__ == "Decimal" else v for v in r]) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(spark, duck, name):
+    got = QUERIES[name](spark, DATA)
+    cols = sorted(got.columns)
+    want = duck.sql(SQL[name])
+    assert cols == sorted(want.columns)
+    at = [list(want.columns).index(c) for c in cols]
+    assert plain([[r[c] for c in cols] for r in got.collect()]) == plain([[r[i] for i in at] for r in want.limit(10**9).fetchall()])
+
+
+def test_bars_hold_together(spark):
+    for r in QUERIES["ohlcv_1m"](spark, DATA).collect():
+        assert r.low <= min(r.open, r.close) and max(r.open, r.close) <= r.high
+    bars, trades = QUERIES["ohlcv_1h"](spark, DATA), QUERIES["trades_raw"](spark, DATA)
+    assert bars.agg({"volume": "sum"}).first()[0] == trades.agg({"size": "sum"}).first()[0]
+
+
+def test_a_record_has_one_flag_at_most(spark):
+    flags = QUERIES["mbp1_continuous"](spark, DATA).where("rollover_flag = 1")
+    assert flags.groupBy("instrument_id", "ts_recv", "sequence").count().where("count > 1").isEmpty()
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
