@@ -1,0 +1,138 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from quaylight.llm import packing, tokencounts
+from quaylight.llm.tokens import WordEncoder, slices
+
+from .util import HARD, empty, hard
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+PLAIN = Tokenizer.from_file(PATH)
+
+
+def ids(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def enc():
+    return WordEncoder(PATH, max_words=200)
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAbÉé'’.,!<|> \n\t\ŕΣİǅﬁK½_-")), max_size=60), min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_words_give_the_tokenizers_ids(enc, texts):
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [ids(t) for t in texts]
+
+
+def test_special_tokens_and_long_words(enc):
+    texts = ["x<|endoftext|>y", "<|startoftext|> a", "<|ENDOFTEXT|>", "q" * 5000, "it's we'll A'S THE!! &amp;"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [ids(t) for t in texts]
+
+
+def test_slices():
+    parts = list(slices(["a", None, "b" * 50, "c"], rows=2, chars=10))
+    assert parts == [["a", ""], ["b" * 50], ["c"]]
+
+
+def brute_place(sizes, capacity):
+    """Sum of squares by trying every open bin and adding all squares up."""
+    bins, out = [], []
+    for s in sizes:
+        best = None
+        for g in sorted({b for b in bins if b >= s and b > 0}):
+            after = list(bins)
+            after[after.index(g)] = g - s
+            counts = {}
+            for b in after:
+                if b > 0:
+                    counts[b] = counts.get(b, 0) + 1
+            cost = sum(c * c for c in counts.values())
+            if best is None or cost < best[0]:
+                best = (cost, g)
+        if best is None:
+            bins.append(capacity - s)
+            out.append(capacity)
+        else:
+            bins[bins.index(best[1])] = best[1] - s
+            out.append(best[1])
+    return out
+
+
+@given(st.lists(st.integers(1, 12), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_sum_of_squares_against_brute_force(sizes):
+    packer = packing.SumOfSquares(12)
+    got = [12 - packer.place(s)[1] for s in sizes]
+    assert got == brute_place(sizes, 12)
+
+
+def check_packing(docs, rows, capacity):
+    want = {}
+    for d, text in docs:
+        tokens = [*ids(text), 0]
+        for piece, start in enumerate(range(0, len(tokens), capacity)):
+            part = tokens[start : start + capacity]
+            want.setdefault((d, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())), []).append(1)
+    got = {}
+    for r in rows:
+        got.setdefault((r.doc_id, r.piece, r.start, r.length, r.ids_crc32), []).append(1)
+    assert got == want
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by_seq)
+
+
+def test_packing_hard_cases(spark):
+    rows = packing.pack_documents(hard(spark), PATH, 64).collect()
+    check_packing([(h[0], h[1]) for h in HARD], rows, 64)
+    assert packing.pack_documents(empty(spark), PATH).count() == 0
+
+
+def test_packing_is_close_to_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    rows = packing.pack_documents(docs, PATH, 2048).collect()
+    n = check_packing([(r.doc_id, r.text) for r in docs.collect()], rows, 2048)
+    assert n <= -(-sum(r.length for r in rows) // 2048) * 1.01 + 1
+
+
+def test_histogram_and_limits(spark):
+    hist = tokencounts.length_histogram(hard(spark), PATH)
+    lengths = {}
+    for h in HARD:
+        lengths.setdefault(h[3], []).append(len(ids(h[1])))
+    got = tokencounts.context_limits(hist).collect()
+    assert sum(r.n_docs for r in got) == len(HARD)
+    for r in got:
+        own = lengths[r.source]
+        assert r.n_docs == own.count(r.n_tokens)
+        assert (r.docs_ge, r.tokens_ge) == (sum(x >= r.n_tokens for x in own), sum(x for x in own if x >= r.n_tokens))
+        assert r.truncated_total == sum(min(x, r.n_tokens) for x in own) and (r.total_docs, r.total_tokens) == (len(own), sum(own))
+        assert r.quantile == pytest.approx(sum(x <= r.n_tokens for x in own) / len(own))
+    assert tokencounts.context_limits(tokencounts.length_histogram(empty(spark), PATH)).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    from quaylight.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    want = {}
+    for r in docs:
+        key = (r.source, len(ids(r.text)))
+        want[key] = want.get(key, 0) + 1
+    got = QUERIES["op8_token_counts"](spark, d).collect()
+    assert {(r.source, r.n_tokens): r.n_docs for r in got} == want
