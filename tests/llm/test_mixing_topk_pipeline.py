@@ -1,0 +1,190 @@
+import math
+import os
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quaylight.llm import langid, mixing, queries, topk
+from quaylight.llm.shared import discard, materialize, scratch_dir
+
+from .test_dedup import groups_by_force, lines_by_force, plain_fingerprint
+from .test_packing_tokens import check_packing
+from .util import HARD, SCHEMA, empty, hard
+
+DATA = "/root/testdata/sf0.001"
+
+
+def pfair_by_force(shares):
+    slots, done, plan = sum(shares), [0] * len(shares), []
+    for t in range(slots):
+        ready = [(-(-(done[i] + 1) * slots // s), i) for i, s in enumerate(shares) if done[i] < s and done[i] * slots // s <= t]
+        i = min(ready)[1]
+        done[i] += 1
+        plan.append(i)
+    return plan
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=7))
+@settings(max_examples=12, deadline=None)
+def test_period(spark, shares):
+    rows = [(f"s{i}", s) for i, s in enumerate(shares)]
+    got = mixing.period(spark.createDataFrame(rows, "key string, share int")).orderBy("slot").collect()
+    assert [int(r.key[1:]) for r in got] == pfair_by_force(shares)
+    seen, slots = Counter(), sum(shares)
+    for r in got:
+        assert r.turn == seen[r.key]
+        seen[r.key] += 1
+        for i, s in enumerate(shares):
+            assert abs(seen[f"s{i}"] - (r.slot + 1) * s / slots) < 1
+
+
+def test_schedule_hard_cases(spark):
+    docs = hard(spark)
+    got = mixing.schedule(docs, block=2, slots=10, weights={"a": 2.0, "b": 1.0}).collect()
+    assert len(got) == len(HARD)
+    places = [(r.mix_slot, r.mix_place) for r in got]
+    assert len(set(places)) == len(places)
+    assert sorted((repr(r[:5]) for r in got)) == sorted(repr(h) for h in HARD)
+    by_source = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.mix_block, r.mix_place)):
+        by_source[r.source].append(r.doc_id)
+    for ids in by_source.values():
+        assert ids == sorted(ids, key=lambda d: (d is None, d))
+    assert mixing.schedule(empty(spark)).count() == 0
+
+
+def test_mixture_keeps_every_row_in_order(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = mixing.in_order(docs, block=4, slots=100)
+    assert out.columns == docs.columns and out.exceptAll(docs).isEmpty() and docs.exceptAll(out).isEmpty()
+    place = {r.doc_id: (r.mix_slot, r.mix_place) for r in mixing.schedule(docs, block=4, slots=100).collect()}
+    got = [place[r.doc_id] for r in out.select("doc_id").collect()]
+    assert got == sorted(got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    got = queries.QUERIES[name](spark, DATA)
+    cols = sorted(got.columns)
+    want = con.sql(queries.SQL[name])
+    assert cols == sorted(want.columns)
+    at = [list(want.columns).index(c) for c in cols]
+    assert sorted(repr([r[c] for c in cols]) for r in got.collect()) == sorted(repr([r[i] for i in at]) for r in want.limit(10**9).fetchall())
+
+
+def top_by_force(rows, ask, k):
+    good = [(v, [math.floor(1024 * float(x)) for x in e]) for v, e in rows if v is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    out = []
+    for q in {v: e for v, e in good if ask(v)}.items():
+        scored = sorted((-sum(a * b for a, b in zip(q[1], e)), v) for v, e in good if v != q[0] and len(e) == len(q[1]))
+        out += [(q[0], i + 1, v, -s) for i, (s, v) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bins,block", [(2048, 1024), (4, 2)])
+def test_top_k_hard_cases(spark, bins, block):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(40)]  # ties
+    rows += [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan")] * 4), (204, [float("inf")] * 4), (None, [1.0] * 4), (210, [0.5, 0.5]), (211, [0.0] * 4), (220, [2.0, 1.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, rank string, score int").repartition(5)
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), k=10, bins=bins, block=block)
+    assert sorted(map(tuple, got.collect())) == top_by_force(rows, lambda v: v % 10 == 0, 10)
+
+
+def test_top_k_empty_and_huge(spark):
+    kind = "vec_id long, embedding array<double>"
+    none = spark.createDataFrame([], kind)
+    assert topk.top_k(none, none).count() == 0
+    big = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e3, 1.0]), (2, [1e200, 1.0]), (3, [2e3, 7.0])], kind)
+    got = [tuple(r) for r in topk.top_k(big, big.where("vec_id = 0"), k=3).collect()]
+    a = [math.floor(1024 * x) for x in (1e9, 1.0)]
+    s = lambda e: sum(x * math.floor(1024 * y) for x, y in zip(a, e))
+    assert got == [(0, 1, 2, 1 << 61), (0, 2, 3, s([2e3, 7.0])), (0, 3, 1, s([1e3, 1.0]))]
+
+
+def test_scratch(spark):
+    table, path = materialize(spark.range(5), "t")
+    assert path.startswith(scratch_dir(spark)) and table.count() == 5
+    discard(spark, [path])
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(path)
+
+
+# The pipeline, stage by stage, each on what the one before kept
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([h for h in HARD if h[0] is not None], SCHEMA).withColumn("doc_id", F.col("doc_id") + 10_000))
+    found = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found.append(materialize(stage(spark, found[-1], DATA), f"s{k}")[0])
+    return found
+
+
+def pairs(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_columns(stages):
+    assert all(df.columns == corpus_pipeline.COLUMNS for df in stages[1:-1])
+
+
+def test_language_stage(spark, stages):
+    model = langid.fit(stages[0], corpus_pipeline.PIECES)
+    scorer, want = langid.Scorer(model), []
+    for r in stages[0].collect():
+        (total,) = scorer.texts([r.text or ""])
+        if total is not None:
+            p = np.exp(total - total.max())
+            if p.max() / p.sum() >= corpus_pipeline.SURE:
+                want.append((r.doc_id, r.text, model.languages[int(total.argmax())]))
+    got = [(r.doc_id, r.text, r.lang) for r in stages[1].collect()]
+    assert sorted(got) == sorted(want)
+    assert {h[0] + 10_000 for h in HARD if h[0] in (4, 5, 6, 10)}.isdisjoint(g[0] for g in got)
+
+
+def test_line_stage(stages):
+    import hashlib
+
+    want = {(d, sha) for d, _, _, sha in lines_by_force([(r.doc_id, r.text) for r in stages[1].collect()])}
+    got = stages[2].collect()
+    assert {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == want and len(got) == stages[1].count()
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_near_copy_stage(stages):
+    rows = [(r.doc_id, r.text) for r in stages[2].collect()]
+    worded = [(d, plain_fingerprint(t, 5)) for d, t in rows if t.strip(" \t\n\x0b\x0c\r")]
+    roots, least = groups_by_force({f for _, f in worded}), {}
+    for d, f in worded:
+        least[roots[f]] = min(least.get(roots[f], d), d)
+    kept = set(least.values()) | {d for d, t in rows if not t.strip(" \t\n\x0b\x0c\r")}
+    assert pairs(stages[3]) == sorted(((d, t) for d, t in rows if d in kept), key=repr)
+
+
+def test_mixture_stage(stages):
+    assert pairs(stages[4]) == pairs(stages[3])
+
+
+def test_packing_stage(stages):
+    check_packing([(r.doc_id, r.text) for r in stages[4].collect()], stages[5].collect(), 2048)
+
+
+def test_run_and_empty_documents(spark, tmp_path):
+    path = tmp_path / "sf"
+    spark.createDataFrame([], SCHEMA).write.parquet(str(path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(path)).count() == 0
+    assert corpus_pipeline.run(spark, DATA).count() > 100
+
