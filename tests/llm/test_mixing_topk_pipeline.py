@@ -166,7 +166,7 @@ def test_line_stage(stages):
 
 def test_near_copy_stage(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
-    worded = [(d, plain_fingerprint(t, 5)) for d, t in rows if t.strip(" \t\n\x0b\x0c\r")]
+    worded = [(d, plain_fingerprint(t)) for d, t in rows if t.strip(" \t\n\x0b\x0c\r")]
     roots, least = groups_by_force({f for _, f in worded}), {}
     for d, f in worded:
         least[roots[f]] = min(least.get(roots[f], d), d)
