@@ -26,11 +26,11 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_fit`` labelled documents at most are fitted (a hash of the text picks them, the same at every run);
+    """``max_fit`` labels at most are fitted, with their whole documents (a hash of doc_id picks them, the same at every run);
     the vocabulary holds the ``vocabulary`` words that speak for the label best, of those in at least ``min_docs``
     labelled documents and with a log-likelihood ratio of ``evidence`` or more. Both bound what reaches the driver."""
 
-    max_fit: int = 6000
+    max_fit: int = 8000
     vocabulary: int = 2048
     min_docs: int = 4
     evidence: float = 10.0
@@ -96,15 +96,13 @@ def _bags(words: list[str]):
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on (text, toxic) rows; rows with a null text count as empty, rows with a null label are left out."""
-    known = labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
-    known, _ = materialize(known, "toxic-fit")
+    known, _ = materialize(labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "toxic-fit")
     words = choose_words(known, settings)
     if not words:
         share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Model({}, float(np.log(p / (1 - p))))
-    sample = known.orderBy(F.xxhash64("text"), "toxic").limit(settings.max_fit)
-    rows = sample.select("toxic", "text").mapInArrow(_bags(words), "toxic int, bags array<array<int>>, empty long").collect()
+    rows = known.select("toxic", "text").mapInArrow(_bags(words), "toxic int, bags array<array<int>>, empty long").collect()
     return Model(*_descend(rows, words, settings))
 
 
@@ -182,6 +180,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     train = labels.select("doc_id", "toxic").where(~fold & F.col("toxic").isNotNull())
-    model = fit(docs.select("doc_id", "text").join(train, "doc_id"), settings)
+    picked = train.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(settings.max_fit)
+    # At most max_fit labels, so they go to the documents and no text is shuffled.
+    model = fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), settings)
     done = score(docs, model)
     return done.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst")
