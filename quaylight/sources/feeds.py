@@ -106,8 +106,9 @@ def event_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str, continuous: bool = False) -> Market:
+    """The feed's tables. The map has a row for each day and contract and is read several times, so it is kept."""
     mbp, instruments = event_feed(spark, sf_dir), event_instruments(spark, sf_dir)
-    return Market(mbp, instruments, build_continuous_map(mbp, instruments) if continuous else None)
+    return Market(mbp, instruments, build_continuous_map(mbp, instruments).persist() if continuous else None)
 
 
 def line_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
