@@ -20,21 +20,22 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """The line with the named white space stripped at both ends and A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(_BLANKS)))
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 64) -> tuple[DataFrame, DataFrame]:
     """The lines that may be dropped (doc_id, row_hash, pos, h1, h2) and the repeated keys (h1, h2, keeper)."""
-    key = line_key(F.col("line"))
     lines = (
         docs.where("doc_id is not null")
         # Apart from the explode, which would otherwise carry the whole text along with each of its lines.
         .select("doc_id", F.xxhash64("text").alias("row_hash"), _lines(F.col("text")).alias("lines"))
         .select("doc_id", "row_hash", F.posexplode("lines").alias("pos", "line"))
-        .where(F.length(key) >= min_chars)
-        .select("doc_id", "row_hash", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+        # Step by step, so that each line is stripped once and only long ones are lower-cased, once.
+        .select("doc_id", "row_hash", "pos", stripped(F.col("line")).alias("line"))
+        .where(F.length("line") >= min_chars)
+        .select("doc_id", "row_hash", "pos", ascii_lower(F.col("line")).alias("key"))
+        .select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     run = ["h1", "h2", "salt"]
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
@@ -64,10 +65,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     its lines and counts for none. Rows that share a doc_id are one document for the counts. An empty table gives
     no rows. Columns of the input may have any names but the four above.
     """
-    lost = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_doc", "row_hash": "_row"})
+    lost = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_doc", "row_hash": "_row", "dropped": "_dropped"})
     joined = docs.join(lost, (docs["doc_id"] == lost["_doc"]) & (F.xxhash64(docs["text"]) == lost["_row"]), "left").drop("_doc", "_row")
     text, n = F.coalesce(F.col("text"), F.lit("")), F.size(_lines(F.col("text")))
-    gone = F.coalesce(F.col("dropped"), F.array().cast("array<int>"))
+    gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
     zipped = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1)).alias("start"),
         F.concat(gone, F.array(F.col("n_lines"))).alias("end"),
@@ -83,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .withColumn("n_dropped", F.size(gone))
         .withColumn("keep_runs", runs)
         .withColumn("kept_text", F.when(F.col("n_dropped") == 0, text).otherwise(shorter[0]))
-        .drop("dropped")
+        .drop("_dropped")
     )
 
 

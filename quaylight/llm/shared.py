@@ -44,8 +44,8 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, _UPPER, _UPPER.lower())
+    """Lower-case A-Z and nothing else; for ASCII alone that is the faster lower()."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def hard(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(HARD, SCHEMA)
-    return df.withColumns({c: F.lit("clash") for c in ("pos", "line", "n", "h1", "fp", "root", "piece", "start", "length", "score", "bucket", "key", "digest", "file", "row", "slot", "share", "word", "run")})
+    return df.withColumns({c: F.lit("clash") for c in ("pos", "line", "n", "h1", "fp", "root", "piece", "start", "length", "score", "bucket", "key", "digest", "file", "row", "slot", "share", "word", "run", "dropped", "norm", "who")})
 
 
 def empty(spark):
