@@ -66,58 +66,64 @@ def words(text: str) -> list[str]:
 
 
 class Scorer:
-    """Log probability of words in each language."""
+    """Log probability of words in each language; words are remembered."""
 
     def __init__(self, model: Model):
         self.model = model
+        self._number = {p: i for i, p in enumerate(model.pieces)}
+        n, k = len(self._number), len(model.languages)
+        # Two rows more: what is no piece, and a letter that no piece covers.
+        self._prob = np.array([*model.pieces.values(), (0.0,) * k, (model.unknown,) * k]).reshape(n + 2, k)
         self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, len(model.languages)))
-
-    def forward(self, word: str) -> list[float]:
-        """log P(word | language) summed over all segmentations, in each language."""
-        model, n, k = self.model, len(word), len(self.model.languages)
-        get, longest = model.pieces.get, model.max_piece
-        sums = [[1.0] * k]
-        scale = [0.0] * k
+        self._table = np.zeros((1024, k))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """log P(word | language) summed over all segmentations; a row for each word."""
+        out = np.empty((len(words), len(self.model.languages)))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by_length[len(w)].append(i)
+        for n, at in by_length.items():
+            out[at] = self._same_length([words[i] for i in at], n)
+        return out
+
+    def _same_length(self, words: list[str], n: int) -> np.ndarray:
+        get, none, longest = self._number.get, len(self._number), self.model.max_piece
+        shape = (len(words), len(self.model.languages))
+        log, sums = np.zeros(shape), {0: np.ones(shape)}
         for end in range(1, n + 1):
-            here = [0.0] * k
+            here = np.zeros(shape)
             for start in range(max(0, end - longest), end):
-                p = get(word[start:end])
-                if p is not None:
-                    before = sums[start]
-                    here = [h + b * q for h, b, q in zip(here, before, p)]
-            if not get(word[end - 1 : end]):
-                here = [h + b * model.unknown for h, b in zip(here, sums[end - 1])]
-            for i, h in enumerate(here):
-                if h < _TINY:  # long words: carry a factor of what can still be read
-                    up = 1.0 / h if h > 0 else 1.0
-                    scale[i] -= math.log(up)
-                    here[i] *= up
-                    for row in sums[max(0, end - longest) :]:
-                        row[i] *= up
-            sums.append(here)
-        return [s + math.log(h) if h > 0 else -1e9 for h, s in zip(sums[n], scale)]
-
-    def text(self, text: str) -> np.ndarray | None:
-        """Unnormalised log posterior of each language; None if there is no letter."""
-        found = words(text)
-        if not found:
-            return None
-        total = np.array(self.model.priors)
-        for lo in range(0, len(found), 1 << 16):
-            part = found[lo : lo + (1 << 16)]
-            if len(self._row) > _MEMORY:
-                self._row.clear()
-            fresh = set(part).difference(self._row)
-            while len(self._row) + len(fresh) > len(self._table):
-                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-            for w in fresh:
-                i = len(self._row)
-                self._row[w] = i
-                self._table[i] = self.forward(w)
-            at = np.fromiter(map(self._row.__getitem__, part), dtype=np.int64, count=len(part))
-            total = total + self._table[at].sum(axis=0)
-        return total
+                missing = none + 1 if end - start == 1 else none
+                piece = np.fromiter((get(w[start:end], missing) for w in words), dtype=np.int64, count=len(words))
+                hit = np.flatnonzero(piece != none)
+                if len(hit):
+                    here[hit] += sums[start][hit] * self._prob[piece[hit]]
+            sums[end] = here
+            sums.pop(end - longest, None)
+            if here.min() < _TINY:  # long words: carry a factor of what can still be read
+                up = np.where(here < _TINY, 1.0 / here, 1.0)
+                log -= np.log(up)
+                for row in sums.values():
+                    row *= up
+        return log + np.log(sums[n])
+
+    def texts(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Unnormalised log posterior of each language for each text; None if it has no letter."""
+        found = [words(t) for t in texts]
+        new = set().union(*found)
+        fresh = new.difference(self._row)
+        if len(self._row) + len(fresh) > _MEMORY:
+            self._row, fresh = {}, new
+        while len(self._row) + len(fresh) > len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+        if fresh:
+            fresh = list(fresh)
+            at = range(len(self._row), len(self._row) + len(fresh))
+            self._table[at.start : at.stop] = self.forward(fresh)
+            self._row.update(zip(fresh, at))
+        get, priors = self._row.__getitem__, np.array(self.model.priors)
+        return [priors + self._table[np.fromiter(map(get, f), dtype=np.int64, count=len(f))].sum(axis=0) if f else None for f in found]
 
 
 def _expect(counts: Counter, prob: dict[str, float], longest: int, unknown: float) -> dict[str, float]:
@@ -173,8 +179,14 @@ def _count_words():
 def fit(labelled: DataFrame, vocabulary: str, settings: Settings = Settings()) -> Model | None:
     """Train on (doc_id, text, lang) rows whose lang is not null; None without any."""
     known = labelled.where("lang is not null")
+    docs = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not docs:
+        return None
+    # A hash first thins each language to little over its bound, so that no task ranks more than that.
+    share = F.create_map(*(F.lit(x) for k, n in sorted(docs.items()) for x in (k, min(1.0, (1.3 * settings.per_language + 20) / n))))[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= settings.per_language).select("lang", "doc_id").distinct()
+    picked = known.select("lang", "doc_id").where(drawn).withColumn("rank", rank).where(F.col("rank") <= settings.per_language).select("lang", "doc_id").distinct()
     texts = known.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])
     rows = texts.select("lang", "text").mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator()
     counts: dict[str, Counter] = defaultdict(Counter)
@@ -182,7 +194,7 @@ def fit(labelled: DataFrame, vocabulary: str, settings: Settings = Settings()) -
         counts[r.lang][r.word] = r.n
     if not counts:
         return None
-    docs = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.lang in counts}
+    docs = {lang: n for lang, n in docs.items() if lang in counts}
     return train(counts, docs, public_pieces(vocabulary, settings.max_piece), settings)
 
 
@@ -211,8 +223,7 @@ def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             langs, scores = [], []
             for part in slices(x.as_py() for x in batch.column(at)):
-                for t in part:
-                    total = own.text(t) if own else None
+                for total in own.texts(part) if own else [None] * len(part):
                     if total is None:
                         langs.append("und")
                         scores.append(0.0)
