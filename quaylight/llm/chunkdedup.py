@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .tokens import slices
+from .tokens import release, slices
 
 _CHUNKS = "doc_id long, start long, length int, d1 long, d2 long"
 #: A pseudo-random 16-bit number for each byte value, by rule.
@@ -65,6 +65,7 @@ def chunks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, start, length in bytes, 128-bit digest as two longs) of each chunk; null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import slices
+from .tokens import kept, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TINY = 1e-250
@@ -198,15 +198,9 @@ def fit(labelled: DataFrame, vocabulary: str, settings: Settings = Settings()) -
     return train(counts, docs, public_pieces(vocabulary, settings.max_piece), settings)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """This Python worker's scorer; workers are reused, so what it remembers of words serves many tasks."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    """This Python worker's scorer of the model."""
+    return kept(model.name, lambda: Scorer(model))
 
 
 def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import materialize
-from .tokens import slices
+from .tokens import release, slices
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long; null or wordless texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = np.fromiter((fingerprint(t, size) for part in slices(x.as_py() for x in batch.column(1)) for t in part), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -20,9 +20,10 @@ _BLOCK = 8192
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``max_words`` bounds each cache; beyond it, it starts afresh."""
+    """Ids as little-endian unsigned 32-bit bytes. ``max_words`` bounds the words remembered, ``max_runs`` the runs of
+    letters; beyond it, either starts afresh."""
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 700_000, max_runs: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,7 +33,7 @@ class WordEncoder:
         self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._words: dict[str, bytes] = {"": b""}
         self._runs: dict[str, bytes] = {"": b""}
-        self._max = max_words
+        self._max_words, self._max_runs = max_words, max_runs
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -48,10 +49,11 @@ class WordEncoder:
             self._runs.update({w: raw[a:b] for w, a, b in zip(block, cuts, cuts[1:])})
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
+        split = {w: (w.lower(), "") for w in words if w.isascii() and w.isalpha()}
+        split.update({w: (m[1].lower(), m[2]) for w in words if w not in split and (m := _PLAIN.fullmatch(w))})
         runs = {r for pair in split.values() for r in pair}
         fresh = runs.difference(self._runs)
-        if len(self._runs) + len(fresh) > self._max:
+        if len(self._runs) + len(fresh) > self._max_runs:
             self._runs = {"": b""}
             fresh = runs - {""}
         self._learn_runs(list(fresh))
@@ -64,7 +66,7 @@ class WordEncoder:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*words)
         fresh = new.difference(self._words)
-        if len(self._words) + len(fresh) > self._max:
+        if len(self._words) + len(fresh) > self._max_words:
             self._words = {"": b""}
             fresh = new - {""}
         if fresh:
@@ -74,14 +76,26 @@ class WordEncoder:
             yield b"".join(map(get, w))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What this Python worker keeps from task to task: one thing at a time. Workers are reused, so it serves many
+    tasks of an operator, and what operators before it remembered makes room."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Keep nothing; for operators that remember nothing themselves."""
+    _KEPT.clear()
 
 
 def encoder(path: str) -> WordEncoder:
-    """This Python worker's encoder for the vocabulary file; workers are reused, so it serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder for the vocabulary file."""
+    return kept(path, lambda: WordEncoder(path))
 
 
 def slices(texts: Iterable[str | None], rows: int = 512, chars: int = 8_000_000) -> Iterator[list[str]]:

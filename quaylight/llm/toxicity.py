@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .tokens import slices
+from .tokens import release, slices
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: Model, keep: int = 3) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get, bias = model.weights.get, model.bias
         base = -float(np.logaddexp(0.0, bias))
         for batch in batches:
