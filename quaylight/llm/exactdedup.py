@@ -96,7 +96,8 @@ def exact_duplicates(spark: SparkSession, path: str, digest: Callable[[Column],
     texts, texts_path = materialize(placed.join(wanted, ["file", "row"]).select("digest", "who", "keeper", normalised(F.col("text")).alias("norm")), "exact-texts")
     holders = texts.where("who = keeper").select("digest", F.col("norm").alias("held"))
     differ = texts.where("who <> keeper").join(holders, "digest").where("norm <> held")
-    clashes, _ = materialize(differ.select("digest").distinct(), "exact-clashes")
+    # Not made distinct here: that would tie the join to one task for each digest, and Spark could not split hot ones.
+    clashes, _ = materialize(differ.select("digest"), "exact-clashes")
 
     result = found
     if not clashes.isEmpty():
