@@ -2,7 +2,9 @@
 
 Each source is cut into blocks of documents. With a share s of S slots, its block k is released at slot
 floor(k S / s) and due by ceil((k + 1) S / s); at each slot the released block with the earliest deadline goes, so
-after any number of slots a source is less than one block off its target. The schedule repeats after S slots, when
+after any number of slots a source is less than one block off its share. Shares are weights rounded down to whole
+slots, and one at least: from the weight w itself a source drifts by |s / S - w| a slot, without end (MIX_SQL fixes
+these shares for op9; ``spread`` has none of this). The schedule repeats after S slots, when
 each source has had exactly its share, so one period is laid out (a fold over S slots, one row) and blocks are
 joined to it: block k of a source has slot (k div s) S + slot(k mod s). When a source runs out its slots stay
 empty and the others go on in their proportion; no document is left out or repeated.
@@ -10,10 +12,14 @@ empty and the others go on in their proportion; no document is left out or repea
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _COARSE, _FINE = 16, 16
+#: All sources' exact weights together, as ``spread`` counts them.
+UNITS = 10**9
 
 
 def source_key(source: Column) -> Column:
@@ -82,6 +88,21 @@ def period(share: DataFrame) -> DataFrame:
     return laid.select(F.col("s.key").alias("key"), turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), F.col("s.share").alias("share"), "slots")
 
 
+def _numbered(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with _mix_key, mix_block and mix_place, and the sources' counts (key, n)."""
+    tie = F.xxhash64(*[docs[c] for c in docs.columns if not docs.schema[c].dataType.typeName() in ("map", "variant")])
+    keyed = docs.withColumns({"_mix_key": source_key(docs["source"]), "_mix_bucket": _bucket(docs, docs["doc_id"].cast("long")), "_mix_tie": tie})
+    counts = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_mix_key").alias("_mix_k"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(before, F.lit(0)).alias("_mix_before"))
+    local = F.row_number().over(Window.partitionBy("_mix_key", "_mix_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "_mix_tie"))
+    ranked = keyed.withColumn("_mix_local", local).join(offsets, (F.col("_mix_key") == F.col("_mix_k")) & (F.col("_mix_bucket") == F.col("_mix_b")))
+    number = F.col("_mix_before") + F.col("_mix_local") - 1
+    blocks = ranked.withColumn("_mix_number", number)
+    blocks = blocks.withColumn("mix_block", F.expr(f"_mix_number div {block}")).withColumn("mix_place", F.col("_mix_number") % block)
+    return blocks, counts.groupBy(F.col("_mix_key").alias("key")).agg(F.sum("n").alias("n"))
+
+
 def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[str, float] | None = None) -> DataFrame:
     """All columns of ``docs`` and where each document goes: mix_block (in its source), mix_slot, mix_place (in the
     block) and mix_share, mix_slots (the source's share of a period's slots). (mix_slot, mix_place) is the order.
@@ -93,17 +114,7 @@ def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[
 
     Rows are numbered by (source, range of doc_id) and the ranges' offsets, so no source meets in one task.
     """
-    tie = F.xxhash64(*[docs[c] for c in docs.columns if not docs.schema[c].dataType.typeName() in ("map", "variant")])
-    keyed = docs.withColumns({"_mix_key": source_key(docs["source"]), "_mix_bucket": _bucket(docs, docs["doc_id"].cast("long")), "_mix_tie": tie})
-    counts = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("_mix_key").alias("_mix_k"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(before, F.lit(0)).alias("_mix_before"))
-    local = F.row_number().over(Window.partitionBy("_mix_key", "_mix_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "_mix_tie"))
-    ranked = keyed.withColumn("_mix_local", local).join(offsets, (F.col("_mix_key") == F.col("_mix_k")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    number = F.col("_mix_before") + F.col("_mix_local") - 1
-    blocks = ranked.withColumn("_mix_number", number)
-    blocks = blocks.withColumn("mix_block", F.expr(f"_mix_number div {block}")).withColumn("mix_place", F.col("_mix_number") % block)
-    totals = counts.groupBy(F.col("_mix_key").alias("key")).agg(F.sum("n").alias("n"))
+    blocks, totals = _numbered(docs, block)
     turns = period(shares(totals, slots, weights))
     mine = turns.select(F.col("key").alias("_mix_tk"), F.col("turn").alias("_mix_turn"), F.col("slot").alias("_mix_slot"), F.col("slots").alias("mix_slots"))
     sized = turns.select(F.col("key").alias("_mix_sk"), F.col("share").alias("mix_share")).distinct()
@@ -116,10 +127,63 @@ def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[
     )
 
 
+def tree(weights: dict[str, int]) -> dict[str, list[tuple[int, int, bool]]]:
+    """For each source the way up a Huffman tree of the weights: (both children's weight, the child's own, whether it is
+    the first of the two) from the leaf to the root."""
+    up: dict[str, list[tuple[int, int, bool]]] = {k: [] for k in weights}
+    parent: dict[int, tuple[int, int, int, bool]] = {}
+    leaves = sorted(weights)
+    heap = [(weights[k], i) for i, k in enumerate(leaves)]
+    heapq.heapify(heap)
+    new = len(leaves)
+    while len(heap) > 1:
+        (w, i), (v, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i], parent[j] = (new, w + v, w, False), (new, w + v, v, True)
+        heapq.heappush(heap, (w + v, new))
+        new += 1
+    for i, k in enumerate(leaves):
+        at = i
+        while at in parent:
+            at, whole, own, first = parent[at]
+            up[k].append((whole, own, first))
+    return up
+
+
+def spread(docs: DataFrame, block: int = 16) -> DataFrame:
+    """All columns of ``docs`` and mix_block, mix_slot, mix_place, as by ``schedule``, but from exact weights and without
+    a period: square roots of the sources' counts, in units of a billionth of all.
+
+    A binary tree of the sources splits slots: of the first m slots of a node its first child has m w / (w + v), rounded.
+    So a block's slot follows from its number by one division for each node up the tree, for each row alone. Rounding
+    is half a block off at most, and what a node is off comes down by the child's part of it; in a Huffman tree an
+    ancestor weighs 1, 2, 3, 5, 8, ... times a leaf at least, so a source is never more than 1.7 blocks off its weight,
+    after any number of slots and for any number of sources. Slots of a source that has run out stay empty.
+
+    One row for each source comes to the driver. Slots times ``UNITS`` must stay below 2^62.
+    """
+    blocks, totals = _numbered(docs, block)
+    roots = {r.key: r.n**0.5 for r in totals.collect()}
+    whole = sum(roots.values())
+    ways = tree({k: max(1, round(UNITS * w / whole)) for k, w in roots.items()})
+    kind = "_mix_wk string, _mix_way array<struct<whole: bigint, own: bigint, first: boolean>>"
+    table = docs.sparkSession.createDataFrame(list(ways.items()), kind)
+    slot = F.expr("""
+      aggregate(_mix_way, mix_block, (k, s) -> if(s.first,
+        (s.whole * (2 * k + 1) + 2 * s.own - 1) div (2 * s.own) - 1,
+        (s.whole * (2 * k + 1)) div (2 * s.own)))
+    """)
+    placed = blocks.join(table, blocks["_mix_key"] == table["_mix_wk"]).withColumn("mix_slot", slot)
+    return placed.select(*[placed[c] for c in docs.columns], "mix_block", "mix_slot", "mix_place")
+
+
+def lay_out(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of placed rows in the order of slot and place: range-partitioned and sorted."""
+    return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*columns)
+
+
 def in_order(docs: DataFrame, **how) -> DataFrame:
-    """The same rows and columns, laid out in the order of the schedule: range-partitioned and sorted."""
-    placed = schedule(docs, **how)
-    return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+    """The same rows and columns, laid out in the order of the schedule."""
+    return lay_out(schedule(docs, **how), docs.columns)
 
 
 MIX_SQL = """
