@@ -109,3 +109,56 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, capacity, end_id), _PIECES)
     in_order = pieces.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return in_order.mapInArrow(_pack(capacity), _PACKED)
+
+
+def _cut_whole(vocabulary: str, capacity: int, end_id: int):
+    """As _cut, but a row for each text, with its source and a list of its pieces."""
+    end = int(end_id).to_bytes(4, "little")
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            done = 0
+            for texts in slices(x.as_py() for x in batch.column(2)):
+                cut = []
+                for raw in enc.encode(texts):
+                    raw += end
+                    parts = [(start, raw[4 * start : 4 * (start + capacity)]) for start in range(0, len(raw) // 4, capacity)]
+                    cut.append([{"piece": i, "start": s, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for i, (s, x) in enumerate(parts)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(texts)], batch.column(1)[done : done + len(texts)], pa.array(cut, kind)], names=["doc_id", "source", "pieces"])
+                done += len(texts)
+
+    return run
+
+
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """(doc_id, source, pieces) for each document: the pieces that pack_documents cuts."""
+    kind = "doc_id long, source string, pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_cut_whole(vocabulary, capacity, end_id), kind)
+
+
+def _pack_runs(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, now = None, None
+        for batch in batches:
+            placed = []
+            for r, n in zip(batch.column("run").to_pylist(), batch.column("length").to_pylist()):
+                if r != now:
+                    packer, now = SumOfSquares(capacity, r << 32), r
+                placed.append(packer.place(n))
+            if placed:
+                seq, off = (pa.array(c, pa.int64()) for c in zip(*placed))
+                rest = batch.drop_columns(["run"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, seq, off], names=[*rest.schema.names, "sequence_id", "offset"])
+
+    return run
+
+
+def pack_runs(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Pack each ``run`` (long, from 0) of ``pieces`` (run and the columns of a piece) by itself, so that sequences rise
+    with the runs, however the input is partitioned. Returns what pack_documents does; the price is about one
+    part-filled sequence a run."""
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+    dealt = pieces.select("run", *names).repartitionByRange("run")
+    return dealt.sortWithinPartitions("run", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(_pack_runs(capacity), _PACKED)
