@@ -22,6 +22,8 @@ from .tokens import release, slices
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+#: A sentence offends if its own probability is at least this.
+OFFENDING = 0.5
 
 
 @dataclass(frozen=True)
@@ -140,7 +142,10 @@ def _descend(rows: list, words: list[str], settings: Settings) -> tuple[dict[str
 
 
 def score(docs: DataFrame, model: Model, keep: int = 3) -> DataFrame:
-    """doc_id, score, and the ``keep`` worst sentences (start and end in the text, probability), worst first.
+    """doc_id, score, the ``keep`` worst sentences (start and end in the text, probability), worst first, and all
+    sentences whose own probability is ``OFFENDING`` or more, however many, in the order of the text.
+
+    A document may be toxic by many sentences of which none offends by itself; then only ``worst`` names some.
 
     ``docs`` needs doc_id and text. Whole texts are read. A null or empty text, or one without words, has no
     sentence and the score 0. Repeated rows are scored each; other columns are not read.
@@ -151,31 +156,32 @@ def score(docs: DataFrame, model: Model, keep: int = 3) -> DataFrame:
         get, bias = model.weights.get, model.bias
         base = -float(np.logaddexp(0.0, bias))
         for batch in batches:
-            scores, spans = [], []
+            scores, spans, offending = [], [], []
             for part in slices(x.as_py() for x in batch.column(1)):
                 for t in part:
-                    total, worst = 0.0, []
+                    total, known = 0.0, []
                     for start, end, ws in sentences(t):
                         hit = [c for x in set(ws) if (c := get(x)) is not None]
                         if hit:
                             lc = -float(np.logaddexp(0.0, bias + sum(hit)))
-                            worst.append((lc, start, end))
+                            known.append((lc, start, end))
                         else:
                             lc = base
                         total += lc
                     scores.append(abs(float(np.expm1(total))))
-                    spans.append([{"start": s, "end": e, "p": float(-np.expm1(lc))} for lc, s, e in sorted(worst)[:keep]])
+                    spans.append([{"start": s, "end": e, "p": float(-np.expm1(lc))} for lc, s, e in sorted(known)[:keep]])
+                    offending.append([x for lc, s, e in known if (x := {"start": s, "end": e, "p": float(-np.expm1(lc))})["p"] >= OFFENDING])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "worst"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind), pa.array(offending, kind)], names=["doc_id", "score", "worst", "offending"])
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(run, "doc_id long, score double, worst array<struct<start:int,end:int,p:double>>")
+    return slim.mapInArrow(run, "doc_id long, score double, worst array<struct<start:int,end:int,p:double>>, offending array<struct<start:int,end:int,p:double>>")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
     """Train on the labelled documents that are not held out and score every document.
 
-    Returns doc_id, held_out, score, predicted, worst. Labels whose toxic is null or that name no document are
+    Returns doc_id, held_out, score, predicted, worst, offending. Labels whose toxic is null or that name no document are
     not used; a document with several labels is fitted once for each. A null doc_id is not held out and never
     labelled. An empty table gives no rows; without both kinds of label every text is scored by the share alone.
     """
@@ -185,4 +191,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     # At most max_fit labels, so they go to the documents and no text is shuffled.
     model = fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), settings)
     done = score(docs, model)
-    return done.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst")
+    return done.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst", "offending")
