@@ -1,8 +1,9 @@
 """Best-fit packing by sums of squares: documents' tokens into sequences of a fixed length.
 
-Each input partition packs its own pieces, so no text and no ids are shuffled and the order of the input
-survives from partition to partition. Within a partition Spark sorts the pieces by length, longest first
-(spilling if need be), and the packer streams over them; its memory is the list of open sequences.
+One stage tokenizes and writes the table of pieces (some 30 bytes each); no text and no ids are shuffled. A second
+stage, which holds no tokenizer, packs: each of its partitions packs the pieces that it reads. Spark sorts them by
+length, longest first (spilling if need be), and the packer streams over them; its memory is the list of open
+sequences.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, slices
+from .shared import materialize
+from .tokens import encoder, release, slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
@@ -59,31 +61,36 @@ class SumOfSquares:
 
 
 def _cut(vocabulary: str, capacity: int, end_id: int):
-    """Tokenize whole texts, add the end id and cut what is longer than a sequence."""
+    """Tokenize whole texts (the last column), add the end id and cut what is longer than a sequence."""
     end = int(end_id).to_bytes(4, "little")
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
-            for texts in slices(x.as_py() for x in batch.column(1)):
-                rows: list[tuple] = []
+            done, others = 0, batch.columns[:-1]
+            for texts in slices(x.as_py() for x in batch.column(batch.num_columns - 1)):
+                cut = []
                 for raw in enc.encode(texts):
-                    raw, doc = raw + end, next(ids)
-                    n = len(raw) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        part = raw[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
-                cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                    raw += end
+                    parts = [(start, raw[4 * start : 4 * (start + capacity)]) for start in range(0, len(raw) // 4, capacity)]
+                    cut.append([{"piece": i, "start": s, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for i, (s, x) in enumerate(parts)])
+                yield pa.RecordBatch.from_arrays([*(c[done : done + len(texts)] for c in others), pa.array(cut, kind)], names=[*batch.schema.names[:-1], "pieces"])
+                done += len(texts)
 
     return run
 
 
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, also: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``also`` (name → type), and pieces (piece, start, length, ids_crc32) for each document."""
+    also = also or {}
+    kind = ", ".join(["doc_id long", *(f"{c} {t}" for c, t in also.items()), "pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"])
+    return docs.select(F.col("doc_id").cast("long"), *(F.col(c).cast(t) for c, t in also.items()), "text").mapInArrow(_cut(vocabulary, capacity, end_id), kind)
+
+
 def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             placed = [packer.place(n) for n in batch.column("length").to_pylist()]
@@ -104,42 +111,17 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
     A null or empty text is the end id alone. A null doc_id stays null. Repeated rows are packed as often as they
     come; their pieces then share doc_id and piece. An empty table gives no rows. A long text takes the memory of
-    its own ids. Sequence numbers are unique; they depend on how the input is partitioned.
+    its own ids. Pieces of equal length go by doc_id, piece and checksum. Sequence numbers are unique; they depend on
+    how the table of pieces is read.
     """
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, capacity, end_id), _PIECES)
-    in_order = pieces.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return in_order.mapInArrow(_pack(capacity), _PACKED)
-
-
-def _cut_whole(vocabulary: str, capacity: int, end_id: int):
-    """As _cut, but a row for each text, with its source and a list of its pieces."""
-    end = int(end_id).to_bytes(4, "little")
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for batch in batches:
-            done = 0
-            for texts in slices(x.as_py() for x in batch.column(2)):
-                cut = []
-                for raw in enc.encode(texts):
-                    raw += end
-                    parts = [(start, raw[4 * start : 4 * (start + capacity)]) for start in range(0, len(raw) // 4, capacity)]
-                    cut.append([{"piece": i, "start": s, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for i, (s, x) in enumerate(parts)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(texts)], batch.column(1)[done : done + len(texts)], pa.array(cut, kind)], names=["doc_id", "source", "pieces"])
-                done += len(texts)
-
-    return run
-
-
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, source, pieces) for each document: the pieces that pack_documents cuts."""
-    kind = "doc_id long, source string, pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_cut_whole(vocabulary, capacity, end_id), kind)
+    pieces = cut_documents(docs, vocabulary, capacity, end_id).select("doc_id", F.inline("pieces"))
+    table, _ = materialize(pieces, "pieces")
+    return table.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(_pack(capacity), _PACKED)
 
 
 def _pack_runs(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         packer, now = None, None
         for batch in batches:
             placed = []
@@ -150,15 +132,15 @@ def _pack_runs(capacity: int):
             if placed:
                 seq, off = (pa.array(c, pa.int64()) for c in zip(*placed))
                 rest = batch.drop_columns(["run"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, seq, off], names=[*rest.schema.names, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, seq, off, batch.column("run")], names=[*rest.schema.names, "sequence_id", "offset", "run"])
 
     return run
 
 
 def pack_runs(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Pack each ``run`` (long, from 0) of ``pieces`` (run and the columns of a piece) by itself, so that sequences rise
-    with the runs, however the input is partitioned. Returns what pack_documents does; the price is about one
-    part-filled sequence a run."""
+    with the runs, however the input is partitioned. Returns what pack_documents does, and the run; the price is about
+    one part-filled sequence a run. Nulls, ties and repeated rows are as there; no run is null."""
     names = [c.split()[0] for c in _PIECES.split(", ")]
     dealt = pieces.select("run", *names).repartitionByRange("run")
-    return dealt.sortWithinPartitions("run", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(_pack_runs(capacity), _PACKED)
+    return dealt.sortWithinPartitions("run", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(_pack_runs(capacity), _PACKED + ", run long")

@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts name: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+_FOLDERS: set[str] = set()
+_OPEN: list[list[str]] = []
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a local one of our own only where none is set."""
+    """This application's folder in the one that the cluster shares (``spark.checkpoint.dir``); deleted when the driver
+    ends. Where that is unset, a local master gets a folder of its own; on a cluster that would lose rows, so it is an
+    error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaylight-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete(jvm, conf, path: str) -> None:
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(conf).delete(hadoop, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -36,11 +57,33 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is deleted at the end; nothing that leaves it may read those tables any more."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        discard(spark, made)
+
+
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     for p in paths:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(p)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), p)
+
+
+def refuse(df: DataFrame, adds: Iterable[str]) -> None:
+    """The columns that an operator adds must not be there yet."""
+    if taken := sorted({c.lower() for c in adds} & {c.lower() for c in df.columns}):
+        raise ValueError(f"columns that the operator adds exist already: {', '.join(taken)}")
+
+
+def wrapped(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``, so that no name of theirs can meet one of ours."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"))
 
 
 def ascii_lower(c: Column) -> Column:

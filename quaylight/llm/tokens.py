@@ -19,9 +19,15 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&()*+/=@_~-]*)")
 _BLOCK = 8192
 
 
+def _units(texts: Iterable[str]) -> int:
+    """How many texts of usual length these come to."""
+    return sum(1 + len(t) // 24 for t in texts)
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes. ``max_words`` bounds the words remembered, ``max_runs`` the runs of
-    letters; beyond it, either starts afresh."""
+    letters, some 200 bytes each; longer ones count by their length, so both bound bytes. Beyond it, either starts
+    afresh; the words of one call are held besides."""
 
     def __init__(self, path: str, max_words: int = 700_000, max_runs: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,6 +40,7 @@ class WordEncoder:
         self._words: dict[str, bytes] = {"": b""}
         self._runs: dict[str, bytes] = {"": b""}
         self._max_words, self._max_runs = max_words, max_runs
+        self._n_words = self._n_runs = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -49,13 +56,19 @@ class WordEncoder:
             self._runs.update({w: raw[a:b] for w, a, b in zip(block, cuts, cuts[1:])})
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: (w.lower(), "") for w in words if w.isascii() and w.isalpha()}
-        split.update({w: (m[1].lower(), m[2]) for w in words if w not in split and (m := _PLAIN.fullmatch(w))})
+        split = {}
+        for w in words:
+            if w.isascii() and w.isalpha():
+                split[w] = (w if w.islower() else w.lower(), "")  # the same string, so that it is held once
+            elif m := _PLAIN.fullmatch(w):
+                split[w] = (m[1].lower(), m[2])
         runs = {r for pair in split.values() for r in pair}
         fresh = runs.difference(self._runs)
-        if len(self._runs) + len(fresh) > self._max_runs:
+        self._n_runs += _units(fresh)
+        if self._n_runs > self._max_runs:
             self._runs = {"": b""}
             fresh = runs - {""}
+            self._n_runs = _units(fresh)
         self._learn_runs(list(fresh))
         get = self._runs
         self._words.update({w: get[a] + get[b] for w, (a, b) in split.items()})
@@ -66,9 +79,11 @@ class WordEncoder:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*words)
         fresh = new.difference(self._words)
-        if len(self._words) + len(fresh) > self._max_words:
+        self._n_words += _units(fresh)
+        if self._n_words > self._max_words:
             self._words = {"": b""}
             fresh = new - {""}
+            self._n_words = _units(fresh)
         if fresh:
             self._learn(fresh)
         get = self._words.__getitem__
@@ -98,7 +113,7 @@ def encoder(path: str) -> WordEncoder:
     return kept(path, lambda: WordEncoder(path))
 
 
-def slices(texts: Iterable[str | None], rows: int = 512, chars: int = 8_000_000) -> Iterator[list[str]]:
+def slices(texts: Iterable[str | None], rows: int = 256, chars: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in runs bounded by rows and characters (one longer text is a run of its own); null is empty."""
     part: list[str] = []
     size = 0
