@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import kept, slices
+from .shared import refuse
+from .tokens import kept, release, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits (½, ², Ⅷ): word characters to ``re``, but no letters.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+#: A run of more letters counts as several words of at most so many.
+_LONGEST = 1000
 _TINY = 1e-250
+#: Letters up to which doubles hold the probability of a word.
+_SHORT = 40
 #: Words that one Python worker remembers at most; beyond it, it starts afresh.
 _MEMORY = 400_000
 
@@ -62,7 +71,12 @@ def public_pieces(path: str, max_piece: int) -> set[str]:
 
 
 def words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """The lower-cased runs of letters."""
+    low = text.lower()
+    found = _LETTERS.findall(low if low.isascii() else _NUMBERS.sub(" ", low))
+    if len(low) > _LONGEST and any(len(w) > _LONGEST for w in found):
+        return [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    return found
 
 
 class Scorer:
@@ -131,8 +145,9 @@ def _expect(counts: Counter, prob: dict[str, float], longest: int, unknown: floa
     out: dict[str, float] = defaultdict(float)
     for word, c in counts.items():
         n = len(word)
-        arcs = [(s, e, word[s:e], p) for e in range(1, n + 1) for s in range(max(0, e - longest), e) if (p := prob.get(word[s:e])) or e - s == 1 and (p := unknown)]
-        ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        number = float if n <= _SHORT else Decimal  # products over long words leave the range of doubles
+        arcs = [(s, e, word[s:e], number(p)) for e in range(1, n + 1) for s in range(max(0, e - longest), e) if (p := prob.get(word[s:e])) or e - s == 1 and (p := unknown)]
+        ahead, back = [number(1)] + [number(0)] * n, [number(0)] * n + [number(1)]
         for s, e, _, p in arcs:
             ahead[e] += ahead[s] * p
         for s, e, _, p in reversed(arcs):
@@ -140,25 +155,30 @@ def _expect(counts: Counter, prob: dict[str, float], longest: int, unknown: floa
         if ahead[n] > 0:
             share = c / ahead[n]
             for s, e, piece, p in arcs:
-                out[piece] += share * ahead[s] * p * back[e]
+                out[piece] += float(share * ahead[s] * p * back[e])
     return out
 
 
-def train(counts: dict[str, Counter], docs: dict[str, int], vocabulary: set[str], settings: Settings) -> Model:
-    """Piece probabilities from word counts in each language; words over 60 letters teach nothing."""
-    languages = sorted(counts)
-    learned = []
-    for lang in languages:
-        seen = Counter({w: c for w, c in counts[lang].items() if len(w) <= 60})
-        prob = {p: 1.0 / len(vocabulary) for p in vocabulary}
-        for _ in range(settings.rounds):
-            got = _expect(seen, prob, settings.max_piece, settings.unknown)
-            total = sum(got.values()) + settings.smooth * len(vocabulary)
-            prob = {p: (got.get(p, 0.0) + settings.smooth) / total for p in vocabulary}
-        learned.append(prob)
-    n = sum(docs.values())
-    pieces = {p: tuple(prob[p] for prob in learned) for p in vocabulary}
-    return Model(languages, pieces, tuple(math.log(docs[x] / n) for x in languages), settings.unknown, settings.max_piece)
+def train(counts: Counter, vocabulary: list[str], settings: Settings) -> list[float]:
+    """The probability of each piece of the vocabulary in the language whose words these are."""
+    prob = {p: 1.0 / len(vocabulary) for p in vocabulary}
+    for _ in range(settings.rounds):
+        got = _expect(counts, prob, settings.max_piece, settings.unknown)
+        total = sum(got.values()) + settings.smooth * len(vocabulary)
+        prob = {p: (got.get(p, 0.0) + settings.smooth) / total for p in vocabulary}
+    return list(prob.values())
+
+
+def _train_group(path: str, settings: Settings):
+    """One language: its word counts in, one row with the probabilities of the sorted pieces out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        counts = Counter(dict(sorted(zip(table["word"].to_pylist(), table["n"].to_pylist()))))
+        learned = train(counts, sorted(public_pieces(path, settings.max_piece)), settings)
+        return pa.table({"lang": table["lang"].slice(0, 1), "p": pa.array([learned], pa.list_(pa.float64()))})
+
+    return run
 
 
 def _count_words():
@@ -177,7 +197,8 @@ def _count_words():
 
 
 def fit(labelled: DataFrame, vocabulary: str, settings: Settings = Settings()) -> Model | None:
-    """Train on (doc_id, text, lang) rows whose lang is not null; None without any."""
+    """Train on (doc_id, text, lang) rows whose lang is not null; None without any. Rows that share a lang and doc_id are
+    picked or left together; a null doc_id is never picked. Texts without letters teach nothing."""
     known = labelled.where("lang is not null")
     docs = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not docs:
@@ -188,14 +209,16 @@ def fit(labelled: DataFrame, vocabulary: str, settings: Settings = Settings()) -
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = known.select("lang", "doc_id").where(drawn).withColumn("rank", rank).where(F.col("rank") <= settings.per_language).select("lang", "doc_id").distinct()
     texts = known.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])
-    rows = texts.select("lang", "text").mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for r in rows:
-        counts[r.lang][r.word] = r.n
-    if not counts:
+    counted = texts.select("lang", "text").mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # A group is a language's bounded sample; languages are trained side by side, and only probabilities come here.
+    learned = {r.lang: r.p for r in counted.groupBy("lang").applyInArrow(_train_group(vocabulary, settings), "lang string, p array<double>").collect()}
+    if not learned:
         return None
-    docs = {lang: n for lang, n in docs.items() if lang in counts}
-    return train(counts, docs, public_pieces(vocabulary, settings.max_piece), settings)
+    languages = sorted(learned)
+    names = sorted(public_pieces(vocabulary, settings.max_piece))
+    n = sum(docs[x] for x in languages)
+    pieces = dict(zip(names, zip(*(learned[x] for x in languages))))
+    return Model(languages, pieces, tuple(math.log(docs[x] / n) for x in languages), settings.unknown, settings.max_piece)
 
 
 def scorer(model: Model) -> Scorer:
@@ -206,10 +229,12 @@ def scorer(model: Model) -> Scorer:
 def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred and score (the posterior of that language) added.
 
-    ``docs`` needs text and no column of those names; the others are passed through. Whole texts are scored. A
-    text that is null or has no letter is ``und`` with the score 0, as is every text without a model. Repeated
-    rows are scored each.
+    ``docs`` needs text; the other columns are passed through, and one that is called lang_pred or score already is a
+    ValueError. Whole texts are scored, very long ones in the memory of their words. A text that is null or has no letter
+    is ``und`` with the score 0, as is every text without a model. Of languages that are equally likely the first by
+    name counts. Repeated rows are scored each; an empty table gives no rows.
     """
+    refuse(docs, ("lang_pred", "score"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
