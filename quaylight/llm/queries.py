@@ -37,7 +37,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(documents(spark, sf_dir), min_chars=20, min_docs=3)
+    return linededup.line_bitmaps(documents(spark, sf_dir), min_chars=20, min_docs=3)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
