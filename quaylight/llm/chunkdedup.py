@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, wrapped
 from .tokens import release, slices
 
 _CHUNKS = "doc_id long, start long, length int, d1 long, d2 long"
@@ -99,7 +99,7 @@ def repeated_runs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     Chunks repeated within one document only, and rows without a doc_id, take no part; rows that share a doc_id are
     one document. Null and empty texts have no chunks. An empty table gives no rows. A chunk's first holder is the
     smallest doc_id. Digests are counted before the shuffle and joined by Spark's skew-splitting join, so a passage
-    that a third of all documents hold is no single task's work.
+    that a third of all documents hold is no single task's work. A very long text is cut in the memory of its bytes.
     """
     cut = chunks(docs, settings)
     often = cut.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id")).where("keep_id <> last_id")
@@ -122,12 +122,12 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """``docs`` (all columns) with text cut: runs that an earlier document holds are taken out of later ones.
 
     A run goes whole if all its chunks have an earlier holder; runs that are partly their document's own stay.
-    Documents keep their rows, even if nothing is left; texts without such a run stay as they are.
-    Spans are shifted to whole characters.
+    Documents keep their rows, even if nothing is left; texts without such a run, null and empty ones stay as they are.
+    Spans are shifted to whole characters. Input columns may have any names. Rows that share a doc_id have all spans of
+    that doc_id, so they should be repeated rows. A very long text is one task's work. An empty table gives no rows.
     """
-    gone = repeated_runs(docs, settings).where("n_removed = length").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
+    gone = repeated_runs(docs, settings).where("n_removed = length").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    joined = wrapped(docs).join(gone, F.col("row.doc_id") == gone["doc_id"], "left").select("row", "spans")
 
     @F.pandas_udf("string")
     def cut_out(text, spans):
@@ -145,4 +145,5 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
         return text.where(spans.isna() | text.isna(), [one(t, s) if t is not None and s is not None else t for t, s in zip(text, spans)])
 
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_out(F.col("text"), F.col("_spans")))).drop("_spans")
+    shorter = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut_out(F.col("row.text"), F.col("spans")))
+    return joined.select(*((shorter if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
