@@ -17,9 +17,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE, _FINE = 16, 16
+from .shared import materialize, refuse, wrapped
+
 #: All sources' exact weights together, as ``spread`` counts them.
 UNITS = 10**9
+ADDS = ("mix_block", "mix_slot", "mix_place", "mix_share", "mix_slots")
 
 
 def source_key(source: Column) -> Column:
@@ -27,21 +29,6 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def _bucket(docs: DataFrame, order: Column) -> Column:
-    """Buckets of about equal size that rise with the order; cut points come from quantiles, and only the balance
-    of the work depends on them, not the result. Nulls come last."""
-    n = _COARSE * _FINE
-    cuts = docs.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 2000)).first()[0] or []
-    cuts = sorted(cuts)
-    heads = cuts[_FINE - 1 :: _FINE]
-    groups = [cuts[i : i + _FINE] for i in range(0, len(cuts), _FINE)] or [[]]
-    kind = "array<array<bigint>>"
-    coarse = F.size(F.filter(F.array(*map(F.lit, heads)).cast("array<bigint>"), lambda c: c < order))
-    table = F.array(*(F.array(*map(F.lit, g)) for g in groups)).cast(kind)
-    fine = F.size(F.filter(F.get(table, coarse), lambda c: c < order))
-    return F.when(order.isNull(), F.lit(n)).otherwise(coarse * _FINE + F.coalesce(fine, F.lit(0)))
-
-
 def shares(counts: DataFrame, slots: int, weights: dict[str, float] | None = None, power: float = 0.5) -> DataFrame:
     """(key, share): whole shares of about ``slots`` slots, one at least for each source in ``counts`` (key, n).
 
@@ -89,18 +76,29 @@ def period(share: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with _mix_key, mix_block and mix_place, and the sources' counts (key, n)."""
-    tie = F.xxhash64(*[docs[c] for c in docs.columns if not docs.schema[c].dataType.typeName() in ("map", "variant")])
-    keyed = docs.withColumns({"_mix_key": source_key(docs["source"]), "_mix_bucket": _bucket(docs, docs["doc_id"].cast("long")), "_mix_tie": tie})
-    counts = keyed.groupBy("_mix_key", "_mix_bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("_mix_key").alias("_mix_k"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(before, F.lit(0)).alias("_mix_before"))
-    local = F.row_number().over(Window.partitionBy("_mix_key", "_mix_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "_mix_tie"))
-    ranked = keyed.withColumn("_mix_local", local).join(offsets, (F.col("_mix_key") == F.col("_mix_k")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    number = F.col("_mix_before") + F.col("_mix_local") - 1
-    blocks = ranked.withColumn("_mix_number", number)
-    blocks = blocks.withColumn("mix_block", F.expr(f"_mix_number div {block}")).withColumn("mix_place", F.col("_mix_number") % block)
-    return blocks, counts.groupBy(F.col("_mix_key").alias("key")).agg(F.sum("n").alias("n"))
+    """(row, key, mix_block, mix_place) for each row of ``docs``, and the sources' counts (key, n).
+
+    Only ids are sorted: by ranges of (source, doc_id, hash of the row), as many as the data asks for, so that neither a
+    hot source nor rows without a doc_id meet in one task. A row's number is its place in its range after the
+    source's rows in the ranges before.
+    """
+    hashed = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rows = wrapped(docs).select("row", source_key(F.col("row.source")).alias("key"), F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("tie"))
+    order = [F.col("key"), F.col("id").asc_nulls_last(), F.col("tie")]
+    ids, _ = materialize(rows.select("key", "id", "tie").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-ids")
+    part = F.shiftright("at", 33).alias("part")  # of the range sort
+    ranges = ids.groupBy("key", part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("key", "part", (before - F.col("first")).alias("shift"))
+    numbers = ids.select("key", part, "id", "tie", "at").join(offsets, ["key", "part"]).select("id", "tie", (F.col("at") + F.col("shift")).alias("number"))
+    # Rows that are the same in all columns share a first number and are told apart by their place among themselves.
+    sure = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    firsts = numbers.groupBy(sure(F.col("id")).alias("id"), "tie").agg(F.min("number").alias("number"))
+    met = rows.withColumn("id", sure(F.col("id"))).join(firsts, ["id", "tie"])
+    copy = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id")) - 1
+    placed = met.select("row", "key", (F.col("number") + copy).alias("number"))
+    blocks = placed.select("row", "key", F.expr(f"number div {block}").alias("mix_block"), (F.col("number") % block).alias("mix_place"))
+    return blocks, ranges.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[str, float] | None = None) -> DataFrame:
@@ -109,22 +107,22 @@ def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[
 
     ``docs`` needs doc_id and source. A source's documents come by doc_id, nulls last; rows that share a doc_id
     come in the order of a hash of the row. A null source is a source of its own. Every row comes back once, with
-    repeated rows each in a place of its own. An empty table gives no rows. Columns of the input may have any
-    names but those that begin with ``mix_`` or ``_mix_``.
-
-    Rows are numbered by (source, range of doc_id) and the ranges' offsets, so no source meets in one task.
+    repeated rows each in a place of its own. An empty table gives no rows. Texts, of any length, are not looked into.
+    Columns of the input may have any names but the five that are added, which are a ValueError.
     """
+    refuse(docs, ADDS)
     blocks, totals = _numbered(docs, block)
     turns = period(shares(totals, slots, weights))
-    mine = turns.select(F.col("key").alias("_mix_tk"), F.col("turn").alias("_mix_turn"), F.col("slot").alias("_mix_slot"), F.col("slots").alias("mix_slots"))
-    sized = turns.select(F.col("key").alias("_mix_sk"), F.col("share").alias("mix_share")).distinct()
+    mine = turns.select("key", F.col("turn").alias("at_turn"), "slot", F.col("slots").alias("mix_slots"))
+    sized = turns.select("key", F.col("share").alias("mix_share")).distinct()
     # Both sides have a row for each source or slot, so they are bounded by the period, not by the documents.
-    placed = blocks.join(F.broadcast(sized), F.col("_mix_key") == F.col("_mix_sk")).join(
-        F.broadcast(mine), (F.col("_mix_key") == F.col("_mix_tk")) & (F.expr("mix_block % mix_share") == F.col("_mix_turn"))
-    )
-    return placed.withColumn("mix_slot", F.expr("(mix_block div mix_share) * mix_slots + _mix_slot")).select(
-        *[placed[c] for c in docs.columns], "mix_block", "mix_slot", "mix_place", "mix_share", "mix_slots"
-    )
+    sharing = blocks.join(F.broadcast(sized), "key").withColumn("at_turn", F.expr("mix_block % mix_share"))
+    placed = sharing.join(F.broadcast(mine), ["key", "at_turn"]).withColumn("mix_slot", F.expr("(mix_block div mix_share) * mix_slots + slot"))
+    return placed.select(*_columns(docs), *ADDS)
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
 def tree(weights: dict[str, int]) -> dict[str, list[tuple[int, int, bool]]]:
@@ -159,21 +157,21 @@ def spread(docs: DataFrame, block: int = 16) -> DataFrame:
     ancestor weighs 1, 2, 3, 5, 8, ... times a leaf at least, so a source is never more than 1.7 blocks off its weight,
     after any number of slots and for any number of sources. Slots of a source that has run out stay empty.
 
-    One row for each source comes to the driver. Slots times ``UNITS`` must stay below 2^62.
+    One row for each source comes to the driver. Slots times ``UNITS`` must stay below 2^62. Nulls, ties, repeated rows,
+    empty tables and names are as for ``schedule``.
     """
+    refuse(docs, ADDS[:3])
     blocks, totals = _numbered(docs, block)
     roots = {r.key: r.n**0.5 for r in totals.collect()}
     whole = sum(roots.values())
     ways = tree({k: max(1, round(UNITS * w / whole)) for k, w in roots.items()})
-    kind = "_mix_wk string, _mix_way array<struct<whole: bigint, own: bigint, first: boolean>>"
-    table = docs.sparkSession.createDataFrame(list(ways.items()), kind)
+    table = docs.sparkSession.createDataFrame(list(ways.items()), "key string, way array<struct<whole: bigint, own: bigint, first: boolean>>")
     slot = F.expr("""
-      aggregate(_mix_way, mix_block, (k, s) -> if(s.first,
+      aggregate(way, mix_block, (k, s) -> if(s.first,
         (s.whole * (2 * k + 1) + 2 * s.own - 1) div (2 * s.own) - 1,
         (s.whole * (2 * k + 1)) div (2 * s.own)))
     """)
-    placed = blocks.join(table, blocks["_mix_key"] == table["_mix_wk"]).withColumn("mix_slot", slot)
-    return placed.select(*[placed[c] for c in docs.columns], "mix_block", "mix_slot", "mix_place")
+    return blocks.join(table, "key").withColumn("mix_slot", slot).select(*_columns(docs), *ADDS[:3])
 
 
 def lay_out(placed: DataFrame, columns: list[str]) -> DataFrame:
