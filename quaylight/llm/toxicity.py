@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, scratch
 from .tokens import release, slices
 
 _WORD = re.compile(r"[^\W_]+")
@@ -97,44 +97,63 @@ def _bags(words: list[str]):
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on (text, toxic) rows; rows with a null text count as empty, rows with a null label are left out."""
-    known, _ = materialize(labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "toxic-fit")
-    words = choose_words(known, settings)
-    if not words:
-        share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
-        p = min(max(share, 1e-3), 1 - 1e-3)
-        return Model({}, float(np.log(p / (1 - p))))
-    rows = known.select("toxic", "text").mapInArrow(_bags(words), "toxic int, bags array<array<int>>, empty long").collect()
+    """Train on (text, toxic) rows; rows with a null text count as empty, rows with a null label are left out. Of words
+    whose evidence is equal the first by name are chosen; repeated rows count as often as they come."""
+    with scratch(labelled.sparkSession):
+        known, _ = materialize(labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "toxic-fit")
+        words = choose_words(known, settings)
+        if not words:
+            share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
+            p = min(max(share, 1e-3), 1 - 1e-3)
+            return Model({}, float(np.log(p / (1 - p))))
+        rows = known.select("toxic", "text").mapInArrow(_bags(words), "toxic int, bags array<array<int>>, empty long").collect()
     return Model(*_descend(rows, words, settings))
 
 
+@dataclass(frozen=True)
+class Bags:
+    """Sentences with vocabulary words, numbered: their documents, and (sentence, word) pairs; for each document its
+    label and how many sentences without such words it has."""
+
+    doc_of: np.ndarray
+    sent_of: np.ndarray
+    word_of: np.ndarray
+    target: np.ndarray
+    empty: np.ndarray
+
+    @staticmethod
+    def of(rows: list) -> "Bags":
+        doc, sent, word = [], [], []
+        for i, r in enumerate(rows):
+            for s in r.bags:
+                sent += [len(doc)] * len(s)
+                word += s
+                doc.append(i)
+        numbers = (np.array(x, dtype=np.int64) for x in (doc, sent, word))
+        return Bags(*numbers, np.array([r.toxic for r in rows], dtype=float), np.array([r.empty for r in rows], dtype=float))
+
+
+def loss_gradient(bags: Bags, w: np.ndarray, b: float, shrink: float) -> np.ndarray:
+    """The gradient, by w and then b, of: mean negative log likelihood of the documents' labels under the noisy-or of
+    their sentences, plus shrink / 2 times the squares of w."""
+    n = len(bags.target)
+    z = b + np.bincount(bags.sent_of, w[bags.word_of], minlength=len(bags.doc_of))
+    log_clean = np.bincount(bags.doc_of, -np.logaddexp(0.0, z), minlength=n) - bags.empty * np.logaddexp(0.0, b)
+    # d(-log likelihood)/d(log_clean): for other documents -1; for toxic ones exp(lc) / (1 - exp(lc)).
+    odds = np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-9)
+    pull = np.where(bags.target > 0, odds, -1.0) / n
+    dz = -pull[bags.doc_of] * np.exp(-np.logaddexp(0.0, -z))
+    by_word = np.bincount(bags.word_of, dz[bags.sent_of], minlength=len(w)) + shrink * w
+    return np.append(by_word, dz.sum() - (pull * bags.empty).sum() / (1 + np.exp(-b)))
+
+
 def _descend(rows: list, words: list[str], settings: Settings) -> tuple[dict[str, float], float]:
     """Maximise the likelihood of the documents by Adam over all of them."""
-    doc, sent, word, y, bare = [], [], [], [], []
-    for i, r in enumerate(rows):
-        y.append(r.toxic)
-        bare.append(r.empty)
-        for s in r.bags:
-            sent += [len(doc)] * len(s)
-            word += s
-            doc.append(i)
-    doc_of, sent_of, word_of = (np.array(x, dtype=np.int64) for x in (doc, sent, word))
-    target, empty = np.array(y, dtype=float), np.array(bare, dtype=float)
-    n = len(target)
+    bags = Bags.of(rows)
     w, b = np.zeros(len(words)), -6.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, settings.rounds + 1):
-        z = b + np.bincount(sent_of, w[word_of], minlength=len(doc_of))
-        clean = -np.logaddexp(0.0, z)
-        base = -np.logaddexp(0.0, b)
-        log_clean = np.bincount(doc_of, clean, minlength=n) + empty * base
-        # d(-log likelihood)/d(log_clean): 1 for other documents is -1; for toxic ones exp(lc) / (1 - exp(lc)).
-        odds = np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-9)
-        pull = np.where(target > 0, odds, -1.0) / n
-        dz = -pull[doc_of] * np.exp(-np.logaddexp(0.0, -z))
-        g = np.empty(len(words) + 1)
-        g[:-1] = np.bincount(word_of, dz[sent_of], minlength=len(words)) + settings.shrink * w
-        g[-1] = dz.sum() - (pull * empty).sum() / (1 + np.exp(-b))
+        g = loss_gradient(bags, w, b, settings.shrink)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], float(b - move[-1])
@@ -147,7 +166,8 @@ def score(docs: DataFrame, model: Model, keep: int = 3) -> DataFrame:
 
     A document may be toxic by many sentences of which none offends by itself; then only ``worst`` names some.
 
-    ``docs`` needs doc_id and text. Whole texts are read. A null or empty text, or one without words, has no
+    ``docs`` needs doc_id and text. Whole texts are read, very long ones in the memory of their sentences; equal
+    probabilities rank by place. A null or empty text, or one without words, has no
     sentence and the score 0. Repeated rows are scored each; other columns are not read.
     """
 
