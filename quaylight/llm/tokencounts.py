@@ -26,7 +26,8 @@ def length_histogram(docs: DataFrame, vocabulary: str, by: str = "source") -> Da
 
     Returns ``by``, n_tokens, n_docs. Counts are exact and add up before the shuffle, so a hot group sends a row
     for each length and task. A null or empty text has length 0; a null group is a group. Repeated rows count as
-    often as they come; an empty table gives an empty histogram; other columns are not read.
+    often as they come; an empty table gives an empty histogram; other columns are not read. A very long text takes the
+    memory of its words and ids in one task.
     """
     encoded = docs.select(F.col(by).cast("string").alias("part"), "text").mapInArrow(_lengths(vocabulary), "part string, n_tokens long")
     return encoded.groupBy("part", "n_tokens").agg(F.count("*").alias("n_docs")).withColumnRenamed("part", by)
@@ -52,3 +53,12 @@ def context_limits(histogram: DataFrame, by: str = "source") -> DataFrame:
         .withColumn("truncated_total", F.col("total_tokens") - F.col("tokens_ge") + F.col("n_tokens") * F.col("docs_ge"))
         .withColumn("quantile", (F.col("total_docs") - F.col("docs_ge") + F.col("n_docs")) / F.col("total_docs"))
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int], by: str = "source") -> DataFrame:
+    """For each group and each of the given context limits, observed or not: docs_over (documents longer than the limit)
+    and truncated_total (the group's tokens if each document is cut to it)."""
+    at = histogram.withColumn("context_limit", F.explode(F.array(*map(F.lit, limits)).cast("array<bigint>")))
+    over = F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0))
+    total = F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs"))
+    return at.groupBy(by, "context_limit").agg(over.alias("docs_over"), total.alias("truncated_total"))
