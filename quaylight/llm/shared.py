@@ -41,6 +41,11 @@ def _delete(jvm, conf, path: str) -> None:
     hadoop.getFileSystem(conf).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _OPEN:

@@ -4,7 +4,7 @@ Queries go in blocks of a bounded number, each broadcast to the tasks that hold
 scored against every query of the block. A round bins scores for each query between two bounds that hold its kth
 highest score; tasks send the counts of the highest bins that reach k, which are summed over tasks, and the bin
 with the kth score becomes the next bounds, until it is one score wide. A last pass filters: what is above the kth
-score, and of the ties at it the smallest ids.
+score, and of the ties at it the smallest ids; it is appended to a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import exists, new_path
+
 _EXACT = 1 << 53
-_REACH = 1 << 61
+_SIGN = 1 << 63
 _CELLS = 2_000_000
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -47,24 +49,27 @@ def quantize(vectors: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, np.nd
 
 @dataclass(frozen=True)
 class Block:
-    """Queries of one length: ids, vectors, and for each the bounds [low, high) that hold its kth highest score."""
+    """Queries of one length: ids, vectors, and for each the bounds [low, top] that hold its kth highest score. Scores
+    are kept as unsigned longs with 2^63 added, so that differences of any two of them fit."""
 
     ids: np.ndarray
     vectors: np.ndarray
     low: np.ndarray
-    high: np.ndarray
-    above: np.ndarray  #: how many candidates score ``high`` or more
+    top: np.ndarray
+    above: np.ndarray  #: how many candidates score over ``top``
 
 
-def _scores(block: Block, matrix: np.ndarray) -> np.ndarray:
-    """Inner products (queries × candidates) as long; exact, as products of doubles are below 2^53, or by integers."""
+def _scores(block: Block, ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Inner products (queries × candidates), with 2^63 added; exact, as products of doubles are below 2^53, or by
+    integers. A score beyond a long is an OverflowError, but for a query's own row, which is no candidate."""
     bound = float(np.abs(block.vectors).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * matrix.shape[1]
     if bound < _EXACT:
-        return (block.vectors @ matrix.T).astype(np.int64)
-    exact = [[int(x) for x in row] for row in matrix]
-    top = _REACH
-    whole = [[max(-top, min(top, sum(int(a) * b for a, b in zip(q, row)))) for row in exact] for q in block.vectors]
-    return np.array(whole, dtype=np.int64).reshape(len(block.vectors), len(matrix))
+        return (block.vectors @ matrix.T).astype(np.int64).view(np.uint64) ^ np.uint64(_SIGN)
+    q, c = ([[int(x) for x in row] for row in m] for m in (block.vectors, matrix))
+    whole = [[sum(a * b for a, b in zip(x, y)) + _SIGN if i != j else 0 for j, y in zip(ids, c)] for i, x in zip(block.ids, q)]
+    if any(not 0 <= s < 2 * _SIGN for row in whole for s in row):
+        raise OverflowError("a score is beyond a long")
+    return np.array(whole, dtype=np.uint64).reshape(len(q), len(c))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], block: Block, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -76,18 +81,22 @@ def _parts(batches: Iterator[pa.RecordBatch], block: Block, scale: int) -> Itera
         if n in mats:
             ids = batch.column(0).to_numpy(zero_copy_only=False)[rows[n]]
             for lo in range(0, len(ids), size):
-                yield ids[lo : lo + size], _scores(block, mats[n][lo : lo + size])
+                yield ids[lo : lo + size], _scores(block, ids[lo : lo + size], mats[n][lo : lo + size])
+
+
+def _width(block: Block, bins: int) -> np.ndarray:
+    return (block.top - block.low) // np.uint64(bins) + np.uint64(1)
 
 
 def _histogram(shared, k: int, bins: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         nq = len(block.ids)
-        width = np.maximum(1, -(-(block.high - block.low) // bins))
+        low, top, width = block.low[:, None], block.top[:, None], _width(block, bins)[:, None]
         counts = np.zeros(nq * bins, dtype=np.int64)
         for ids, scores in _parts(batches, block, scale):
-            at = (scores - block.low[:, None]) // width[:, None]
-            ok = (scores >= block.low[:, None]) & (scores < block.high[:, None]) & (ids[None, :] != block.ids[:, None])
+            at = ((np.maximum(scores, low) - low) // width).astype(np.int64)
+            ok = (scores >= low) & (scores <= top) & (ids[None, :] != block.ids[:, None])
             counts += np.bincount((at + bins * np.arange(nq)[:, None])[ok], minlength=nq * bins)
         counts = counts.reshape(nq, bins)
         over = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
@@ -103,19 +112,20 @@ def _filter(shared, k: int, scale: int):
         ties: dict[int, np.ndarray] = {}
         for ids, scores in _parts(batches, block, scale):
             own = ids[None, :] == block.ids[:, None]
-            q, c = np.nonzero((scores >= block.high[:, None]) & ~own)
+            q, c = np.nonzero((scores > block.top[:, None]) & ~own)
             yield _rows(block.ids[q], ids[c], scores[q, c])
-            tied = (scores == block.low[:, None]) & (block.high > block.low)[:, None] & ~own
+            tied = (scores == block.top[:, None]) & ~own
             for i in np.flatnonzero(tied.any(axis=1)):
                 ties[i] = np.sort(np.concatenate([ties.get(i, np.zeros(0, np.int64)), ids[tied[i]]]))[:k]
         for i, ids in ties.items():
-            yield _rows(np.full(len(ids), block.ids[i]), ids, np.full(len(ids), block.low[i]))
+            yield _rows(np.full(len(ids), block.ids[i]), ids, np.full(len(ids), block.top[i], dtype=np.uint64))
 
     return run
 
 
 def _rows(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
+    signed = (s ^ np.uint64(_SIGN)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q, v, signed)], names=["query_id", "vec_id", "score"])
 
 
 def _refine(candidates: DataFrame, block: Block, k: int, bins: int, scale: int) -> Block:
@@ -128,17 +138,17 @@ def _refine(candidates: DataFrame, block: Block, k: int, bins: int, scale: int)
     reached = F.col("upto") + F.col("above") >= k
     found = cut.groupBy("q").agg(F.max(F.when(reached, F.col("bin"))).alias("bin"), F.max(F.when(~reached, F.col("upto"))).alias("before")).collect()
     shared.destroy()
-    low, high, above = block.low.copy(), block.high.copy(), block.above.copy()
-    width = np.maximum(1, -(-(high - low) // bins))
+    low, top, above = block.low.copy(), block.top.copy(), block.above.copy()
+    width = _width(block, bins)
     short = np.ones(len(block.ids), dtype=bool)
     for r in found:
         if r.bin is not None:
             short[r.q] = False
-            high[r.q] = min(int(block.high[r.q]), int(block.low[r.q] + (r.bin + 1) * width[r.q]))
-            low[r.q] = block.low[r.q] + r.bin * width[r.q]
+            low[r.q] = block.low[r.q] + np.uint64(r.bin) * width[r.q]
+            top[r.q] = low[r.q] + min(width[r.q] - np.uint64(1), block.top[r.q] - low[r.q])
             above[r.q] = block.above[r.q] + (r.before or 0)
-    high[short] = low[short]  # fewer than k candidates: all of them are above the lowest bound
-    return replace(block, low=low, high=high, above=above)
+    low[short] = top[short] = 0  # fewer than k candidates: all of them count, those over the lowest long and ties at it
+    return replace(block, low=low, top=top, above=above)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, bins: int = 2048, block: int = 1024) -> DataFrame:
@@ -150,22 +160,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Vectors that are null or empty or hold null or non-finite components take no part, nor do null ids. Only vectors
     of the query's length are its candidates. A repeated query row asks once; a repeated candidate row counts
-    each time. An empty table gives no rows. Scores beyond 2^61 are held there.
+    each time. An empty table gives no rows. A score that a long can't hold is an OverflowError; all others are exact.
 
     The query set is read in blocks of ``block`` rows, so what is broadcast and what the driver holds at a time is
-    bounded; each block reads the candidates three to five times.
+    bounded, and each block's rows are written before the next begins. A block reads the candidates three to five
+    times, one job after another; scoring 1024 queries costs far more than reading a candidate, so larger blocks would
+    save little. A million queries are about 1000 blocks.
     """
     spark = vectors.sparkSession
     candidates = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
     asked = queries.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    out = None
+    path = None
     for some in _blocks(asked, scale, block):
-        part = _select(candidates, some, k, bins, scale)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        path = path or new_path(spark, "top-k")
+        _select(candidates, some, k, bins, scale, path)
+    if path is None or not exists(spark, path):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(_FOUND).parquet(path).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _blocks(asked: DataFrame, scale: int, size: int) -> Iterator[Block]:
@@ -175,7 +187,7 @@ def _blocks(asked: DataFrame, scale: int, size: int) -> Iterator[Block]:
     def block(n: int) -> Block:
         some = waiting.pop(n)
         lots = np.zeros(len(some), dtype=np.int64)
-        return Block(np.array(list(some)), np.stack(list(some.values())), lots, lots, lots)
+        return Block(np.array(list(some)), np.stack(list(some.values())), lots.view(np.uint64), lots.view(np.uint64), lots)
 
     for row in asked.dropDuplicates(["vec_id"]).toLocalIterator():
         rows, mats = quantize(pa.array([row.embedding], pa.list_(pa.float64())), scale)
@@ -189,18 +201,23 @@ def _blocks(asked: DataFrame, scale: int, size: int) -> Iterator[Block]:
         yield block(n)
 
 
-def _select(candidates: DataFrame, block: Block, k: int, bins: int, scale: int) -> DataFrame:
+def _select(candidates: DataFrame, block: Block, k: int, bins: int, scale: int, path: str) -> None:
+    """Append the block's rows to the table at ``path``: each task's k best at most, and ties."""
     spark = candidates.sparkSession
     # By Cauchy and Schwarz no score is beyond the product of the norms; the longest candidate bounds them all.
     size = F.aggregate(F.col("embedding"), F.lit(0.0), lambda s, x: s + F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0)))
     longest = candidates.where(F.size("embedding") == block.vectors.shape[1]).agg(F.max(F.when(~F.isnan(size), size))).first()[0]
     if longest is None:
-        return spark.createDataFrame([], _FOUND)
-    reach = np.minimum(np.ceil(np.linalg.norm(block.vectors, axis=1) * np.sqrt(longest)) + 2, float(_REACH)).astype(np.int64)
-    block = replace(block, low=-reach, high=reach + 1)
-    while (block.high - block.low > 1).any():
+        return
+    reach = np.minimum(np.ceil(np.linalg.norm(block.vectors, axis=1) * np.sqrt(longest)) * (1 + 1e-9) + 2, float(_SIGN))
+    far = [min(int(r), _SIGN) for r in reach]
+    low, top = (np.array(x, dtype=np.uint64) for x in ([_SIGN - r for r in far], [min(_SIGN + r, 2 * _SIGN - 1) for r in far]))
+    block = replace(block, low=low, top=top)
+    while (block.top > block.low).any():
         block = _refine(candidates, block, k, bins, scale)
-    return candidates.mapInArrow(_filter(spark.sparkContext.broadcast(block), k, scale), _FOUND)
+    shared = spark.sparkContext.broadcast(block)
+    candidates.mapInArrow(_filter(shared, k, scale), _FOUND).write.mode("append").parquet(path)
+    shared.destroy()
 
 
 TOP_K_SQL = """

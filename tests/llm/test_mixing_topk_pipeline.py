@@ -106,11 +106,27 @@ def test_top_k_empty_and_huge(spark):
     kind = "vec_id long, embedding array<double>"
     none = spark.createDataFrame([], kind)
     assert topk.top_k(none, none).count() == 0
-    big = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e3, 1.0]), (2, [1e200, 1.0]), (3, [2e3, 7.0])], kind)
-    got = [tuple(r) for r in topk.top_k(big, big.where("vec_id = 0"), k=3).collect()]
-    a = [math.floor(1024 * x) for x in (1e9, 1.0)]
-    s = lambda e: sum(x * math.floor(1024 * y) for x, y in zip(a, e))
-    assert got == [(0, 1, 2, 1 << 61), (0, 2, 3, s([2e3, 7.0])), (0, 3, 1, s([1e3, 1.0]))]
+    rows = [(0, [1e9, 1.0]), (1, [1e3, 1.0]), (2, [8e3, 1.0]), (3, [2e3, 7.0])]
+    big = spark.createDataFrame([*rows, (4, [1e200, 1.0])], kind)
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(big, big.where("vec_id = 0"), k=3).count()
+    got = [tuple(r) for r in topk.top_k(big.where("vec_id < 4"), big.where("vec_id = 0"), k=3).collect()]
+    assert sorted(got) == top_by_force(rows, lambda v: v == 0, 3)
+
+
+@pytest.mark.parametrize("bins", [2048, 3])
+def test_top_k_near_the_ends_of_a_long(spark, bins):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [2.0**21, 1.0])]
+    rows += [(i, [s * (2.0**22 - 8) - j, j * 2.0**9]) for i, (s, j) in enumerate(((s, j) for s in (-1, 1, 0.5, 2**-0.5) for j in (0, 1, 2, 2**-10)), 1)]
+    rows += [(90, [2.0**22 - 2.0**-10, 3.0]), (91, [-(2.0**22), 0.0]), (92, [0.0, 0.0])]
+    # 2^31 * 2^32 is 2^63: the query is a step shorter, so that all scores fit a long, some over 2^62.
+    rows[0] = (0, [2.0**21 - 2.0**-10, 1.0])
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    for k in (1, 5, 40):
+        got = topk.top_k(df, df.where("vec_id = 0"), k=k, bins=bins).collect()
+        want = top_by_force(rows, lambda v: v == 0, k)
+        assert sorted(map(tuple, got)) == want and (k == 1 or any(abs(w[3]) > 1 << 62 for w in want))
 
 
 def test_scratch(spark):
