@@ -235,7 +235,7 @@ def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     name counts. Repeated rows are scored each; an empty table gives no rows.
     """
     refuse(docs, ("lang_pred", "score"))
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if model is None else scorer(model)
@@ -250,10 +250,10 @@ def predict_rows(docs: DataFrame, model: Model | None) -> DataFrame:
                         best = int(total.argmax())
                         langs.append(model.languages[best])
                         scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, out)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, out)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -46,18 +46,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str, leaves: bool = False) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for made in _OPEN:
+    for made in () if leaves else _OPEN:
         made.append(path)
     return path
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, label: str, leaves: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, and a lost
-    executor costs a re-read, not a recomputation. Returns the table and its path."""
+    executor costs a re-read, not a recomputation. Returns the table and its path. With ``leaves`` it outlives the
+    ``scratch`` that it is made in."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, label, leaves)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

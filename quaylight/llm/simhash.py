@@ -2,12 +2,11 @@
 
 64-bit fingerprints of word shingles link at ``radius`` or fewer differing bits. Two such fingerprints agree on
 at least ``blocks - radius`` of ``blocks`` bit blocks, so each distinct fingerprint is filed under every choice of
-``blocks - radius`` blocks and any linked pair meets in a bucket. A bucket of more than ``shard`` fingerprints is
-dealt out in shards; each pair of shards is one cell, so no cell is larger than two shards and none is left out.
-A cell builds a BK-tree (children keyed by their Hamming distance to the parent) of its first shard; the shard's
-tree goes to every block of probes of its bucket, and probes follow only edges within the radius. Trees travel to
-their probes by the shuffle instead of by the driver: a broadcast of all trees would pass every fingerprint
-through the driver and grow with the corpus. A cell returns a link to a root for each fingerprint, not pairs.
+``blocks - radius`` blocks and any linked pair meets in a bucket. A bucket of more than ``shard`` fingerprints falls
+apart by its other bits, and what is still larger is dealt out in shards. Each shard has one BK-tree (children keyed by
+their Hamming distance to the parent), built once; the fingerprints of later shards of its bucket stream past it and
+follow only edges within the radius. They travel to the trees by the shuffle instead of the driver: a broadcast of all
+trees would pass every fingerprint through the driver and grow with the corpus. Links to a root leave, not pairs.
 """
 
 from __future__ import annotations
@@ -97,82 +96,120 @@ class BKTree:
         return found
 
 
-def _cell_links(tree: np.ndarray, probes: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links that join what lies within the radius between a shard and its probes (none: within the shard)."""
-    bk, boss = BKTree(), []
+class _Shard:
+    """A shard's BK-tree, and which of its fingerprints are linked; probes come by and only links to a root leave."""
 
-    def top(i: int) -> int:
+    def __init__(self, radius: int):
+        self._tree, self._boss, self._radius = BKTree(), [], radius
+
+    def _top(self, i: int) -> int:
+        boss = self._boss
         while boss[i] != i:
             boss[i] = boss[boss[i]]
             i = boss[i]
         return i
 
-    values = [*tree.tolist(), *probes.tolist()]
-    for i, v in enumerate(values):
-        boss.append(i)
-        if len(probes) == 0 or i >= len(tree):
-            for j in bk.within(v, radius):
-                a, b = top(i), top(j)
-                boss[max(a, b)] = min(a, b)
-        if i < len(tree):
-            bk.add(v)
-    for i, v in enumerate(values):
-        if (t := top(i)) != i:
-            yield v, values[t]
+    def _join(self, near: list[int]) -> int:
+        least = min(map(self._top, near))
+        for j in near:
+            self._boss[self._top(j)] = least
+        return least
+
+    def add(self, value: int) -> None:
+        near = self._tree.within(value, self._radius)
+        self._boss.append(self._tree.add(value))
+        if near:
+            self._join([*near, len(self._boss) - 1])
+
+    def probe(self, value: int) -> int | None:
+        """What the value links to; all that it is near to is linked from now on."""
+        near = self._tree.within(value, self._radius)
+        return self._tree.values[self._join(near)] if near else None
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        for i, v in enumerate(self._tree.values):
+            if (t := self._top(i)) != i:
+                yield v, self._tree.values[t]
 
 
 def _walk(radius: int):
-    """Rows arrive sorted by cell and shard; cells that end with a batch are carried over to the next."""
-
-    def links(cells: np.ndarray, second: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        out: list[tuple[int, int]] = []
-        if len(fp):
-            change = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(fp)]):
-                k = lo + int(np.count_nonzero(~second[lo:hi]))
-                out += _cell_links(fp[lo:k], fp[k:hi], radius)
-        if not out:
-            return None
-        a, b = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    """Rows arrive sorted by shard, first the shard's own fingerprints, then those of later shards of its bucket, which
+    stream past its tree; a task holds one tree at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))
+        release()
+        shard, now = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "bits", "i", "j")], axis=1)
-            now = (cells, batch.column("second").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64))
-            cells, second, fp = (np.concatenate(x) for x in zip(kept, now))
-            last = int(np.flatnonzero((cells != cells[-1]).any(axis=1))[-1]) + 1 if (cells != cells[-1]).any() else 0
-            if done := links(cells[:last], second[:last], fp[:last]):
-                yield done
-            kept = (cells[last:], second[last:], fp[last:])
-        if done := links(*kept):
-            yield done
+            out: list[tuple[int, int]] = []
+            cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "bits", "i")], axis=1)
+            second = batch.column("second").to_numpy(zero_copy_only=False)
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist(), len(fp)] if len(fp) else []
+            for lo, hi in zip(edges, edges[1:]):
+                if (cell := cells[lo].tolist()) != now:
+                    out += shard.links() if shard else ()
+                    shard, now = _Shard(radius), cell
+                own = lo + int(np.count_nonzero(~second[lo:hi]))
+                for v in fp[lo:own].tolist():
+                    shard.add(v)
+                out += [(v, near) for v in fp[own:hi].tolist() if (near := shard.probe(v)) is not None]
+            if out:
+                yield _pairs(out)
+        if shard and (out := list(shard.links())):
+            yield _pairs(out)
 
     return run
 
 
-def near_links(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct ``values.fp`` within the radius of one another, transitively."""
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*links))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _split(bits: list[int], parts: int) -> list[int]:
+    """Masks of so many runs of the bits, of about equal length."""
+    edges = [round(len(bits) * i / parts) for i in range(parts + 1)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def bucket_cells(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
+    """(choice, bits, i, second, fp): each shard i of a bucket with its own fingerprints and, as ``second``, those of the
+    bucket's later shards, so that any two fingerprints within the radius meet in a cell."""
     if not radius < blocks <= 64:
         raise ValueError("blocks must be more than the radius")
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in choice) for choice in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    filed = values.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "bits"))
-    sizes = filed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    runs = _split(list(range(64)), blocks)
+    masks = [sum(runs[b] for b in choice) for choice in combinations(range(blocks), blocks - radius)]
+    finer = [_split([b for b in range(64) if not m >> b & 1], radius + 1) for m in masks]
+
+    def sized(filed: DataFrame) -> DataFrame:
+        return filed.join(filed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1"), ["choice", "bits"])
+
+    filed = sized(values.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("choice", "bits")))
+    # In a bucket of more than a shard, two that are linked differ in ``radius`` of the other bits at most, so they agree on
+    # one of radius + 1 parts of them, and the bucket falls apart into smaller ones by these parts.
+    parts = F.array(*(F.array(*(F.lit(_signed(m)) for m in ms)) for ms in finer))[F.col("choice")]
+    parted = filed.where(F.col("n") > shard).select("fp", "choice", "bits", F.posexplode(F.transform(parts, lambda m: F.col("fp").bitwiseAND(m))).alias("part", "rest"))
+    kind = (F.lit(len(masks)) + F.col("choice") * (radius + 1) + F.col("part")).cast("int").alias("choice")
+    again = sized(parted.select("fp", kind, F.xxhash64("bits", "rest").alias("bits")))
+    met = filed.where(F.col("n") <= shard).select("fp", "choice", "bits", "n").unionByName(again.select("fp", "choice", "bits", "n"))
     shards = F.ceil(F.col("n") / shard).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
-    cells = (
-        filed.join(sizes, ["choice", "bits"])
-        .withColumn("shards", shards)
+    return (
+        met.withColumn("shards", shards)
         .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select("choice", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "fp")
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine"))))
+        .select("choice", "bits", "i", (F.col("mine") > F.col("i")).alias("second"), "fp")
     )
-    key = ["choice", "bits", "i", "j"]
+
+
+def near_links(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
+    """Links (a, b) that connect exactly the distinct ``values.fp`` within the radius of one another, transitively."""
+    key = ["choice", "bits", "i"]
+    cells = bucket_cells(values, radius, blocks, shard)
     return cells.repartition(*key).sortWithinPartitions(*key, "second", "fp").mapInArrow(_walk(radius), "a long, b long")
 
 
@@ -183,9 +220,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int
     fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable over links, its own
     included). Null and wordless texts have the fingerprint zero and link like any other. A row whose doc_id is
     null gets the smallest id of its group, null only if the group has none. Repeated rows come back as often as
-    they came. An empty table gives no rows.
+    they came. An empty table gives no rows. A very long text takes the memory of its words in one task.
     """
-    spark = docs.sparkSession
     fps, _ = materialize(fingerprints(docs, size), "simhash-fp")
     roots, _ = components(near_links(fps.select("fp").distinct(), radius, blocks, shard))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
