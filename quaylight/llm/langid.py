@@ -26,8 +26,15 @@ from .shared import refuse
 from .tokens import kept, release, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Numbers that are no digits (½, ², Ⅷ): word characters to ``re``, but no letters.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
+def _number(c: str) -> bool:
+    """Numbers that are no digits (½, ², Ⅷ) are word characters to ``re``, but no letters."""
+    return c.isalnum() and not c.isalpha() and not c.isdecimal()
+
+
+#: Runs of characters that may be such: those of Latin-1, and all from the first one beyond.
+_ODD = re.compile("[" + "".join(filter(_number, map(chr, range(256)))) + next(filter(_number, map(chr, range(256, sys.maxunicode)))) + "-\U0010ffff]+")
 #: A run of more letters counts as several words of at most so many.
 _LONGEST = 1000
 _TINY = 1e-250
@@ -73,7 +80,9 @@ def public_pieces(path: str, max_piece: int) -> set[str]:
 def words(text: str) -> list[str]:
     """The lower-cased runs of letters."""
     low = text.lower()
-    found = _LETTERS.findall(low if low.isascii() else _NUMBERS.sub(" ", low))
+    if not low.isascii():
+        low = _ODD.sub(lambda m: m[0] if m[0].isalpha() else "".join(" " if _number(c) else c for c in m[0]), low)
+    found = _LETTERS.findall(low)
     if len(low) > _LONGEST and any(len(w) > _LONGEST for w in found):
         return [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
     return found
