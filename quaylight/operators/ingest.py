@@ -1,12 +1,16 @@
 """Loading event records: checks, fingerprints, and all-or-nothing publication.
 
-A store is a folder with ``events`` (Parquet by load_id, dataset and day) and ``loads`` (one row for each load that
-succeeded). A load writes its own load_id partition first and its row in ``loads`` last; readers take only loads
-that have a row. Nothing that fails, is retried or runs at the same time can show, or take away another load's rows.
+A store is a folder with ``events`` (Parquet by load_id, dataset and day), ``loads`` (one row for each load that
+succeeded) and ``deleted`` (instruments whose events up to a rec_id are gone). A load writes its own load_id partition
+first and its row in ``loads`` last; readers take only loads that have a row. Nothing that fails or is retried can show,
+or take away another load's rows. A store has one writer at a time, held to by the file ``writer``: a second load is
+told that the store is busy before it reads or writes anything, so ids and duplicate checks never meet half a load.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +19,24 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.book import book_hash
 from ..functions.timeutil import day_of
+from ..scratch import exists
 
 RECORD_TYPE = "mbp-1"
-_LOADS = "load_id string, mark bigint, n_rows bigint, loaded_at timestamp"
+#: ``top`` is the highest rec_id of the load (its mark, if it has no rows).
+_LOADS = "load_id string, mark bigint, top bigint, n_rows bigint, loaded_at timestamp"
+_DELETED = "dataset string, instrument_id bigint, upto bigint"
+#: A load of more days than this is compared with all of the store.
+MOST_DAYS = 20_000
 
 
 class Rejected(ValueError):
     """A load that breaks a rule; nothing of it is published."""
 
 
+class Busy(RuntimeError):
+    """Another load is writing to the store."""
+
+
 @dataclass(frozen=True)
 class LoadSummary:
     load_id: str
@@ -58,9 +71,17 @@ def duplicate_keys(events: DataFrame) -> DataFrame:
     return events.groupBy("dataset", *S.EVENT_KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def against_store(events: DataFrame, store: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Events that the store holds already (left_semi), or that it does not (left_anti). Days are part of the
-    equality, so only the load's days of the store are read where Spark can prune them."""
+def days_of(events: DataFrame) -> list[int] | None:
+    """The days of a load: a calendar's worth at most; None if there are too many to name."""
+    days = [r.day for r in events.select("day").distinct().limit(MOST_DAYS + 1).collect()]
+    return days if len(days) <= MOST_DAYS else None
+
+
+def against_store(events: DataFrame, store: DataFrame, how: str = "left_semi", days: list[int] | None = None) -> DataFrame:
+    """Events that the store holds already (left_semi), or that it does not (left_anti). With ``days``, those of the
+    events, only these partitions of the store are read."""
+    if days is not None:
+        store = store.where(F.col("day").isin(days))
     return events.join(store.select("dataset", "day", *S.EVENT_KEY), ["dataset", "day", *S.EVENT_KEY], how)
 
 
@@ -82,22 +103,58 @@ def high_water_mark(store: DataFrame, dataset: str | None = None) -> DataFrame:
     return rows.agg(F.coalesce(F.max("rec_id"), F.lit(0)).alias("mark"))
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def loads(spark: SparkSession, store: str) -> DataFrame:
     path = f"{store}/loads"
-    return spark.read.schema(_LOADS).parquet(path) if _has_files(spark, path) else spark.createDataFrame([], _LOADS)
+    return spark.read.schema(_LOADS).parquet(path) if exists(spark, path) else spark.createDataFrame([], _LOADS)
+
+
+def store_mark(spark: SparkSession, store: str) -> int:
+    """The highest rec_id of the store, from the rows of its loads; no event is read."""
+    return loads(spark, store).agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Events of the loads that succeeded."""
+    """Events of the loads that succeeded, without those of deleted instruments."""
     path = f"{store}/events"
-    if not _has_files(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], S.MBP)
-    return spark.read.schema(S.MBP).parquet(path).join(loads(spark, store).select("load_id").distinct(), "load_id", "left_semi").select(*S.MBP.names)
+    found = spark.read.schema(S.MBP).parquet(path).join(loads(spark, store).select("load_id").distinct(), "load_id", "left_semi")
+    if exists(spark, f"{store}/deleted"):
+        gone = spark.read.schema(_DELETED).parquet(f"{store}/deleted").groupBy("dataset", "instrument_id").agg(F.max("upto").alias("upto")).withColumnsRenamed({"dataset": "d", "instrument_id": "i"})
+        found = found.join(gone, (F.col("dataset") == F.col("d")) & (F.col("instrument_id") == F.col("i")) & (F.col("rec_id") <= F.col("upto")), "left_anti")
+    return found.select(*S.MBP.names)
+
+
+def delete_events(spark: SparkSession, store: str, ids: DataFrame) -> None:
+    """Delete all events that the store has now of the instruments in ``ids`` (dataset, instrument_id). One small table is
+    appended, no event is rewritten; the same instrument may be loaded again later."""
+    ids.select("dataset", "instrument_id").distinct().withColumn("upto", F.lit(store_mark(spark, store)).cast("long")).write.mode("append").parquet(f"{store}/deleted")
+
+
+@contextmanager
+def only_writer(spark: SparkSession, store: str, load_id: str) -> Iterator[None]:
+    """Hold the store's ``writer`` file, which the file system makes only once (true of HDFS and local disks). A load that
+    died leaves it behind; a retry under the same load_id takes it over."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/writer")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, False)
+        out.writeUTF(load_id)
+        out.close()
+    except Exception as e:
+        if not fs.exists(path):
+            raise
+        held = fs.open(path)
+        try:
+            holder = held.readUTF()
+        finally:
+            held.close()
+        if holder != load_id:
+            raise Busy(f"load {holder} is writing to the store") from e
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
 
 
 def roll_back(spark: SparkSession, store: str, load_id: str) -> None:
@@ -111,23 +168,29 @@ def bulk_load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str,
 
     Records of another type, of unknown instruments, or (``duplicates="error"``) that come twice or are in the
     store already reject the whole load; with ``duplicates="drop"`` the first arrival stays. A load_id that was
-    published before is done already, so repeating a load changes nothing.
+    published before is done already, so repeating a load changes nothing. While another load writes, this one is Busy.
+
+    Of the store only ``loads`` and the load's own days are read.
     """
     if duplicates not in ("error", "drop"):
         raise ValueError("duplicates is error or drop")
     spark = raw.sparkSession
+    with only_writer(spark, store, load_id):
+        return _load(raw, store, instruments, load_id, duplicates, records_per_file)
+
+
+def _load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str, duplicates: str, records_per_file: int) -> LoadSummary:
+    spark = raw.sparkSession
     done = loads(spark, store).where(F.col("load_id") == load_id).first()
     if done:
         return LoadSummary(load_id, done.mark, done.n_rows, 0, "done before")
-    mark = loads(spark, store).agg(F.coalesce(F.max(F.col("mark")), F.lit(0))).first()[0]
-    stored = read_store(spark, store)
-    mark = max(mark, stored.agg(F.coalesce(F.max("rec_id"), F.lit(0))).first()[0])
+    mark, stored = store_mark(spark, store), read_store(spark, store)
     if not wrong_types(raw).isEmpty():
         raise Rejected(f"only records of type {RECORD_TYPE} are accepted")
     part = f"{store}/events/load_id={load_id}"
     events = prepare(raw, load_id, mark)
     if duplicates == "drop":
-        events = against_store(drop_duplicates(events), stored, "left_anti")
+        events = against_store(drop_duplicates(events), stored, "left_anti", days_of(raw.select(day_of("ts_recv").alias("day"))))
     # By ranges of day, instrument and time, so that a busy day is several tasks' work and files skip well.
     place = ["dataset", "day", "instrument_id", "ts_recv"]
     laid = events.drop("load_id").repartitionByRange(*place).sortWithinPartitions(*place)
@@ -137,13 +200,13 @@ def bulk_load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str,
     try:
         if not orphans(written, instruments).isEmpty():
             raise Rejected("events of unknown instruments")
-        if duplicates == "error" and not (duplicate_keys(written).isEmpty() and against_store(written, stored).isEmpty()):
+        if duplicates == "error" and not (duplicate_keys(written).isEmpty() and against_store(written, stored, days=days_of(written)).isEmpty()):
             raise Rejected("events that exist already or come twice")
-        n = written.count()
+        n, top = written.agg(F.count("*"), F.coalesce(F.max("rec_id"), F.lit(mark))).first()
     except Rejected:
         roll_back(spark, store, load_id)
         raise
     arrived = raw.count() if duplicates == "drop" else n
-    row = spark.createDataFrame([(load_id, mark, n)], "load_id string, mark bigint, n_rows bigint").withColumn("loaded_at", F.current_timestamp())
+    row = spark.createDataFrame([(load_id, mark, top, n)], "load_id string, mark bigint, top bigint, n_rows bigint").withColumn("loaded_at", F.current_timestamp())
     row.coalesce(1).write.mode("append").parquet(f"{store}/loads")
     return LoadSummary(load_id, mark, n, arrived - n, "success")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.numbering import numbered
 
 
 class Conflict(ValueError):
@@ -21,8 +22,7 @@ def create_instruments(dim: DataFrame, new: DataFrame) -> DataFrame:
     if taken:
         raise Conflict(f"tickers exist already or come twice: {[tuple(r) for r in taken]}")
     top = dim.agg(F.coalesce(F.max("instrument_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy(*key)))  # a set of changes, not the dimension
-    added = numbered.crossJoin(F.broadcast(top)).withColumn("instrument_id", (F.col("top") + F.col("n")).cast("long"))
+    added = numbered(new, key, "n").crossJoin(F.broadcast(top)).withColumn("instrument_id", F.col("top") + F.col("n"))  # one row
     return dim.unionByName(added.select(*dim.columns))
 
 

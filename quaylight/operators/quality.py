@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import day_of
-
 
 def record_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_records"))
@@ -18,11 +16,17 @@ def backward_steps(df: DataFrame, position: Column, within: list[Column]) -> Dat
     return df.withColumn("before", before).where(F.col("ts_recv") < F.col("before"))
 
 
-def chronological_check(df: DataFrame, position: Column | None = None) -> DataFrame:
-    """One row: how many records there are and how many step back in time, by arrival within each day."""
-    position = F.col("rec_id") if position is None else position
-    steps = backward_steps(df, position, [F.col("instrument_id"), day_of("ts_recv")]).agg(F.count("*").alias("n_backward"))
-    return record_count(df).crossJoin(steps)  # one row each
+def chronological_check(df: DataFrame, position: Column | None = None, stretch: int = 1_000_000) -> DataFrame:
+    """One row: how many records there are and how many come before the record before them in time, by their long
+    positions (arrival). Stretches of so many positions are looked through apart, and their ends then put together,
+    so the last window sees a row for each stretch."""
+    place = (F.col("rec_id") if position is None else position).cast("long")
+    rows = df.select(place.alias("at"), F.call_function("div", place, F.lit(stretch).cast("bigint")).alias("stretch"), "ts_recv")
+    inner = backward_steps(rows, F.col("at"), [F.col("stretch")]).agg(F.count("*").alias("n_inner"))
+    ends = rows.groupBy("stretch").agg(F.min_by("ts_recv", "at").alias("ts_recv"), F.max_by("ts_recv", "at").alias("last"), F.count("*").alias("n"))
+    before = F.lag("last").over(Window.orderBy("stretch"))
+    outer = ends.withColumn("before", before).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"), F.count(F.when(F.col("ts_recv") < F.col("before"), 1)).alias("n_outer"))
+    return outer.crossJoin(inner).select("n_records", (F.col("n_inner") + F.col("n_outer")).alias("n_backward"))  # one row each
 
 
 def file_order_check(spark, path: str) -> DataFrame:

@@ -8,19 +8,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+from ..scratch import exists
+
 SERIES = {"period": "period_timeseries_stats", "daily": "daily_timeseries_stats"}
 Tables = dict[str, DataFrame]
 
 
 def assign_ids(docs: DataFrame, top: int = 0, order: list[str] | None = None) -> DataFrame:
-    """Documents with ``doc_id`` above ``top``; numbering needs a total order of the load's documents, not of the
-    store's, and leaves gaps where no order is given."""
+    """Documents with ``doc_id`` above ``top``, consecutive in the order; with gaps where no order is given. The order is
+    of columns or fields."""
     if order is None:
         return docs.withColumn("doc_id", F.monotonically_increasing_id() + top + 1)
-    return docs.withColumn("doc_id", (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
+    keyed = docs.select("*", *(F.col(c).alias(f"_by{i}") for i, c in enumerate(order)))
+    done = numbered(keyed, [f"_by{i}" for i in range(len(order))], "doc_id")
+    return done.select(*docs.columns, (F.col("doc_id") + top).alias("doc_id"))
 
 
 def _rows(docs: DataFrame, array: str) -> DataFrame:
@@ -118,3 +123,21 @@ def write_tables(tables: Tables, folder: str, mode: str = "append") -> None:
     """Each table as Parquet, partitioned by kind."""
     for name, t in tables.items():
         t.write.mode(mode).partitionBy("kind").parquet(f"{folder}/{name}")
+
+
+_PARTS = ["header", "parameters", "trades", "signals", "instructions"]
+PARTS = {"backtest": [*_PARTS, "static_stats", "series"], "live": [*_PARTS, "account"]}
+
+
+def read_tables(spark: SparkSession, folder: str, kind: str) -> Tables:
+    """What write_tables wrote of a kind, without deleted documents."""
+    tables = {name: spark.read.parquet(f"{folder}/{name}").where(F.col("kind") == kind) for name in PARTS[kind]}
+    if not exists(spark, f"{folder}/deleted"):
+        return tables
+    return delete_documents(tables, kind, spark.read.parquet(f"{folder}/deleted").where(F.col("kind") == kind))
+
+
+def delete_stored(ids: DataFrame, folder: str, kind: str) -> None:
+    """Delete documents by ``ids`` (doc_id) with all their parts: one small table is appended, no part is rewritten. Ids
+    are not given out again."""
+    ids.select("doc_id", F.lit(kind).alias("kind")).distinct().write.mode("append").parquet(f"{folder}/deleted")

@@ -52,8 +52,9 @@ def record(df: DataFrame, kind) -> DataFrame:
 
 
 def order_key() -> Column:
-    """Arrival order, also among equal times."""
-    return F.struct("ts_recv", "rec_id")
+    """Arrival order, also among equal times, as one number: below 2^126, so it fits a decimal. Unlike a struct it has
+    a fixed width, so that aggregations by it are by hash and need no sort."""
+    return F.expr("CAST(ts_recv AS DECIMAL(19,0)) * 9223372036854775808BD + rec_id")
 
 
 def raw_events(market: Market, p: RetrieveParams, end: int, trades_only: bool) -> DataFrame:
@@ -68,9 +69,10 @@ def raw_events(market: Market, p: RetrieveParams, end: int, trades_only: bool) -
 
 def bars(events: DataFrame, interval: int) -> DataFrame:
     """Open, close, low, high and volume for each instrument and bucket; sums and extremes combine before the shuffle."""
-    return events.groupBy("instrument_id", bucket_start("ts_recv", interval).alias("ts_event")).agg(
-        F.min_by("price", order_key()).alias("open"),
-        F.max_by("price", order_key()).alias("close"),
+    keyed = events.withColumn("arrival", order_key())
+    return keyed.groupBy("instrument_id", bucket_start("ts_recv", interval).alias("ts_event")).agg(
+        F.min_by("price", "arrival").alias("open"),
+        F.max_by("price", "arrival").alias("close"),
         F.min("price").alias("low"),
         F.max("price").alias("high"),
         F.sum("size").alias("volume"),
@@ -80,17 +82,17 @@ def bars(events: DataFrame, interval: int) -> DataFrame:
 
 def snapshots(events: DataFrame, interval: int) -> DataFrame:
     """The last book of each right-closed bucket, stamped with its end; buckets without events are absent."""
-    last = F.max_by(F.struct(*top_of_book()), order_key()).alias("book")
-    grouped = events.groupBy("instrument_id", bucket_end("ts_recv", interval).alias("ts_event")).agg(last, F.max("rollover_flag").alias("rollover_flag"))
-    return grouped.select("instrument_id", "ts_event", "rollover_flag", "book.*")
+    keyed = events.select("instrument_id", bucket_end("ts_recv", interval).alias("ts_event"), "rollover_flag", *top_of_book(), order_key().alias("arrival"))
+    last = [F.max_by(c, "arrival").alias(c) for c in S.BOOK]
+    return keyed.groupBy("instrument_id", "ts_event").agg(F.max("rollover_flag").alias("rollover_flag"), *last)
 
 
-def event_records(events: DataFrame, kind) -> DataFrame:
-    """Events as records, with the top of the book if the record has it."""
+def event_records(events: DataFrame, kind, time: str = "ts_recv") -> DataFrame:
+    """Events as records in order of time and arrival, with the top of the book if the record has it."""
     full = events.withColumn("depth", F.lit(0))
     if "bid_px" in kind.names:
         full = full.select("*", *top_of_book())
-    return record(full.orderBy("ts_recv", "rec_id"), kind)
+    return record(full.orderBy(time, "rec_id"), kind)
 
 
 def retrieve(market: Market, p: RetrieveParams) -> DataFrame:
@@ -112,19 +114,25 @@ def retrieve(market: Market, p: RetrieveParams) -> DataFrame:
         events = raw_events(market, p, p.end_ts if code.interval else p.end_ts - 1, trades_only)
         inside = F.lit(True)
     if code.interval is None:
-        kind = S.TRADE_RECORD if code.record == "trade" else S.MBP1_RECORD
-        return event_records(events.where(inside), kind)
+        if code.record == "trade":  # those of equities and options come by the time of the event
+            return event_records(events.where(inside), S.TRADE_RECORD, "ts_recv" if p.dataset == "futures" else "ts_event")
+        return event_records(events.where(inside), S.MBP1_RECORD)
     done = bars(events, code.interval) if code.record == "ohlcv" else snapshots(events, code.interval)
     if p.stype == "continuous" and p.dataset == "futures":
         done = done.where(F.col("ts_event").between(p.start_ts, p.end_ts - 1))
     return record(done, S.OHLCV_RECORD if code.record == "ohlcv" else S.BBO_RECORD).orderBy("ts_event", "instrument_id")
 
 
+def symbols(instruments: DataFrame, dataset: str, tickers: Sequence[str] | None) -> DataFrame:
+    """(instrument_id, ticker) of the tickers that exist; others are silently absent."""
+    return chosen(instruments.where(F.col("dataset") == dataset), "ticker", tickers).select("instrument_id", "ticker")
+
+
 def symbol_map(instruments: DataFrame, dataset: str, tickers: Sequence[str] | None) -> DataFrame:
-    """One row with the map instrument_id → ticker of the tickers that exist; others are silently absent."""
-    known = chosen(instruments.where(F.col("dataset") == dataset), "ticker", tickers)
+    """``symbols`` as one row with a map, as part of a result's metadata; it takes the memory of its tickers, so use
+    ``symbols`` where there is no list of them."""
     pairs = F.sort_array(F.collect_list(F.struct("instrument_id", "ticker")))
-    return known.agg(F.map_from_entries(pairs).alias("mappings"))
+    return symbols(instruments, dataset, tickers).agg(F.map_from_entries(pairs).alias("mappings"))
 
 
 def metadata(market: Market, p: RetrieveParams) -> DataFrame:

@@ -31,6 +31,7 @@ BACKTEST = columns(
 LIVE = columns("parameters parameters, account account, trades trades, signals signals", parameters=columns(PARAMETERS), account=columns(ACCOUNT), **_BODY)
 
 
-def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON documents, one or several a file; fields that the schema does not name are not kept."""
-    return spark.read.schema(BACKTEST if kind == "backtest" else LIVE).json(path, multiLine=True)
+def read_documents(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """JSON documents: one a file or a list of them, or with ``lines`` one a line, so that Spark can split large files.
+    Fields that the schema does not name are not kept."""
+    return spark.read.schema(BACKTEST if kind == "backtest" else LIVE).json(path, multiLine=not lines)
