@@ -30,7 +30,7 @@ def find_instruments(dim: DataFrame, dataset: str | None = None, **filters) -> D
     """By any columns: ticker, instrument_id, vendor, active and so on; a list means any of its values."""
     found = dim if dataset is None else dim.where(F.col("dataset") == dataset)
     for name, value in filters.items():
-        test: Column = F.col(name).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(name).eqNullSafe(F.lit(value))
+        test: Column = F.col(name).isin(list(value)) if isinstance(value, (list, tuple, set, range)) else F.col(name).eqNullSafe(F.lit(value))
         found = found.where(test)
     return found
 

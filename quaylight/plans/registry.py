@@ -11,13 +11,18 @@ from .. import schema as S
 from ..functions.book import levels_normalised
 from ..functions.last_value import fill_forward, last_non_null
 from ..operators import continuous, ingest, instruments, quality, results
-from ..operators.retrieve import Market, RetrieveParams, metadata, retrieve, symbol_map
-from ..sources import feeds
+from ..operators.retrieve import RetrieveParams, metadata, retrieve, symbol_map, write_result
+from ..operators.retrieve import symbols as known_symbols
+from ..scratch import new_path
+from ..sources import documents, feeds
+from ..streaming.ingest_stream import recent_duplicates_dropped, record_stream, start_ingest
+from . import sql
 from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: All of the feeds' time.
 FROM, TO = feeds.START, feeds.START + 31 * S.DAY
+_LINE = ["instrument_id", "ts_event", "price", "size", "sequence", "discriminator"]
 
 
 def _raw(schema: str) -> Query:
@@ -74,47 +79,144 @@ def _returned(spark: SparkSession, d: str, feed: DataFrame) -> DataFrame:
 
 
 def _sent_again(spark: SparkSession, d: str) -> DataFrame:
-    """All trades, and those of returned lines a second time."""
+    """All trades, and those of returned lines a second time; the first time ts_in_delta is the part, then less than 0."""
     raw = feeds.line_feed(spark, d)
-    return ingest.prepare(raw.unionByName(_returned(spark, d, raw)), "lines", 0)
+    again = _returned(spark, d, raw)
+    part = F.col("l_partkey").cast("int")
+    return ingest.prepare(raw.withColumn("ts_in_delta", part).unionByName(again.withColumn("ts_in_delta", -part - 1)), "lines", 0)
 
 
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.duplicate_keys(_sent_again(spark, d)).select("instrument_id", "ts_event", "price", "size", "sequence", "discriminator", "n")
+    return ingest.duplicate_keys(_sent_again(spark, d)).select(*_LINE, "n")
 
 
 def dedup_load(spark: SparkSession, d: str) -> DataFrame:
-    """What a load that drops duplicates keeps, without the ids that arrival gives."""
-    return ingest.drop_duplicates(_sent_again(spark, d)).select("instrument_id", "ts_event", "price", "size", "sequence", "discriminator", "order_book_hash")
+    """What a load that drops duplicates keeps, without the ids that arrival gives; ts_in_delta tells the first arrival."""
+    return ingest.drop_duplicates(_sent_again(spark, d)).select(*_LINE, "ts_in_delta", "order_book_hash")
 
 
 def load_against_store(spark: SparkSession, d: str) -> DataFrame:
     """Trades that a store of the returned lines does not hold."""
     feed = _lines(spark, d)
-    return ingest.against_store(feed, _returned(spark, d, feed), "left_anti").select("instrument_id", "ts_event", "price", "size", "sequence", "discriminator")
+    return ingest.against_store(feed, _returned(spark, d, feed), "left_anti").select(*_LINE)
 
 
 def orphan_events(spark: SparkSession, d: str) -> DataFrame:
     """Trades whose supplier has a negative balance, when only the others are known as instruments."""
     known = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal >= 0").select(F.lit("equities").alias("dataset"), F.col("s_suppkey").alias("instrument_id"))
-    return ingest.orphans(_lines(spark, d), known).select("instrument_id", "ts_event", "price", "size", "sequence", "discriminator")
+    return ingest.orphans(_lines(spark, d), known).select(*_LINE)
 
 
 def load_high_water(spark: SparkSession, d: str) -> DataFrame:
     return ingest.high_water_mark(feeds.event_feed(spark, d), "futures")
 
 
+#: All of the years of orders.
+_YEARS = 694_224_000 * S.SECOND, 1_262_304_000 * S.SECOND
+
+
+def _equities(schema: str) -> Query:
+    return lambda spark, d: retrieve(feeds.equities(spark, d), RetrieveParams(None, *_YEARS, schema, dataset="equities"))
+
+
+def _options(schema: str) -> Query:
+    return lambda spark, d: retrieve(feeds.options(spark, d), RetrieveParams(None, *_YEARS, schema, dataset="option"))
+
+
+def _window(schema: str, stype: str = "raw") -> Query:
+    """By a list of tickers, of which one does not exist, in a window that begins and ends within a day."""
+    tickers = sql.RAW_TICKERS if stype == "raw" else sql.CONTINUOUS_TICKERS
+    lo, hi = FROM + 3 * S.DAY + 6 * S.HOUR, FROM + 9 * S.DAY + 18 * S.HOUR
+    return lambda spark, d: retrieve(feeds.market(spark, d, stype == "continuous"), RetrieveParams(tickers, lo, hi, schema, stype=stype))
+
+
+def symbol_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The latest contract of each continuous symbol, by the symbols' lists of intervals."""
+    day = F.struct(F.col("ts_day").alias("start"), (F.col("ts_day") + S.DAY).alias("end"), F.col("instrument_id").cast("string").alias("raw"))
+    mappings = feeds.stored_map(spark, d).groupBy(F.col("continuous_ticker").alias("symbol")).agg(F.collect_list(day).alias("intervals"))
+    return quality.flat_symbol_map(mappings).select(F.explode("mappings").alias("symbol", "raw"))
+
+
+def wrong_types(spark: SparkSession, d: str) -> DataFrame:
+    """Events that a load would reject when all but trades call themselves tbbo."""
+    rtype = F.when(F.col("action") == S.TRADE, ingest.RECORD_TYPE).otherwise("tbbo")
+    return ingest.wrong_types(feeds.event_feed(spark, d).withColumn("rtype", rtype)).select("rec_id", "rtype")
+
+
+def _records(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """The events as they arrive."""
+    return feeds.event_feed(spark, d).where(where).withColumn("rtype", F.lit(ingest.RECORD_TYPE)).select(*S.RAW.names)
+
+
+def _loaded(spark: SparkSession, d: str) -> tuple[str, list[tuple]]:
+    """A new store after five loads: trades; events of unknown instruments (rejected and rolled back); trades again
+    (rejected); all events, of which the new ones stay; the same load once more. The store, and what became of them."""
+    store, known, raw = new_path(spark, "store"), feeds.event_instruments(spark, d), _records(spark, d)
+    trades, said = _records(spark, d, f"action = {S.TRADE}"), []
+    for load_id, rows, dim, duplicates in (("trades", trades, known, "error"), ("orphans", raw, known.limit(0), "drop"), ("again", trades, known, "error"), ("rest", raw, known, "drop"), ("rest", raw, known, "drop")):
+        try:
+            done = ingest.bulk_load(rows, store, dim, load_id, duplicates)
+            said.append((load_id, done.n_rows, done.n_dropped, done.status))
+        except ingest.Rejected:
+            said.append((load_id, 0, 0, "rejected"))
+    return store, said
+
+
+def load_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds after loads that succeed, fail and come twice."""
+    return ingest.read_store(spark, _loaded(spark, d)[0]).select(*_LINE, "load_id")
+
+
+def load_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_loaded(spark, d)[1], "load string, n_rows long, n_dropped long, status string")
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive as files of a stream, trades twice, in the store that the stream loads."""
+    source, store = new_path(spark, "arriving"), new_path(spark, "store")
+    _records(spark, d).unionByName(_records(spark, d, f"action = {S.TRADE}")).write.parquet(source)
+    start_ingest(record_stream(spark, source), store, feeds.event_instruments(spark, d), new_path(spark, "stream")).awaitTermination()
+    return ingest.read_store(spark, store).select(*_LINE)
+
+
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Events that each instrument has left in a store after the inactive ones are deleted."""
+    store, known = new_path(spark, "store"), feeds.event_instruments(spark, d)
+    ingest.bulk_load(_records(spark, d), store, known, "events", "drop")
+    ingest.delete_events(spark, store, known.where("not active"))
+    return ingest.read_store(spark, store).groupBy("instrument_id").agg(F.count("*").alias("n_events"))
+
+
+def recent_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Events that are sent twice, after a stream has dropped repeats within its watermark."""
+    source, out = new_path(spark, "arriving"), new_path(spark, "recent")
+    events = feeds.event_feed(spark, d)
+    events.unionByName(events).write.parquet(source)
+    stream = recent_duplicates_dropped(spark.readStream.schema(events.schema).parquet(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select("instrument_id", "ts_recv", "sequence", "price")
+
+
+def result_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many trades the files of a written result hold, and how many of them step back in time within a file."""
+    out = new_path(spark, "result")
+    write_result(_raw("trades")(spark, d), out, 500)
+    return quality.record_count(spark.read.parquet(out)).crossJoin(quality.file_order_check(spark, out).agg(F.count("*").alias("n_backward")))  # one row each
+
+
 def equity_bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars of equities, from order lines."""
-    rows = ingest.prepare(feeds.line_feed(spark, d), "lines", 0).drop("rec_id")
-    # Arrival order must not depend on how the table was read: the line's own columns make it.
-    events = rows.withColumn("rec_id", F.struct("sequence", "discriminator", "size", "price"))
-    known = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("equities").alias("dataset"), F.col("s_suppkey").alias("instrument_id"), F.col("s_name").alias("ticker"))
-    return retrieve(Market(events, known), RetrieveParams(None, 694_224_000 * S.SECOND, 1_262_304_000 * S.SECOND, "ohlcv-1d", dataset="equities"))
+    return _equities("ohlcv-1d")(spark, d)
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    return symbol_map(feeds.event_instruments(spark, d), "futures", None).select(F.explode("mappings").alias("instrument_id", "ticker"))
+    return known_symbols(feeds.event_instruments(spark, d), "futures", None)
+
+
+def symbol_map_of(spark: SparkSession, d: str) -> DataFrame:
+    """The symbol map of a list of tickers, of which one does not exist."""
+    tickers = sql.RAW_TICKERS + sql.CONTINUOUS_TICKERS
+    return symbol_map(feeds.event_instruments(spark, d), "futures", tickers).select(F.explode("mappings").alias("instrument_id", "ticker"))
 
 
 def result_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +224,10 @@ def result_metadata(spark: SparkSession, d: str) -> DataFrame:
     return m.select("schema", "dataset", "start", "end", F.size("mappings").alias("n_symbols"))
 
 
+def _found(*columns: str, **filters) -> Query:
+    return lambda spark, d: instruments.find_instruments(feeds.event_instruments(spark, d), "futures", **filters).select(*columns)
+
+
 def instruments_by_vendor(spark: SparkSession, d: str) -> DataFrame:
     return instruments.find_instruments(feeds.event_instruments(spark, d), "futures", vendor="north").select("instrument_id", "ticker", "active")
 
@@ -161,6 +267,73 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name")), orders, instructions
 
 
+def _stored_documents(spark: SparkSession, d: str, kind: str) -> str:
+    """Customers as documents of a kind: built from tables, written as JSON, read, split into tables, stored, and those on
+    the other side of a balance of nothing deleted. Returns the folder."""
+    docs, signals, lines = _documents(spark, d)
+    customer = spark.read.parquet(f"{d}/customer.parquet").withColumnRenamed("c_custkey", "doc_id")
+    null = lambda kind, **known: F.struct(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    parameters = null(documents.BACKTEST["metadata"].dataType["parameters"].dataType, strategy_name=F.col("c_name"), capital=cents, tickers=F.array("c_mktsegment"))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    series = null(documents.BACKTEST["period_timeseries_stats"].dataType.elementType, timestamp=_seconds("o_orderdate"), equity_value=F.round(F.col("o_totalprice") * 100))
+    order = null(documents.BACKTEST["signals"].dataType.elementType["trade_instructions"].dataType.elementType, ticker=F.col("ticker"), quantity=F.col("quantity"))
+    trade = null(documents.BACKTEST["trades"].dataType.elementType, ticker=F.col("ticker"), quantity=F.col("quantity"))
+    tables = {
+        "header": docs.select("doc_id", "name"),
+        "parameters": customer.select("doc_id", parameters.alias("p")).select("doc_id", "p.*"),
+        "signals": signals,
+        "instructions": lines.select("doc_id", "signal_pos", "pos", order.alias("i")).select("doc_id", "signal_pos", "pos", "i.*"),
+        "trades": lines.select("doc_id", F.struct("signal_pos", "pos").alias("pos"), trade.alias("t")).select("doc_id", "pos", "t.*"),
+        "static_stats": customer.select("doc_id", null(documents.BACKTEST["metadata"].dataType["static_stats"].dataType).alias("s")).select("doc_id", "s.*"),
+        "series": orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), series.alias("s"), F.lit("period").alias("granularity")).select("doc_id", "pos", "s.*", "granularity"),
+        "account": customer.select("doc_id", null(documents.LIVE["account"].dataType, currency=F.col("doc_id"), start_buying_power=F.col("c_nationkey")).alias("a")).select("doc_id", "a.*"),
+    }
+    tables = {k: v.withColumn("kind", F.lit(kind)) for k, v in tables.items() if k in results.PARTS[kind]}
+    source, folder = new_path(spark, "json"), new_path(spark, "documents")
+    results.assemble(tables, kind).drop("doc_id").write.json(source)
+    read = documents.read_documents(spark, source, kind, lines=True)
+    # A live session has no id of its own: its account names the customer here.
+    read = read.withColumn("doc_id", (F.col("metadata.backtest_id") if kind == "backtest" else F.col("account.currency")).cast("long"))
+    results.write_tables(results.store_documents(read, kind), folder)
+    results.delete_stored(customer.where("c_acctbal < 0" if kind == "backtest" else "c_acctbal >= 0").select("doc_id"), folder, kind)
+    return folder
+
+
+def _assembled(kind: str) -> Query:
+    """Numbers of the parts of each stored document, sums and firsts of them, its name, capital and ticker."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        whole = results.assemble(results.read_tables(spark, _stored_documents(spark, d, kind), kind), kind)
+        parameters = F.col("metadata.parameters" if kind == "backtest" else "parameters")
+        total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
+        return whole.select(
+            "doc_id",
+            (F.col("metadata.backtest_name") if kind == "backtest" else parameters["strategy_name"]).alias("name"),
+            F.get(parameters["tickers"], F.lit(0)).alias("ticker"),
+            parameters["capital"].alias("capital"),
+            F.size("signals").alias("n_signals"),
+            total("signals", lambda x: F.size(x["trade_instructions"])).cast("int").alias("n_instructions"),
+            F.size("trades").alias("n_trades"),
+            total("trades", lambda x: x["quantity"]).alias("quantity"),
+            F.get("trades", F.lit(0))["ticker"].alias("first_ticker"),
+            F.get("signals", F.size("signals") - 1)["timestamp"].alias("last_time"),
+            (total("period_timeseries_stats", lambda x: x["equity_value"]) if kind == "backtest" else F.col("account.start_buying_power")).alias("equity"),
+        )
+
+    return query
+
+
+def doc_list(spark: SparkSession, d: str) -> DataFrame:
+    return results.list_documents(results.read_tables(spark, _stored_documents(spark, d, "backtest"), "backtest")["header"], "backtest")
+
+
+def doc_ids_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of stored backtests by the names of every tenth of the first customers."""
+    names = [r.c_name for r in spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 10 = 1 AND c_custkey < 500").select("c_name").collect()]
+    return results.ids_by_name(results.read_tables(spark, _stored_documents(spark, d, "backtest"), "backtest")["header"], names)
+
+
 def _seconds(ts: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
@@ -241,6 +414,39 @@ QUERIES: dict[str, Query] = {
     "orphan_events": orphan_events,
     "load_high_water": load_high_water,
     "ohlcv_1d_equities": equity_bars,
+    "mbp1_equities": _equities("mbp-1"),
+    "tbbo_equities": _equities("tbbo"),
+    "trades_equities": _equities("trades"),
+    "bbo_1m_equities": _equities("bbo-1m"),
+    "mbp1_option": _options("mbp-1"),
+    "tbbo_option": _options("tbbo"),
+    "trades_option": _options("trades"),
+    "ohlcv_1h_option": _options("ohlcv-1h"),
+    "bbo_1s_option": _options("bbo-1s"),
+    "ohlcv_1s_continuous": _continuous("ohlcv-1s"),
+    "ohlcv_1m_continuous": _continuous("ohlcv-1m"),
+    "window_mbp1": _window("mbp-1"),
+    "window_ohlcv_1h": _window("ohlcv-1h"),
+    "window_bbo_1m": _window("bbo-1m"),
+    "window_mbp1_continuous": _window("mbp-1", "continuous"),
+    "window_ohlcv_1d_continuous": _window("ohlcv-1d", "continuous"),
+    "continuous_map_stored": feeds.stored_map,
+    "symbol_intervals": symbol_intervals,
+    "wrong_types": wrong_types,
+    "load_round_trip": load_round_trip,
+    "load_summaries": load_summaries,
+    "stream_ingest": stream_ingest,
+    "store_delete": store_delete,
+    "recent_duplicates": recent_duplicates,
+    "result_files": result_files,
+    "instruments_by_ticker": _found("instrument_id", "ticker", "vendor", ticker=sql.RAW_TICKERS + sql.CONTINUOUS_TICKERS),
+    "instruments_by_id": _found("instrument_id", "ticker", "vendor", instrument_id=range(0, 200, 10)),
+    "instruments_by_class": _found("instrument_id", "ticker", "vendor", "active"),
+    "symbol_map_of": symbol_map_of,
+    "backtests_assembled": _assembled("backtest"),
+    "live_assembled": _assembled("live"),
+    "doc_list": doc_list,
+    "doc_ids_by_name": doc_ids_by_name,
     "symbol_map": symbols,
     "result_metadata": result_metadata,
     "instruments_by_vendor": instruments_by_vendor,

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.book import book_hash
 from ..functions.timeutil import day_of
-from ..operators.continuous import build_continuous_map
+from ..operators.continuous import write_continuous_map
+from ..operators.ingest import prepare
 from ..operators.retrieve import Market
+from ..scratch import new_path
 
 START = 1_704_067_200 * S.SECOND  #: 2024-01-01
 TICK = 10_000_000
@@ -105,10 +107,16 @@ def event_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The continuous map, written as a store keeps it and read again."""
+    path = new_path(spark, "continuous-map")
+    write_continuous_map(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), path)
+    return spark.read.schema(S.CONTINUOUS_MAP).parquet(path)
+
+
 def market(spark: SparkSession, sf_dir: str, continuous: bool = False) -> Market:
-    """The feed's tables. The map has a row for each day and contract and is read several times, so it is kept."""
-    mbp, instruments = event_feed(spark, sf_dir), event_instruments(spark, sf_dir)
-    return Market(mbp, instruments, build_continuous_map(mbp, instruments).persist() if continuous else None)
+    """The feed's tables; continuous symbols go by the stored map."""
+    return Market(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), stored_map(spark, sf_dir) if continuous else None)
 
 
 def line_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,3 +152,46 @@ def line_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(one).alias("levels"),
         "l_partkey",
     )
+
+
+def equities(spark: SparkSession, sf_dir: str) -> Market:
+    """Equities: events from order lines, instruments from suppliers. Arrival must not depend on how the table was read, so
+    the line's own columns make up rec_id: order, line, quantity and price, below 2^63 for orders below 2^30."""
+    rec_id = ((F.col("sequence") * 8 + F.col("discriminator")) * 64 + F.col("size")) * (1 << 24) + F.expr(f"price div {TICK}")
+    events = prepare(line_feed(spark, sf_dir), "lines", 0).withColumn("rec_id", rec_id)
+    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("equities").alias("dataset"), F.col("s_suppkey").alias("instrument_id"), F.col("s_name").alias("ticker"))
+    return Market(events, known)
+
+
+def options(spark: SparkSession, sf_dir: str) -> Market:
+    """Options: an event for each order of a customer, received up to four seconds late; open orders are no trades."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = o.select("o_orderkey", "o_custkey", "o_orderstatus", (F.round(F.col("o_totalprice") * 100).cast("long") * TICK).alias("price"), (_nanos("o_orderdate") + F.col("o_orderkey") * 7919 % 86400 * S.SECOND).alias("t"))
+    one = F.struct(
+        F.lit(0).alias("depth"),
+        (F.col("price") - TICK).alias("bid_px"),
+        (1 + F.col("o_orderkey") % 9).alias("bid_sz"),
+        F.lit(1).cast("long").alias("bid_ct"),
+        (F.col("price") + TICK).alias("ask_px"),
+        (1 + F.col("o_orderkey") % 8).alias("ask_sz"),
+        F.lit(2).cast("long").alias("ask_ct"),
+    )
+    raw = base.select(
+        F.lit("mbp-1").alias("rtype"),
+        F.lit("option").alias("dataset"),
+        F.col("o_custkey").alias("instrument_id"),
+        F.col("t").alias("ts_event"),
+        "price",
+        (1 + F.col("o_orderkey") % 7).alias("size"),
+        F.when(F.col("o_orderstatus") == "O", 65).otherwise(S.TRADE).alias("action"),
+        F.lit(78).alias("side"),
+        F.lit(0).alias("flags"),
+        (F.col("t") + F.col("o_orderkey") % 5 * S.SECOND).alias("ts_recv"),
+        F.lit(7).alias("ts_in_delta"),
+        F.col("o_orderkey").alias("sequence"),
+        F.lit(0).cast("long").alias("discriminator"),
+        F.array(one).alias("levels"),
+    )
+    events = prepare(raw, "orders", 0).withColumn("rec_id", F.col("sequence"))
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("option").alias("dataset"), F.col("c_custkey").alias("instrument_id"), F.col("c_name").alias("ticker"))
+    return Market(events, known)
