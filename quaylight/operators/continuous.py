@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.timeutil import day_of, floor_day, time_range
-from .retrieve import Market, RetrieveParams, chosen
+from .retrieve import Market, RetrieveParams, order_key
 
 
 def active_days(mbp: DataFrame) -> DataFrame:
@@ -108,11 +108,13 @@ def rollover_events(map_rows: DataFrame, events: DataFrame) -> DataFrame:
 
     Events are first cut down to one for each id and day; only those meet the flagged days, by the id and the time.
     """
-    firsts = events.groupBy("instrument_id", "day").agg(F.min(F.struct("ts_recv", "rec_id")).alias("first"))
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy("instrument_id", *by).agg(*(F.min_by(c, "arrival").alias(c) for c in ("ts_recv", "rec_id")), F.min("arrival").alias("arrival"))
+
+    firsts = first(events.select("instrument_id", "day", "ts_recv", "rec_id", order_key().alias("arrival")), "day")
     flagged = map_rows.where("rollover_flag = 1").select(F.col("continuous_instrument_id").alias("instrument_id"), day_of("ts_day").alias("from_day"))
     after = flagged.join(firsts, "instrument_id").where("day >= from_day")
-    found = after.groupBy("instrument_id", "from_day").agg(F.min("first").alias("first"))
-    return found.select("instrument_id", "first.ts_recv", "first.rec_id").distinct()
+    return first(after, "from_day").select("instrument_id", "ts_recv", "rec_id").distinct()
 
 
 def continuous_events(market: Market, p: RetrieveParams, trades_only: bool) -> DataFrame:
