@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch as scratch_tables
+from ..scratch import discard, exists, scratch_dir
+
+__all__ = ["discard", "exists", "scratch_dir"]
 #: The white space that the contracts name: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-_FOLDERS: set[str] = set()
 _OPEN: list[list[str]] = []
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder in the one that the cluster shares (``spark.checkpoint.dir``); deleted when the driver
-    ends. Where that is unset, a local master gets a folder of its own; on a cluster that would lose rows, so it is an
-    error there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quaylight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
-    return folder
-
-
-def _delete(jvm, conf, path: str) -> None:
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(conf).delete(hadoop, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def new_path(spark: SparkSession, label: str, leaves: bool = False) -> str:
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_tables.new_path(spark, label)
     for made in () if leaves else _OPEN:
         made.append(path)
     return path
@@ -75,12 +47,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         discard(spark, made)
 
 
-def discard(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for p in paths:
-        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), p)
-
-
 def refuse(df: DataFrame, adds: Iterable[str]) -> None:
     """The columns that an operator adds must not be there yet."""
     if taken := sorted({c.lower() for c in adds} & {c.lower() for c in df.columns}):

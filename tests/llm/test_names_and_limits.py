@@ -141,18 +141,6 @@ def test_packing_and_simhash_queries_against_brute_force(spark):
     assert groups_by_force({plain_fingerprint(docs[0][1])})
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster():
-    class Context:
-        master, applicationId = "spark://host:7077", "app"
-
-    class Session:
-        sparkContext = Context()
-        conf = {}
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.scratch_dir(Session())
-
-
 def test_scratch_deletes_what_was_made_inside(spark):
     with shared.scratch(spark):
         _, path = shared.materialize(spark.range(3), "inside")
