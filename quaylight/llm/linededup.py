@@ -126,9 +126,9 @@ often AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
 judged AS (
   SELECT d.doc_id, d.pos, d.line, o.k IS NOT NULL AND d.doc_id <> o.keeper AS gone
-  FROM keyed d LEFT JOIN often o ON d.k = o.k)
+  FROM keyed d LEFT JOIN often o ON d.k = o.k),
 runs AS (
-  SELECT doc_id, string_agg((first - 1) || '-' || last, ',' ORDER BY first) AS keep_runs
+  SELECT doc_id, string_agg(CAST(first - 1 AS VARCHAR) || '-' || CAST(last AS VARCHAR), ',' ORDER BY first) AS keep_runs
   FROM (SELECT doc_id, min(pos) AS first, max(pos) AS last
         FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM judged WHERE NOT gone)
         GROUP BY doc_id, island)
