@@ -81,8 +81,9 @@ def build_continuous_map(mbp: DataFrame, instruments: DataFrame, root_len: int =
 
 
 def write_continuous_map(mbp: DataFrame, instruments: DataFrame, path: str, root_len: int = 2) -> None:
-    """Rebuild the stored map, in order of day and symbol."""
-    build_continuous_map(mbp, instruments, root_len).orderBy("ts_day", "continuous_ticker").write.mode("overwrite").parquet(path)
+    """Rebuild the stored map, each file in order of day and symbol; a sort over all files would compute the map twice, once
+    for its ranges."""
+    build_continuous_map(mbp, instruments, root_len).sortWithinPartitions("ts_day", "continuous_ticker").write.mode("overwrite").parquet(path)
 
 
 def mapped_events(market: Market, p: RetrieveParams, trades_only: bool) -> tuple[DataFrame, DataFrame]:

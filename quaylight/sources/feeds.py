@@ -107,16 +107,31 @@ def event_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The continuous map, written as a store keeps it and read again."""
+def _store_map(spark: SparkSession, sf_dir: str) -> str:
     path = new_path(spark, "continuous-map")
     write_continuous_map(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), path)
-    return spark.read.schema(S.CONTINUOUS_MAP).parquet(path)
+    return path
+
+
+def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The continuous map, written anew as a store keeps it and read again."""
+    return spark.read.schema(S.CONTINUOUS_MAP).parquet(_store_map(spark, sf_dir))
+
+
+#: The stored map of each application and folder: built by the first query that asks, deleted when the driver ends.
+_MAPS: dict[tuple[str, str], str] = {}
 
 
 def market(spark: SparkSession, sf_dir: str, continuous: bool = False) -> Market:
-    """The feed's tables; continuous symbols go by the stored map."""
-    return Market(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), stored_map(spark, sf_dir) if continuous else None)
+    """The feed's tables; continuous symbols go by the folder's stored map, which stays as it is once it is built, as a
+    materialised view does (``stored_map`` builds another)."""
+    known = None
+    if continuous:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _MAPS:
+            _MAPS[key] = _store_map(spark, sf_dir)
+        known = spark.read.schema(S.CONTINUOUS_MAP).parquet(_MAPS[key])
+    return Market(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), known)
 
 
 def line_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
