@@ -4,7 +4,7 @@ Each source is cut into blocks of documents. With a share s of S slots, its bloc
 floor(k S / s) and due by ceil((k + 1) S / s); at each slot the released block with the earliest deadline goes, so
 after any number of slots a source is less than one block off its share. Shares are weights rounded down to whole
 slots, and one at least: from the weight w itself a source drifts by |s / S - w| a slot, without end (MIX_SQL fixes
-these shares for op9; ``spread`` has none of this). The schedule repeats after S slots, when
+these shares for op9; ``pfair`` takes exact weights and has no period). The schedule repeats after S slots, when
 each source has had exactly its share, so one period is laid out (a fold over S slots, one row) and blocks are
 joined to it: block k of a source has slot (k div s) S + slot(k mod s). When a source runs out its slots stay
 empty and the others go on in their proportion; no document is left out or repeated.
@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, refuse, wrapped
 
-#: All sources' exact weights together, as ``spread`` counts them.
+#: All sources' exact weights together, as ``pfair`` and ``spread`` count them.
 UNITS = 10**9
+#: Slots that one row of ``deadlines`` lays out at least.
+STRETCH = 2048
 ADDS = ("mix_block", "mix_slot", "mix_place", "mix_share", "mix_slots")
 
 
@@ -125,6 +127,74 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in docs.columns]
 
 
+def deadlines(spark: SparkSession, weights: dict[str, int], blocks: dict[str, int], stretch: int = STRETCH) -> DataFrame:
+    """(key, mix_block, mix_slot) for each source's blocks 0 to ``blocks`` - 1, by earliest deadlines first over exact
+    whole weights: with a weight of w in W, block k is released at floor(k W / w) and due by ceil((k + 1) W / w). After any
+    number of slots a source is less than one block off its weight. Ties go to the smaller key; the slots of a
+    source that has run out stay empty.
+
+    Slots are laid out in stretches, each for itself. Which blocks have gone by slot t hangs only on releases up to t, and
+    of those that are due after t only on how many blocks, not which, waited some slots before, if all that waited then
+    are due by t. None waits longer than its window, W / w + 2 slots at most. So a stretch begins its fold that many slots
+    ahead, with any blocks waiting in the right number, and from its own first slot on the schedule is that of one
+    fold over all slots. A stretch is as long as this lead, so the work is at most twice that of the slots.
+
+    The fold's state has an entry for each source, so this is for thousands of sources at most (``spread`` is for more).
+    Slots times all weights must stay below 2^62.
+    """
+    kind, keys = "key string, mix_block long, mix_slot long", sorted(weights)
+    if not keys:
+        return spark.createDataFrame([], kind)
+    whole, lead = sum(weights.values()), -(-sum(weights.values()) // min(weights.values())) + 2
+    slots, step = max(-(-blocks[k] * whole // weights[k]) for k in keys), max(stretch, lead)
+    if slots * whole >= 1 << 62:
+        raise OverflowError("slots times weights are beyond 2^62")
+    source = "array<struct<key: string, own: bigint, blocks: bigint>>"
+    sources = spark.createDataFrame([([(k, weights[k], blocks[k]) for k in keys],)], f"src {source}")
+    n = -(-slots // step)
+    stretches = spark.range(0, n, 1, min(n, max(spark.sparkContext.defaultParallelism, n // 64)))
+    bounds = stretches.crossJoin(F.broadcast(sources)).selectExpr("src", f"id * {step} AS first", f"greatest(0, id * {step} - {lead}) AS ahead", f"least({slots}, (id + 1) * {step}) AS until")
+    gone = bounds.selectExpr("*", f"transform(src, s -> s.own * ahead div {whole}) AS least", f"filter(sequence(0, {len(keys) - 1}), i -> src[i].own * ahead % {whole} > 0) AS begun")
+    some = gone.selectExpr("*", "slice(begun, 1, cast(ahead - aggregate(least, 0L, (a, x) -> a + x) AS int)) AS more")
+    fold = f"""
+      aggregate(
+        sequence(ahead, until - 1),
+        named_struct('done', transform(least, (k, i) -> if(array_contains(more, i), k + 1, k)), 'plan', cast(array() as array<struct<i: int, k: bigint>>)),
+        (acc, t) -> transform(
+          array(array_min(transform(src, (s, i) -> if(
+            acc.done[i] * {whole} div s.own <= t,
+            named_struct('due', ((acc.done[i] + 1) * {whole} + s.own - 1) div s.own, 'i', i),
+            null))).i),
+          p -> named_struct(
+            'done', transform(acc.done, (d, j) -> if(j = p, d + 1, d)),
+            'plan', if(t < first, acc.plan, concat(acc.plan, array(named_struct('i', p, 'k', acc.done[p]))))))[0],
+        acc -> acc.plan)
+    """
+    laid = some.select("src", "first", F.posexplode(F.expr(fold)).alias("at", "p")).selectExpr("src[p.i] AS s", "p.k AS mix_block", "first + at AS mix_slot")
+    return laid.where("mix_block < s.blocks").select("s.key", "mix_block", "mix_slot")
+
+
+def pfair(docs: DataFrame, block: int = 16) -> DataFrame:
+    """All columns of ``docs`` and mix_block, mix_slot, mix_place, as by ``schedule``, but from exact weights and without
+    a period: square roots of the sources' counts, in units of a billionth of all (a weight of a billionth at least).
+
+    One row for each source comes to the driver. Blocks' slots are joined to rows by source and block, which no hot source
+    can skew; Spark broadcasts them only while they are small. Nulls, ties, repeated rows, empty tables and names are
+    as for ``schedule``.
+    """
+    refuse(docs, ADDS[:3])
+    blocks, totals = _numbered(docs, block)
+    counts = {r.key: r.n for r in totals.collect()}
+    turns = deadlines(docs.sparkSession, _units(counts), {k: -(-n // block) for k, n in counts.items()})
+    return blocks.join(turns, ["key", "mix_block"]).select(*_columns(docs), *ADDS[:3])
+
+
+def _units(counts: dict[str, int]) -> dict[str, int]:
+    """Square roots of the counts in units of a billionth of all."""
+    whole = sum(n**0.5 for n in counts.values())
+    return {k: max(1, round(UNITS * n**0.5 / whole)) for k, n in counts.items()}
+
+
 def tree(weights: dict[str, int]) -> dict[str, list[tuple[int, int, bool]]]:
     """For each source the way up a Huffman tree of the weights: (both children's weight, the child's own, whether it is
     the first of the two) from the leaf to the root."""
@@ -148,8 +218,7 @@ def tree(weights: dict[str, int]) -> dict[str, list[tuple[int, int, bool]]]:
 
 
 def spread(docs: DataFrame, block: int = 16) -> DataFrame:
-    """All columns of ``docs`` and mix_block, mix_slot, mix_place, as by ``schedule``, but from exact weights and without
-    a period: square roots of the sources' counts, in units of a billionth of all.
+    """What ``pfair`` returns, by a closed form without deadlines, for more sources than a fold over them can serve.
 
     A binary tree of the sources splits slots: of the first m slots of a node its first child has m w / (w + v), rounded.
     So a block's slot follows from its number by one division for each node up the tree, for each row alone. Rounding
@@ -162,9 +231,7 @@ def spread(docs: DataFrame, block: int = 16) -> DataFrame:
     """
     refuse(docs, ADDS[:3])
     blocks, totals = _numbered(docs, block)
-    roots = {r.key: r.n**0.5 for r in totals.collect()}
-    whole = sum(roots.values())
-    ways = tree({k: max(1, round(UNITS * w / whole)) for k, w in roots.items()})
+    ways = tree(_units({r.key: r.n for r in totals.collect()}))
     table = docs.sparkSession.createDataFrame(list(ways.items()), "key string, way array<struct<whole: bigint, own: bigint, first: boolean>>")
     slot = F.expr("""
       aggregate(way, mix_block, (k, s) -> if(s.first,
