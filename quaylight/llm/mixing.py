@@ -23,6 +23,8 @@ from .shared import materialize, refuse, wrapped
 UNITS = 10**9
 #: Slots that one row of ``deadlines`` lays out at least.
 STRETCH = 2048
+#: Slots after which its fold starts a new array, as adding to one copies it.
+PART = 256
 ADDS = ("mix_block", "mix_slot", "mix_place", "mix_share", "mix_slots")
 
 
@@ -156,19 +158,24 @@ def deadlines(spark: SparkSession, weights: dict[str, int], blocks: dict[str, in
     bounds = stretches.crossJoin(F.broadcast(sources)).selectExpr("src", f"id * {step} AS first", f"greatest(0, id * {step} - {lead}) AS ahead", f"least({slots}, (id + 1) * {step}) AS until")
     gone = bounds.selectExpr("*", f"transform(src, s -> s.own * ahead div {whole}) AS least", f"filter(sequence(0, {len(keys) - 1}), i -> src[i].own * ahead % {whole} > 0) AS begun")
     some = gone.selectExpr("*", "slice(begun, 1, cast(ahead - aggregate(least, 0L, (a, x) -> a + x) AS int)) AS more")
+    # A transform copies all that its function returns, so what grows stays out of it and takes the slot before.
     fold = f"""
       aggregate(
         sequence(ahead, until - 1),
-        named_struct('done', transform(least, (k, i) -> if(array_contains(more, i), k + 1, k)), 'plan', cast(array() as array<struct<i: int, k: bigint>>)),
-        (acc, t) -> transform(
-          array(array_min(transform(src, (s, i) -> if(
-            acc.done[i] * {whole} div s.own <= t,
-            named_struct('due', ((acc.done[i] + 1) * {whole} + s.own - 1) div s.own, 'i', i),
-            null))).i),
-          p -> named_struct(
-            'done', transform(acc.done, (d, j) -> if(j = p, d + 1, d)),
-            'plan', if(t < first, acc.plan, concat(acc.plan, array(named_struct('i', p, 'k', acc.done[p]))))))[0],
-        acc -> acc.plan)
+        named_struct(
+          'now', named_struct('done', transform(least, (k, i) -> if(array_contains(more, i), k + 1, k)), 'i', -1, 'k', -1L),
+          'part', cast(array() as array<struct<i: int, k: bigint>>),
+          'parts', cast(array() as array<array<struct<i: int, k: bigint>>>)),
+        (acc, t) -> named_struct(
+          'now', transform(
+            array(array_min(transform(src, (s, i) -> if(
+              acc.now.done[i] * {whole} div s.own <= t,
+              named_struct('due', ((acc.now.done[i] + 1) * {whole} + s.own - 1) div s.own, 'i', i),
+              null))).i),
+            p -> named_struct('done', transform(acc.now.done, (d, j) -> if(j = p, d + 1, d)), 'i', p, 'k', acc.now.done[p]))[0],
+          'part', if(t <= first, acc.part, concat(if(size(acc.part) < {PART}, acc.part, slice(acc.part, 1, 0)), array(named_struct('i', acc.now.i, 'k', acc.now.k)))),
+          'parts', if(t <= first or size(acc.part) < {PART}, acc.parts, concat(acc.parts, array(acc.part)))),
+        acc -> flatten(concat(acc.parts, array(acc.part), array(array(named_struct('i', acc.now.i, 'k', acc.now.k))))))
     """
     laid = some.select("src", "first", F.posexplode(F.expr(fold)).alias("at", "p")).selectExpr("src[p.i] AS s", "p.k AS mix_block", "first + at AS mix_slot")
     return laid.where("mix_block < s.blocks").select("s.key", "mix_block", "mix_slot")
