@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunkdedup, exactdedup, langid, linededup, mixing, packing, simhash, tokencounts, topk, toxicity
+from . import chunkdedup, exactdedup, langid, linededup, merkle, mixing, packing, simhash, tokencounts, topk, toxicity
 from .shared import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op8_token_counts,
         op9_source_mixing,
         op10_exact_top_k,
+        op12_merkle_manifest,
     )
 }
 SQL = {
@@ -73,4 +78,5 @@ SQL = {
     "op7_line_dedup": linededup.LINES_SQL,
     "op9_source_mixing": mixing.MIX_SQL,
     "op10_exact_top_k": topk.TOP_K_SQL,
+    "op12_merkle_manifest": merkle.MERKLE_SQL,
 }
