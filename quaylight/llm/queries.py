@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunkdedup, exactdedup, langid, linededup, merkle, mixing, packing, simhash, tokencounts, topk, toxicity
+from . import chunkdedup, convrepair, exactdedup, langid, linededup, merkle, mixing, packing, simhash, tokencounts, topk, toxicity
 from .shared import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return convrepair.repair_report(said, convrepair.damage(said))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +76,7 @@ QUERIES = {
         op9_source_mixing,
         op10_exact_top_k,
         op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
 SQL = {
@@ -79,4 +85,5 @@ SQL = {
     "op9_source_mixing": mixing.MIX_SQL,
     "op10_exact_top_k": topk.TOP_K_SQL,
     "op12_merkle_manifest": merkle.MERKLE_SQL,
+    "op13_conversation_repair": convrepair.REPAIR_SQL,
 }
