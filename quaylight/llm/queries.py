@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunkdedup, convrepair, exactdedup, langid, linededup, merkle, mixing, packing, simhash, tokencounts, topk, toxicity
+from . import chunkdedup, convrepair, exactdedup, langid, linededup, merkle, mixing, packing, quality, simhash, tokencounts, topk, toxicity
 from .shared import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES = {
         op8_token_counts,
         op9_source_mixing,
         op10_exact_top_k,
+        op11_quality_classifier,
         op12_merkle_manifest,
         op13_conversation_repair,
     )
