@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learn from (text, quality) rows, a bounded number; null texts count as empty, rows with a null label are left out, and
     labels but 0 and 1 make no pairs. None if there is no pair. Repeated rows count as often as they come."""
     known = labelled.where("quality in (0, 1)").select(F.col("quality").cast("int"), "text")
-    rows = known.mapInArrow(_measured, "label int, measures array<double>").orderBy("label", "measures").collect()
+    rows = sorted(known.mapInArrow(_measured, "label int, measures array<double>").collect())
     if len({r.label for r in rows}) < 2:
         return None
     raw, labels = np.array([r.measures for r in rows]), np.array([r.label for r in rows])
