@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -23,20 +23,50 @@ def _lookup(instruments: DataFrame) -> DataFrame:
     return _futures(instruments).select(F.col("ticker").alias("continuous_ticker"), F.col("instrument_id").alias("continuous_instrument_id"))
 
 
-def with_rollover(mapped: DataFrame) -> DataFrame:
-    """Flag the days on which a continuous symbol's contract differs from its row before; the first has none."""
-    before = F.lag("instrument_id").over(Window.partitionBy("continuous_ticker").orderBy("ts_day"))
-    flag = F.when(before.isNotNull() & ~before.eqNullSafe(F.col("instrument_id")), 1).otherwise(0)
-    return mapped.withColumn("rollover_flag", flag).select(*S.CONTINUOUS_MAP.names)
+def with_rollover(mapped: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Flag the days on which a continuous symbol's contract differs from its row before; the first has none. ``before``:
+    each symbol's last row of an earlier map, if there is one."""
+    named = mapped.withColumn("_new", F.lit(True))
+    if before is not None:
+        old = before.select("ts_day", "continuous_ticker", "instrument_id", F.lit(False).alias("_new"))
+        named = named.unionByName(old, allowMissingColumns=True)
+    last = F.lag("instrument_id").over(Window.partitionBy("continuous_ticker").orderBy("ts_day"))
+    flag = F.when(last.isNotNull() & ~last.eqNullSafe(F.col("instrument_id")), 1).otherwise(0)
+    return named.withColumn("rollover_flag", flag).where("_new").select(*S.CONTINUOUS_MAP.names)
+
+
+#: The first of a root's contracts, in order of expiry, that is not over on the day; 31 halvings serve any array.
+_FIRST_LIVE = """
+  aggregate(
+    sequence(1, 31), named_struct('lo', 0, 'hi', size(contracts)),
+    (a, i) -> if(a.lo >= a.hi, a,
+      if(contracts[shiftright(a.lo + a.hi, 1)].expiration_date < ts_day,
+         named_struct('lo', shiftright(a.lo + a.hi, 1) + 1, 'hi', a.hi),
+         named_struct('lo', a.lo, 'hi', shiftright(a.lo + a.hi, 1)))),
+    a -> a.lo)
+"""
+
+
+def calendar_ranks_of(days: DataFrame, instruments: DataFrame, root_len: int = 2, ranks: int | None = None) -> DataFrame:
+    """Contracts that have not expired, for each of ``days`` (ts_day) and root, by nearness of expiry from 0; only the
+    nearest ``ranks`` of them if a number is given.
+
+    A root's contracts are one array in order of expiry (some 16 bytes a contract), so a day's live ones are the end of
+    it, from a place that binary search finds, and their ranks are their places. Days and contracts are never joined or
+    sorted against each other: what is made is what is returned.
+    """
+    contracts = _futures(instruments).where("is_continuous = false AND expiration_date IS NOT NULL")
+    ordered = F.array_sort(F.collect_list(F.struct("expiration_date", "instrument_id"))).alias("contracts")
+    roots = contracts.groupBy(F.left("ticker", F.lit(root_len)).alias("root")).agg(ordered)
+    calendar = days.agg(F.array_sort(F.collect_set("ts_day"))).scalar()
+    dated = roots.select("root", "contracts", F.explode(calendar).alias("ts_day")).withColumn("first", F.expr(_FIRST_LIVE))
+    live = F.slice("contracts", F.col("first") + 1, F.size("contracts") if ranks is None else F.lit(ranks))
+    return dated.select("ts_day", "root", F.posexplode(live).alias("rank", "c")).select("ts_day", "root", "c.instrument_id", "rank")
 
 
-def calendar_ranks(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
-    """Contracts that have not expired, for each day and root, by nearness of expiry from 0."""
-    contracts = _futures(instruments).where("is_continuous = false").select("ticker", "instrument_id", "expiration_date")
-    live = active_days(mbp).join(contracts, F.col("expiration_date") >= F.col("ts_day"))
-    root = F.left("ticker", F.lit(root_len))
-    rank = F.row_number().over(Window.partitionBy("ts_day", root).orderBy("expiration_date", "instrument_id")) - 1
-    return live.select("ts_day", root.alias("root"), "instrument_id", rank.alias("rank"))
+def calendar_ranks(mbp: DataFrame, instruments: DataFrame, root_len: int = 2, ranks: int | None = None) -> DataFrame:
+    """``calendar_ranks_of`` for all days with events."""
+    return calendar_ranks_of(active_days(mbp), instruments, root_len, ranks)
 
 
 def daily_volume(mbp: DataFrame) -> DataFrame:
@@ -48,32 +78,42 @@ def daily_volume(mbp: DataFrame) -> DataFrame:
     )
 
 
-def volume_ranks(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
-    """Contracts of each day and root by the volume of their last row before the day, then of the row before that,
-    then expiry. The first day of all has no rank."""
+def volume_ranks_of(volumes: DataFrame, instruments: DataFrame, wanted: Column, root_len: int = 2) -> DataFrame:
+    """Contracts of each ``wanted`` day and root by the volume of their last row before the day, then of the row before
+    that, then expiry. ``volumes`` (instrument_id, ts_event, daily_volume) has these rows too."""
     known = _futures(instruments).select("instrument_id", "ticker", "expiration_date")
-    volumes = daily_volume(mbp).join(known, "instrument_id")
+    met = volumes.join(known, "instrument_id")
     by_contract = Window.partitionBy("instrument_id").orderBy("ts_event")
-    lagged = volumes.withColumn("prev", F.lag("daily_volume").over(by_contract)).withColumn("prev2", F.lag("daily_volume", 2).over(by_contract))
-    first = active_days(mbp).agg(F.min("ts_day").alias("first_day"))
+    lagged = met.withColumn("prev", F.lag("daily_volume").over(by_contract)).withColumn("prev2", F.lag("daily_volume", 2).over(by_contract))
     root = F.left("ticker", F.lit(root_len))
     order = [F.desc_nulls_last("prev"), F.desc_nulls_last("prev2"), F.asc_nulls_last("expiration_date"), F.asc("instrument_id")]
     rank = F.row_number().over(Window.partitionBy(root, "ts_event").orderBy(*order)) - 1
-    later = lagged.crossJoin(F.broadcast(first)).where("ts_event > first_day")  # one row
-    return later.select(F.col("ts_event").alias("ts_day"), root.alias("root"), "instrument_id", rank.alias("rank"))
+    return lagged.where(wanted).select(F.col("ts_event").alias("ts_day"), root.alias("root"), "instrument_id", rank.alias("rank"))
 
 
-def calendar_map(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
+def volume_ranks(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
+    """``volume_ranks_of`` for all days but the first, which has no rank."""
+    return volume_ranks_of(daily_volume(mbp), instruments, F.col("ts_event") > active_days(mbp).agg(F.min("ts_day")).scalar(), root_len)
+
+
+def calendar_symbols(ranked: DataFrame, instruments: DataFrame) -> DataFrame:
     """root.c.rank; symbols that are no instrument have a null id."""
-    ranked = calendar_ranks(mbp, instruments, root_len).withColumn("continuous_ticker", F.concat("root", F.lit(".c."), F.col("rank").cast("string")))
-    known = _lookup(instruments.where("is_continuous = true"))
-    return with_rollover(ranked.join(known, "continuous_ticker", "left"))
+    named = ranked.withColumn("continuous_ticker", F.concat("root", F.lit(".c."), F.col("rank").cast("string")))
+    return named.join(_lookup(instruments.where("is_continuous = true")), "continuous_ticker", "left")
 
 
-def volume_map(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
+def volume_symbols(ranked: DataFrame, instruments: DataFrame) -> DataFrame:
     """root.v.rank; only symbols that are instruments."""
-    ranked = volume_ranks(mbp, instruments, root_len).withColumn("continuous_ticker", F.concat("root", F.lit(".v."), F.col("rank").cast("string")))
-    return with_rollover(ranked.join(_lookup(instruments), "continuous_ticker"))
+    named = ranked.withColumn("continuous_ticker", F.concat("root", F.lit(".v."), F.col("rank").cast("string")))
+    return named.join(_lookup(instruments), "continuous_ticker")
+
+
+def calendar_map(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
+    return with_rollover(calendar_symbols(calendar_ranks(mbp, instruments, root_len), instruments))
+
+
+def volume_map(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
+    return with_rollover(volume_symbols(volume_ranks(mbp, instruments, root_len), instruments))
 
 
 def build_continuous_map(mbp: DataFrame, instruments: DataFrame, root_len: int = 2) -> DataFrame:
@@ -107,15 +147,17 @@ def mapped_events(market: Market, p: RetrieveParams, trades_only: bool) -> tuple
 def rollover_events(map_rows: DataFrame, events: DataFrame) -> DataFrame:
     """(instrument_id, ts_recv, rec_id) of the first event at or after each flagged day of each continuous id.
 
-    Events are first cut down to one for each id and day; only those meet the flagged days, by the id and the time.
+    Events are first cut down to one for each id and day. Those and the flagged days are then swept together, from the
+    last day to the first: the event seen last when a flagged day comes is its own. A sort of a row for each id and day.
     """
-    def first(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy("instrument_id", *by).agg(*(F.min_by(c, "arrival").alias(c) for c in ("ts_recv", "rec_id")), F.min("arrival").alias("arrival"))
-
-    firsts = first(events.select("instrument_id", "day", "ts_recv", "rec_id", order_key().alias("arrival")), "day")
-    flagged = map_rows.where("rollover_flag = 1").select(F.col("continuous_instrument_id").alias("instrument_id"), day_of("ts_day").alias("from_day"))
-    after = flagged.join(firsts, "instrument_id").where("day >= from_day")
-    return first(after, "from_day").select("instrument_id", "ts_recv", "rec_id").distinct()
+    arrival = events.select("instrument_id", "day", "ts_recv", "rec_id", order_key().alias("arrival"))
+    firsts = arrival.groupBy("instrument_id", "day").agg(*(F.min_by(c, "arrival").alias(c) for c in ("ts_recv", "rec_id")))
+    flagged = map_rows.where("rollover_flag = 1").select(F.col("continuous_instrument_id").alias("instrument_id"), day_of("ts_day").alias("day"), F.lit(True).alias("flagged"))
+    swept = firsts.withColumn("flagged", F.lit(False)).unionByName(flagged, allowMissingColumns=True)
+    # Of one day the event comes before the flag, which it serves.
+    back = Window.partitionBy("instrument_id").orderBy(F.desc("day"), "flagged").rowsBetween(Window.unboundedPreceding, 0)
+    after = swept.select("instrument_id", "flagged", *(F.last(c, ignorenulls=True).over(back).alias(c) for c in ("ts_recv", "rec_id")))
+    return after.where("flagged AND ts_recv IS NOT NULL").select("instrument_id", "ts_recv", "rec_id").distinct()
 
 
 def continuous_events(market: Market, p: RetrieveParams, trades_only: bool) -> DataFrame:

@@ -1,30 +1,46 @@
 """Loading event records: checks, fingerprints, and all-or-nothing publication.
 
-A store is a folder with ``events`` (Parquet by load_id, dataset and day), ``loads`` (one row for each load that
-succeeded) and ``deleted`` (instruments whose events up to a rec_id are gone). A load writes its own load_id partition
-first and its row in ``loads`` last; readers take only loads that have a row. Nothing that fails or is retried can show,
-or take away another load's rows. A store has one writer at a time, held to by the file ``writer``: a second load is
-told that the store is busy before it reads or writes anything, so ids and duplicate checks never meet half a load.
+A store is a folder with ``events`` (Parquet by load_id, attempt, dataset and day), ``loads`` (one row for each load that
+succeeded) and ``deleted`` (instruments whose events up to a rec_id are gone). A load writes a partition of its own
+first and its row in ``loads`` last; readers take only attempts that have a row. Nothing that fails or is retried can
+show, or take away another load's rows. A store has one writer at a time, held to by the file ``writer``: a second load is
+told that the store is busy before it reads or writes anything, so ids and duplicate checks never meet half a load. A
+load that was taken over in the meantime fails before it publishes.
+
+``compact`` rewrites days that have many files or deleted events into ``compacted``. Which days are read from there, and
+up to which rec_id, stands in one small table a version, which readers see all at once (``folders.publish``).
+
+``keys`` has a 128-bit digest of each event's key, bucketed by it, so that a load is compared with a store that does not
+move; see ``eventkeys``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import re
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.book import book_hash
 from ..functions.timeutil import day_of
-from ..scratch import exists
+from ..scratch import exists, written
+from ..sources import eventkeys
+from ..sources.folders import Busy, Lock, names, only_writer, publish, published, remove, withdraw
 
+__all__ = ["Busy", "only_writer"]
 RECORD_TYPE = "mbp-1"
 #: ``top`` is the highest rec_id of the load (its mark, if it has no rows).
-_LOADS = "load_id string, mark bigint, top bigint, n_rows bigint, loaded_at timestamp"
+_LOADS = "load_id string, attempt string, mark bigint, top bigint, n_rows bigint, loaded_at timestamp"
 _DELETED = "dataset string, instrument_id bigint, upto bigint"
+#: Days that are read from a compacted part: their events up to ``upto`` are there, all later ones in ``events``.
+_MANIFEST = "dataset string, day bigint, part string, upto bigint"
+_EVENTS = T.StructType([*S.MBP.fields, T.StructField("attempt", T.StringType())])
+_COMPACTED = T.StructType([*S.MBP.fields, T.StructField("part", T.StringType())])
 #: A load of more days than this is compared with all of the store.
 MOST_DAYS = 20_000
 
@@ -33,10 +49,6 @@ class Rejected(ValueError):
     """A load that breaks a rule; nothing of it is published."""
 
 
-class Busy(RuntimeError):
-    """Another load is writing to the store."""
-
-
 @dataclass(frozen=True)
 class LoadSummary:
     load_id: str
@@ -91,10 +103,11 @@ def orphans(events: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(events: DataFrame) -> DataFrame:
-    """The first arrival of each event key; one row for each key leaves each task before the shuffle."""
-    rest = [c for c in events.columns if c not in ("dataset", *S.EVENT_KEY)]
-    first = F.min_by(F.struct(*rest), "rec_id").alias("r")
-    return events.groupBy("dataset", *S.EVENT_KEY).agg(first).select("dataset", *S.EVENT_KEY, "r.*").select(*events.columns)
+    """The first arrival of each event key. Events are written once, so that their ids stay what they are; then a hash
+    aggregate finds the least id of each key, and rows are kept by that id. Books are not part of it."""
+    arrived = written(events, "arrived")
+    first = arrived.groupBy("dataset", *S.EVENT_KEY).agg(F.min("rec_id").alias("rec_id")).select("rec_id")
+    return arrived.join(first, "rec_id", "left_semi").select(*events.columns)
 
 
 def high_water_mark(store: DataFrame, dataset: str | None = None) -> DataFrame:
@@ -113,54 +126,142 @@ def store_mark(spark: SparkSession, store: str) -> int:
     return loads(spark, store).agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Events of the loads that succeeded, without those of deleted instruments."""
+def manifest(spark: SparkSession, store: str) -> DataFrame:
+    """The compacted days that readers take now."""
+    versions = published(spark, store)
+    return spark.read.schema(_MANIFEST).parquet(f"{store}/manifests/{versions[-1][1]}") if versions else spark.createDataFrame([], _MANIFEST)
+
+
+def tombstones(spark: SparkSession, store: str, erased: bool = False) -> DataFrame:
+    """Deleted instruments and up to which rec_id; with ``erased`` also those whose events are no longer in any file."""
+    paths = [p for p in (f"{store}/deleted", *([f"{store}/erased"] if erased else [])) if exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], _DELETED)
+    return spark.read.schema(_DELETED).parquet(*paths).groupBy("dataset", "instrument_id").agg(F.max("upto").alias("upto"))
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    """Events of the loads that succeeded, deleted ones too."""
     path = f"{store}/events"
     if not exists(spark, path):
         return spark.createDataFrame([], S.MBP)
-    found = spark.read.schema(S.MBP).parquet(path).join(loads(spark, store).select("load_id").distinct(), "load_id", "left_semi")
-    if exists(spark, f"{store}/deleted"):
-        gone = spark.read.schema(_DELETED).parquet(f"{store}/deleted").groupBy("dataset", "instrument_id").agg(F.max("upto").alias("upto")).withColumnsRenamed({"dataset": "d", "instrument_id": "i"})
-        found = found.join(gone, (F.col("dataset") == F.col("d")) & (F.col("instrument_id") == F.col("i")) & (F.col("rec_id") <= F.col("upto")), "left_anti")
-    return found.select(*S.MBP.names)
+    done = loads(spark, store).select("load_id", "attempt").distinct()
+    found = spark.read.schema(_EVENTS).parquet(path).join(done, ["load_id", "attempt"], "left_semi")
+    if not published(spark, store):
+        return found.select(*S.MBP.names)
+    days = manifest(spark, store)
+    later = found.join(days.select("dataset", "day", F.col("upto").alias("_upto")), ["dataset", "day"], "left").where("_upto IS NULL OR rec_id > _upto")
+    merged = f"{store}/compacted"
+    if not exists(spark, merged):
+        return later.select(*S.MBP.names)
+    kept = spark.read.schema(_COMPACTED).parquet(merged).join(days, ["part", "dataset", "day"], "left_semi")
+    return later.select(*S.MBP.names).unionByName(kept.select(*S.MBP.names))
+
+
+def _gone(events: DataFrame, spark: SparkSession, store: str, how: str) -> DataFrame:
+    """Events that are deleted (left_semi) or not (left_anti)."""
+    gone = tombstones(spark, store).withColumnsRenamed({"dataset": "d", "instrument_id": "i"})
+    return events.join(gone, (F.col("dataset") == F.col("d")) & (F.col("instrument_id") == F.col("i")) & (F.col("rec_id") <= F.col("upto")), how)
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """Events of the loads that succeeded, without those of deleted instruments."""
+    found = _stored(spark, store)
+    return _gone(found, spark, store, "left_anti").select(*S.MBP.names) if exists(spark, f"{store}/deleted") else found
 
 
 def delete_events(spark: SparkSession, store: str, ids: DataFrame) -> None:
     """Delete all events that the store has now of the instruments in ``ids`` (dataset, instrument_id). One small table is
-    appended, no event is rewritten; the same instrument may be loaded again later."""
-    ids.select("dataset", "instrument_id").distinct().withColumn("upto", F.lit(store_mark(spark, store)).cast("long")).write.mode("append").parquet(f"{store}/deleted")
+    appended, no event is rewritten until ``compact``; the same instrument may be loaded again later."""
+    with only_writer(spark, store, f"deletion {uuid.uuid4().hex}"):
+        ids.select("dataset", "instrument_id").distinct().withColumn("upto", F.lit(store_mark(spark, store)).cast("long")).write.mode("append").parquet(f"{store}/deleted")
 
 
-@contextmanager
-def only_writer(spark: SparkSession, store: str, load_id: str) -> Iterator[None]:
-    """Hold the store's ``writer`` file, which the file system makes only once (true of HDFS and local disks). A load that
-    died leaves it behind; a retry under the same load_id takes it over."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/writer")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        out = fs.create(path, False)
-        out.writeUTF(load_id)
-        out.close()
-    except Exception as e:
-        if not fs.exists(path):
-            raise
-        held = fs.open(path)
-        try:
-            holder = held.readUTF()
-        finally:
-            held.close()
-        if holder != load_id:
-            raise Busy(f"load {holder} is writing to the store") from e
-    try:
-        yield
-    finally:
-        fs.delete(path, False)
+@dataclass(frozen=True)
+class Compaction:
+    """``days``: (dataset, day) partitions that were rewritten; files of all of the store before and after."""
+
+    days: int
+    files_before: int
+    files_after: int
+    n_rows: int
+    n_erased: int
+
+
+def _files(spark: SparkSession, store: str) -> Counter:
+    """Files of each (dataset, day), by their names."""
+    found = [f for p in ("events", "compacted") if exists(spark, f"{store}/{p}") for f in spark.read.schema(S.MBP).parquet(f"{store}/{p}").inputFiles()]
+    return Counter((m[1], int(m[2])) for f in found if (m := re.search(r"/dataset=([^/]+)/day=(-?\d+)/", f)))
 
 
-def roll_back(spark: SparkSession, store: str, load_id: str) -> None:
-    """Take away what a load wrote; other loads' files are not touched."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/events/load_id={load_id}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _folders(spark: SparkSession, store: str) -> list[str]:
+    """Folders that hold events by dataset and day: of attempts of loads, and of compacted parts."""
+    loads_ = [f"{store}/events/{load}/{a}" for load in names(spark, f"{store}/events") if "=" in load for a in names(spark, f"{store}/events/{load}") if "=" in a]
+    return loads_ + [f"{store}/compacted/{p}" for p in names(spark, f"{store}/compacted") if "=" in p]
+
+
+def compact(spark: SparkSession, store: str, max_files: int = 8, records_per_file: int = 5_000_000) -> Compaction:
+    """Take deleted events out of the files for good, and merge the files of each day that has more than ``max_files``.
+
+    Only partitions (dataset, day) with deleted events or many files are read and rewritten, sorted by instrument and time
+    as a load's are. They become visible all at once; then the files that they replace and the deletions, which have
+    nothing left to delete, are taken away (deletions are kept in ``erased`` for those that follow the store). If it dies,
+    readers see the store as before or as after, and the next run clears what is left. Readers that have planned a query
+    before and run it afterwards may find their files gone. Days by day and file names pass the driver; no event does.
+    """
+    with only_writer(spark, store, f"compaction {uuid.uuid4().hex}") as lock:
+        done = _compact(lock, store, max_files, records_per_file)
+        _clear(lock, store)
+        return done
+
+
+def _compact(lock: Lock, store: str, max_files: int, records_per_file: int) -> Compaction:
+    spark, files = lock.spark, _files(lock.spark, store)
+    gone = _gone(_stored(spark, store).select("dataset", "day", "instrument_id", "rec_id"), spark, store, "left_semi")
+    hit = {(r.dataset, r.day): r.n for r in gone.groupBy("dataset", "day").agg(F.count("*").alias("n")).collect()} if exists(spark, f"{store}/deleted") else {}
+    chosen = sorted({k for k, n in files.items() if n > max_files} | set(hit))
+    total = sum(files.values())
+    if not chosen:
+        return Compaction(0, total, total, 0, 0)
+    part, mark = uuid.uuid4().hex, store_mark(spark, store)
+    days = spark.createDataFrame(chosen, "dataset string, day long")
+    events = read_store(spark, store).where(F.col("day").isin(sorted({d for _, d in chosen}))).join(days, ["dataset", "day"], "left_semi")
+    place = ["dataset", "day", "instrument_id", "ts_recv"]
+    path = f"{store}/compacted/part={part}"
+    laid = events.repartitionByRange(*place).sortWithinPartitions(*place)
+    laid.write.partitionBy("dataset", "day").option("maxRecordsPerFile", records_per_file).parquet(path)
+    new = days.select("dataset", "day", F.lit(part).alias("part"), F.lit(mark).cast("long").alias("upto"))
+    manifest(spark, store).join(days, ["dataset", "day"], "left_anti").unionByName(new).coalesce(1).write.parquet(f"{store}/manifests/{part}")
+    publish(lock, part)
+    kept = spark.read.schema(S.MBP).parquet(path)
+    after = total - sum(files[k] for k in chosen) + len(kept.inputFiles())
+    return Compaction(len(chosen), total, after, kept.count(), sum(hit.values()))
+
+
+def _clear(lock: Lock, store: str) -> None:
+    """Take away what no reader of the newest version needs; deletions once every day that they meet is rewritten."""
+    spark, versions = lock.spark, published(lock.spark, store)
+    if not versions:
+        return
+    current = manifest(spark, store).collect()
+    for folder in _folders(spark, store):
+        part = re.search(r"/compacted/part=([^/]+)$", folder)
+        for r in current:
+            if part is None or part[1] != r.part:
+                remove(spark, f"{folder}/dataset={r.dataset}/day={r.day}")
+        if part and part[1] not in {r.part for r in current}:
+            remove(spark, folder)
+    for number, name in versions[:-1]:
+        withdraw(spark, store, number, name)
+        remove(spark, f"{store}/manifests/{name}")
+    if exists(spark, f"{store}/deleted") and _gone(_stored(spark, store), spark, store, "left_semi").isEmpty():
+        tombstones(spark, store).coalesce(1).write.mode("append").parquet(f"{store}/erased")
+        remove(spark, f"{store}/deleted")
+
+
+def roll_back(spark: SparkSession, store: str, load_id: str, attempt: str | None = None) -> None:
+    """Take away what a load wrote, or one attempt at it; other loads' files are not touched."""
+    remove(spark, f"{store}/events/load_id={load_id}" + (f"/attempt={attempt}" if attempt else ""))
 
 
 def bulk_load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str, duplicates: str = "error", records_per_file: int = 5_000_000) -> LoadSummary:
@@ -170,43 +271,50 @@ def bulk_load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str,
     store already reject the whole load; with ``duplicates="drop"`` the first arrival stays. A load_id that was
     published before is done already, so repeating a load changes nothing. While another load writes, this one is Busy.
 
-    Of the store only ``loads`` and the load's own days are read.
+    Of the store only ``loads`` and the keys of the load's own days are read, and events only where keys meet.
     """
     if duplicates not in ("error", "drop"):
         raise ValueError("duplicates is error or drop")
     spark = raw.sparkSession
-    with only_writer(spark, store, load_id):
-        return _load(raw, store, instruments, load_id, duplicates, records_per_file)
+    with only_writer(spark, store, load_id) as lock:
+        return _load(lock, raw, store, instruments, load_id, duplicates, records_per_file)
 
 
-def _load(raw: DataFrame, store: str, instruments: DataFrame, load_id: str, duplicates: str, records_per_file: int) -> LoadSummary:
-    spark = raw.sparkSession
+def _load(lock: Lock, raw: DataFrame, store: str, instruments: DataFrame, load_id: str, duplicates: str, records_per_file: int) -> LoadSummary:
+    spark, attempt = raw.sparkSession, lock.token
     done = loads(spark, store).where(F.col("load_id") == load_id).first()
     if done:
         return LoadSummary(load_id, done.mark, done.n_rows, 0, "done before")
     mark, stored = store_mark(spark, store), read_store(spark, store)
     if not wrong_types(raw).isEmpty():
         raise Rejected(f"only records of type {RECORD_TYPE} are accepted")
-    part = f"{store}/events/load_id={load_id}"
+    part = f"{store}/events/load_id={load_id}/attempt={attempt}"
     events = prepare(raw, load_id, mark)
     if duplicates == "drop":
-        events = against_store(drop_duplicates(events), stored, "left_anti", days_of(raw.select(day_of("ts_recv").alias("day"))))
+        first = drop_duplicates(events)
+        events = first.join(eventkeys.known(first, store, stored, days_of(first)), "rec_id", "left_anti").select(*events.columns)
     # By ranges of day, instrument and time, so that a busy day is several tasks' work and files skip well.
     place = ["dataset", "day", "instrument_id", "ts_recv"]
     laid = events.drop("load_id").repartitionByRange(*place).sortWithinPartitions(*place)
     laid.write.mode("overwrite").partitionBy("dataset", "day").option("maxRecordsPerFile", records_per_file).parquet(part)
     # The checks read what was written: ids and fingerprints are made once, and a rejected load takes its files along.
-    written = spark.read.schema(S.MBP).option("basePath", f"{store}/events").parquet(part)
+    mine = spark.read.schema(S.MBP).option("basePath", f"{store}/events").parquet(part)
     try:
-        if not orphans(written, instruments).isEmpty():
+        if not orphans(mine, instruments).isEmpty():
             raise Rejected("events of unknown instruments")
-        if duplicates == "error" and not (duplicate_keys(written).isEmpty() and against_store(written, stored, days=days_of(written)).isEmpty()):
+        if duplicates == "error" and not (duplicate_keys(mine).isEmpty() and eventkeys.known(mine, store, stored, days_of(mine)).isEmpty()):
             raise Rejected("events that exist already or come twice")
-        n, top = written.agg(F.count("*"), F.coalesce(F.max("rec_id"), F.lit(mark))).first()
+        n, top = mine.agg(F.count("*"), F.coalesce(F.max("rec_id"), F.lit(mark))).first()
     except Rejected:
-        roll_back(spark, store, load_id)
+        roll_back(spark, store, load_id, attempt)
         raise
     arrived = raw.count() if duplicates == "drop" else n
-    row = spark.createDataFrame([(load_id, mark, top, n)], "load_id string, mark bigint, top bigint, n_rows bigint").withColumn("loaded_at", F.current_timestamp())
+    # First the keys, so that no published event lacks its own; keys without an event do no harm.
+    eventkeys.add(mine, store)
+    row = spark.createDataFrame([(load_id, attempt, mark, top, n)], "load_id string, attempt string, mark bigint, top bigint, n_rows bigint").withColumn("loaded_at", F.current_timestamp())
+    lock.check()
     row.coalesce(1).write.mode("append").parquet(f"{store}/loads")
+    for other in names(spark, f"{store}/events/load_id={load_id}"):
+        if other.startswith("attempt=") and other != f"attempt={attempt}":
+            roll_back(spark, store, load_id, other.removeprefix("attempt="))
     return LoadSummary(load_id, mark, n, arrived - n, "success")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.book import levels_normalised
-from ..functions.last_value import fill_forward, last_non_null
-from ..operators import continuous, ingest, instruments, quality, results
+from ..functions.last_value import fill_forward, filled_forward, last_non_null
+from ..operators import continuous, ingest, instruments, mapstore, quality, results
 from ..operators.retrieve import RetrieveParams, metadata, retrieve, symbol_map, write_result
 from ..operators.retrieve import symbols as known_symbols
 from ..scratch import new_path
@@ -59,6 +59,13 @@ def trade_price_filled(spark: SparkSession, d: str) -> DataFrame:
     return feeds.event_feed(spark, d).select("rec_id", fill_forward(price, w).alias("trade_price"))
 
 
+def trade_price_carried(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with the last trade price of its instrument up to it, across days."""
+    price = F.when(F.col("action") == S.TRADE, F.col("price"))
+    events = feeds.event_feed(spark, d).select("rec_id", "instrument_id", "ts_recv", "action", "price")
+    return filled_forward(events, "instrument_id", ["ts_recv", "rec_id"], price, "trade_price").select("rec_id", "trade_price")
+
+
 def book_hash(spark: SparkSession, d: str) -> DataFrame:
     return feeds.event_feed(spark, d).select("rec_id", "order_book_hash")
 
@@ -187,6 +194,26 @@ def store_delete(spark: SparkSession, d: str) -> DataFrame:
     return ingest.read_store(spark, store).groupBy("instrument_id").agg(F.count("*").alias("n_events"))
 
 
+def continuous_map_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """The map of a store that was loaded in two parts, built after the first and refreshed after the second."""
+    store, path, known = new_path(spark, "store"), new_path(spark, "map-store"), feeds.event_instruments(spark, d)
+    late = feeds.START + 20 * S.DAY
+    for load_id, where in (("early", f"ts_recv < {late}"), ("late", f"ts_recv >= {late}")):
+        ingest.bulk_load(_records(spark, d, where), store, known, load_id)
+        mapstore.refresh_map(spark, store, known, path)
+    return mapstore.read_map(spark, path)
+
+
+def store_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """What a store of two loads has of each instrument after the inactive ones are deleted and its days rewritten."""
+    store, known = new_path(spark, "store"), feeds.event_instruments(spark, d)
+    for load_id, where in (("trades", f"action = {S.TRADE}"), ("others", f"action <> {S.TRADE}")):
+        ingest.bulk_load(_records(spark, d, where), store, known, load_id)
+    ingest.delete_events(spark, store, known.where("not active"))
+    ingest.compact(spark, store, max_files=1)
+    return ingest.read_store(spark, store).groupBy("instrument_id", "load_id").agg(F.count("*").alias("n_events"), F.sum("size").alias("size"))
+
+
 def recent_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Events that are sent twice, after a stream has dropped repeats within its watermark."""
     source, out = new_path(spark, "arriving"), new_path(spark, "recent")
@@ -406,6 +433,7 @@ QUERIES: dict[str, Query] = {
     "daily_volume": daily_volume,
     "last_non_null": last_trade_price,
     "trade_price_filled": trade_price_filled,
+    "trade_price_carried": trade_price_carried,
     "book_hash": book_hash,
     "levels_normalised": levels,
     "duplicate_keys": duplicate_keys,
@@ -437,6 +465,8 @@ QUERIES: dict[str, Query] = {
     "load_summaries": load_summaries,
     "stream_ingest": stream_ingest,
     "store_delete": store_delete,
+    "store_compacted": store_compacted,
+    "continuous_map_refreshed": continuous_map_refreshed,
     "recent_duplicates": recent_duplicates,
     "result_files": result_files,
     "instruments_by_ticker": _found("instrument_id", "ticker", "vendor", ticker=sql.RAW_TICKERS + sql.CONTINUOUS_TICKERS),

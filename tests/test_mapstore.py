@@ -1,0 +1,168 @@
+"""The stored map against full builds: after loads of new and past days, deletions, compaction, and a changed dimension."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from quaylight import schema as S
+from quaylight.operators import continuous, ingest, mapstore
+from quaylight.sources import folders
+
+from . import fixtures as X
+
+START = X.D1 - X.D1 % S.DAY
+
+
+def instrument(i, ticker, days, continuous=False):
+    return ("futures", i, ticker, ticker, "v", 1, 0, 0, START + days * S.DAY, continuous, True)
+
+
+@pytest.fixture()
+def dim(spark):
+    raw = [instrument(i, f"{r}X{i:02d}", d) for i, r, d in ((1, "A", 3), (2, "A", 8), (3, "A", 30), (4, "B", 5), (5, "B", 30))]
+    named = [instrument(100 + i, t, 0, True) for i, t in enumerate(["AX.c.0", "AX.c.1", "AX.v.0", "AX.v.1", "BX.c.0", "BX.v.0"])]
+    return spark.createDataFrame(raw + named, S.INSTRUMENTS)
+
+
+def records(spark, days, instruments=(1, 2, 3, 4, 5)):
+    """Two events a day and instrument, of which trades hang on day and instrument; instrument 5 pauses every third day."""
+    rows = [X.raw("futures", i, START + d * S.DAY + i * 1000 + n, 10, (d * 7 + i * 5) % 11 + 1, action=S.TRADE if (d + i) % 4 else 1) for d in days for i in instruments for n in (0, 1) if i != 5 or d % 3]
+    return spark.createDataFrame(rows, S.RAW)
+
+
+def files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs}
+
+
+def same(spark, store, dim, path):
+    full = continuous.build_continuous_map(ingest.read_store(spark, store), dim)
+    got, want = (sorted(map(tuple, m.collect()), key=repr) for m in (mapstore.read_map(spark, path), full))
+    assert got == want
+    return got
+
+
+def test_refresh_follows_the_store(spark, dim, tmp_path):
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    assert mapstore.read_map(spark, path).count() == 0
+    steps = [("a", range(0, 6), (1, 2, 3, 4, 5)), ("b", range(6, 10), (1, 2, 3, 4, 5)), ("c", (4, 11), (3,)), ("d", range(12, 13), (2, 5))]
+    for load_id, days, who in steps:
+        rows = records(spark, days, who) if load_id != "c" else records(spark, days, who).withColumn("sequence", F.lit(99).cast("long"))
+        ingest.bulk_load(rows, store, dim, load_id)
+        before = files(path)
+        done = mapstore.refresh_map(spark, store, dim, path)
+        assert (done.from_day - START) // S.DAY == min(days)
+        after = files(path)
+        assert all(after[f] == before[f] for f in before if "/part=" in f)
+        rows = same(spark, store, dim, path)
+        assert any(r[-1] for r in rows)
+    version = mapstore.current(spark, path)
+    assert version.number == 4 and len(version.parts) == 3  # the third step left nothing of the second
+    assert mapstore.refresh_map(spark, store, dim, path) == mapstore.Refreshed(4, None)
+
+
+def test_refresh_reads_only_changed_days(spark, dim, tmp_path, monkeypatch):
+    store, path, seen = str(tmp_path / "store"), str(tmp_path / "map"), []
+    build = mapstore._build
+    monkeypatch.setattr(mapstore, "_build", lambda *a: (seen.append(a[6]), build(*a)))
+    ingest.bulk_load(records(spark, range(0, 8)), store, dim, "a")
+    mapstore.refresh_map(spark, store, dim, path)
+    ingest.bulk_load(records(spark, range(8, 9)), store, dim, "b")
+    mapstore.refresh_map(spark, store, dim, path)
+    assert seen[1] == START + 8 * S.DAY
+    part = mapstore.current(spark, path).parts[-1][0]
+    days = [r[0] for r in spark.read.parquet(f"{path}/map/part={part}").select("ts_day").distinct().collect()]
+    assert days == [START + 8 * S.DAY]
+
+
+def test_deletions_and_compaction_reach_the_map(spark, dim, tmp_path):
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    ingest.bulk_load(records(spark, range(0, 9), (1, 2, 4)), store, dim, "a")
+    ingest.bulk_load(records(spark, range(4, 9), (3, 5)), store, dim, "b")
+    mapstore.refresh_map(spark, store, dim, path)
+    ingest.delete_events(spark, store, dim.where("instrument_id = 3"))
+    ingest.compact(spark, store, max_files=100)  # no deletion is left when the map is refreshed
+    done = mapstore.refresh_map(spark, store, dim, path)
+    assert (done.from_day - START) // S.DAY == 4
+    same(spark, store, dim, path)
+    ingest.bulk_load(records(spark, (6,), (3,)), store, dim, "c")  # deleted events come again
+    mapstore.refresh_map(spark, store, dim, path)
+    same(spark, store, dim, path)
+    assert mapstore.refresh_map(spark, store, dim, path).from_day is None
+
+
+def test_a_changed_dimension_makes_all_anew(spark, dim, tmp_path):
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    ingest.bulk_load(records(spark, range(0, 5)), store, dim, "a")
+    mapstore.refresh_map(spark, store, dim, path)
+    more = dim.unionByName(spark.createDataFrame([instrument(6, "AX06", 1)], S.INSTRUMENTS))
+    done = mapstore.refresh_map(spark, store, more, path)
+    assert done.from_day == START and len(mapstore.current(spark, path).parts) == 1
+    same(spark, store, more, path)
+
+
+def test_many_parts_become_one(spark, dim, tmp_path, monkeypatch):
+    monkeypatch.setattr(mapstore, "MOST_PARTS", 2)
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    for d in range(3):
+        ingest.bulk_load(records(spark, (d,)), store, dim, f"l{d}")
+        mapstore.refresh_map(spark, store, dim, path)
+    assert len(mapstore.current(spark, path).parts) == 1
+    same(spark, store, dim, path)
+    assert mapstore.clear_map(spark, path) == 2 and mapstore.clear_map(spark, path) == 0
+    same(spark, store, dim, path)
+
+
+def test_readers_see_whole_versions(spark, dim, tmp_path, monkeypatch):
+    """A refresh that dies before it publishes leaves the version before; a reader of an old version keeps its files."""
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    ingest.bulk_load(records(spark, range(0, 3)), store, dim, "a")
+    mapstore.refresh_map(spark, store, dim, path)
+    old = mapstore.read_map(spark, path)
+    want = sorted(map(tuple, old.collect()), key=repr)
+    ingest.bulk_load(records(spark, (1, 5), (3,)).withColumn("sequence", F.lit(7).cast("long")), store, dim, "b")
+    with monkeypatch.context() as m:
+        m.setattr(mapstore, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            mapstore.refresh_map(spark, store, dim, path)
+    assert sorted(map(tuple, mapstore.read_map(spark, path).collect()), key=repr) == want
+    mapstore.refresh_map(spark, store, dim, path)
+    assert sorted(map(tuple, old.collect()), key=repr) == want
+    same(spark, store, dim, path)
+    with folders.only_writer(spark, path, "other"), pytest.raises(folders.Busy):
+        mapstore.refresh_map(spark, store, dim, path)
+
+
+def test_empty_store(spark, dim, tmp_path):
+    store, path = str(tmp_path / "store"), str(tmp_path / "map")
+    assert mapstore.refresh_map(spark, store, dim, path).from_day is None
+    assert mapstore.read_map(spark, path).count() == 0
+    ingest.bulk_load(records(spark, range(2)), store, dim, "a")
+    mapstore.refresh_map(spark, store, dim, path)
+    same(spark, store, dim, path)
+
+
+@pytest.mark.parametrize("ranks", [None, 1, 2])
+def test_calendar_ranks_against_the_join(spark, dim, ranks):
+    """Also for a contract without an expiry, and one that ends exactly with a day's begin."""
+    more = dim.unionByName(spark.createDataFrame([(*instrument(7, "AX07", 0)[:8], None, False, True), instrument(8, "BX08", 4)], S.INSTRUMENTS))
+    mbp = ingest.prepare(records(spark, (0, 1, 3, 4, 5, 9, 40)), "x", 0)
+    got = continuous.calendar_ranks(mbp, more, ranks=ranks)
+    contracts = [(r.ticker[:2], r.expiration_date, r.instrument_id) for r in more.where("not is_continuous and expiration_date is not null").collect()]
+    want = []
+    for d in (0, 1, 3, 4, 5, 9, 40):
+        for root in ("AX", "BX"):
+            live = sorted((e, i) for r, e, i in contracts if r == root and e >= START + d * S.DAY)
+            want += [(START + d * S.DAY, root, i, k) for k, (_, i) in enumerate(live) if ranks is None or k < ranks]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Window" not in text
+
+
+def test_rollovers_are_swept(spark):
+    rows = spark.createDataFrame([(d * S.DAY, "t", 1, 50 + c, f) for c, d, f in ((0, 1, 1), (0, 3, 1), (0, 4, 0), (0, 9, 1), (1, 2, 1), (2, 1, 1))], S.CONTINUOUS_MAP)
+    events = spark.createDataFrame([(50, 2, 2 * S.DAY + 5, 1), (50, 2, 2 * S.DAY + 4, 9), (50, 5, 5 * S.DAY, 3), (51, 1, S.DAY, 4), (51, 2, 2 * S.DAY, 6), (51, 2, 2 * S.DAY, 5)], "instrument_id long, day long, ts_recv long, rec_id long")
+    got = continuous.rollover_events(rows, events)
+    assert sorted(map(tuple, got.collect())) == [(50, 2 * S.DAY + 4, 9), (50, 5 * S.DAY, 3), (51, 2 * S.DAY, 5)]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "SortAggregate" not in text
