@@ -1,8 +1,8 @@
 """The keys of a store's events, as digests in a table that is bucketed by them.
 
 A load meets all that a store has of its days, and of that only keys: 128 bits each, with the event's rec_id. The table is
-partitioned by data set and day and bucketed by the digest, so its side of the join is read where it lies; only the load's
-keys are shuffled. A digest that is met is no proof: the event that it names is looked up and the whole key compared, so
+partitioned by data set and period (32 days, so that small loads add few files) and bucketed by the digest, so its side of
+the join is read where it lies; only the load's keys are shuffled. A digest that is met is no proof: the event that it names is looked up and the whole key compared, so
 neither chance nor keys of loads that failed or of deleted events can take a record for a duplicate.
 """
 
@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..scratch import exists, written
 
-#: Buckets of a day; a bucket holds some hundred thousand keys of a busy one.
-BUCKETS = 32
-_COLUMNS = "high bigint, low bigint, rec_id bigint, dataset string, day bigint"
+#: Buckets of a period, given when the table is made: as many tasks read a period, so some million keys each serve.
+BUCKETS = 16
+_COLUMNS = "high bigint, low bigint, rec_id bigint, day bigint, dataset string, period bigint"
+
+
+def period_of(day: Column) -> Column:
+    return F.shiftright(day, 5)
 
 
 def digested(events: DataFrame) -> DataFrame:
-    """high, low (the digest of an event's key), rec_id, dataset, day."""
-    return events.select(F.xxhash64("dataset", *S.EVENT_KEY).alias("high"), F.xxhash64(F.lit(1), "dataset", *S.EVENT_KEY).alias("low"), "rec_id", "dataset", "day")
+    """high, low (the digest of an event's key), rec_id, day, dataset, period."""
+    return events.select(F.xxhash64("dataset", *S.EVENT_KEY).alias("high"), F.xxhash64(F.lit(1), "dataset", *S.EVENT_KEY).alias("low"), "rec_id", "day", "dataset", period_of(F.col("day")).alias("period"))
 
 
 def table(spark: SparkSession, store: str) -> str:
@@ -31,17 +35,17 @@ def table(spark: SparkSession, store: str) -> str:
     name = "keys_" + hashlib.sha256(store.rstrip("/").encode()).hexdigest()[:24]
     if not spark.catalog.tableExists(name):
         made = exists(spark, f"{store}/keys")
-        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}) USING parquet PARTITIONED BY (dataset, day) CLUSTERED BY (high, low) SORTED BY (high, low) INTO {BUCKETS} BUCKETS LOCATION '{store}/keys'")
+        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}) USING parquet PARTITIONED BY (dataset, period) CLUSTERED BY (high, low) SORTED BY (high, low) INTO {BUCKETS} BUCKETS LOCATION '{store}/keys'")
         if made:
             spark.sql(f"MSCK REPAIR TABLE {name}")
     return name
 
 
 def add(events: DataFrame, store: str) -> None:
-    """Append the keys of events. A task writes whole buckets, so a load adds one file for each bucket and day at most."""
+    """Append the keys of events. A task writes whole buckets, so a load adds one file for each bucket and period at most."""
     spark = events.sparkSession
     name = table(spark, store)
-    laid = digested(events).repartition(BUCKETS, "high", "low").sortWithinPartitions("dataset", "day", "high", "low")
+    laid = digested(events).repartition(BUCKETS, "high", "low").sortWithinPartitions("dataset", "period", "high", "low")
     laid.write.insertInto(name)
     spark.catalog.refreshTable(name)
 
@@ -52,7 +56,7 @@ def met(events: DataFrame, store: str, days: list[int] | None) -> DataFrame:
     spark = events.sparkSession
     stored = spark.table(table(spark, store))
     if days is not None:
-        stored = stored.where(F.col("day").isin(days))
+        stored = stored.where(F.col("period").isin(sorted({d >> 5 for d in days})) & F.col("day").isin(days))
     old = stored.select("high", "low", F.col("rec_id").alias("old_id"), "dataset", "day").hint("merge")
     return digested(events).select("high", "low", "rec_id").join(old, ["high", "low"]).select("rec_id", "old_id", "dataset", "day")
 
