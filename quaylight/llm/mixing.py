@@ -2,12 +2,13 @@
 
 Each source is cut into blocks of documents. With a share s of S slots, its block k is released at slot
 floor(k S / s) and due by ceil((k + 1) S / s); at each slot the released block with the earliest deadline goes, so
-after any number of slots a source is less than one block off its share. Shares are weights rounded down to whole
-slots, and one at least: from the weight w itself a source drifts by |s / S - w| a slot, without end (MIX_SQL fixes
-these shares for op9; ``pfair`` takes exact weights and has no period). The schedule repeats after S slots, when
-each source has had exactly its share, so one period is laid out (a fold over S slots, one row) and blocks are
-joined to it: block k of a source has slot (k div s) S + slot(k mod s). When a source runs out its slots stay
+after any number of slots a source is less than one block off its share. When a source runs out its slots stay
 empty and the others go on in their proportion; no document is left out or repeated.
+
+``pfair`` (op9 and the pipeline) takes exact weights in place of shares and lays out all slots. ``schedule`` rounds weights
+down to whole slots of a period, one at least, so that it repeats: it lays one period out (a fold over S slots, one row)
+and joins blocks to it, block k of a source to slot (k div s) S + slot(k mod s); from the weight w itself a source then
+drifts by |s / S - w| a slot, without end.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .shared import materialize, refuse, wrapped
 
 #: All sources' exact weights together, as ``pfair`` and ``spread`` count them.
 UNITS = 10**9
 #: Slots that one row of ``deadlines`` lays out at least.
 STRETCH = 2048
-#: Slots after which its fold starts a new array, as adding to one copies it.
-PART = 256
+#: Bytes after which its fold starts a new value, as adding to one copies it.
+PART = 4096
+#: Copies of a row that one row stands for while it is multiplied.
+COPIES = 4096
 ADDS = ("mix_block", "mix_slot", "mix_place", "mix_share", "mix_slots")
 
 
@@ -82,25 +86,30 @@ def period(share: DataFrame) -> DataFrame:
 def _numbered(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """(row, key, mix_block, mix_place) for each row of ``docs``, and the sources' counts (key, n).
 
-    Only ids are sorted: by ranges of (source, doc_id, hash of the row), as many as the data asks for, so that neither a
-    hot source nor rows without a doc_id meet in one task. A row's number is its place in its range after the
-    source's rows in the ranges before.
+    Only ids are sorted: by ranges of (source, doc_id, hash of the row, place read), as many as the data asks for, so that
+    neither a hot source nor rows without a doc_id meet in one task. A row's number is its place in its range after the
+    source's rows in the ranges before. ``docs`` is read twice, but rows that are the same may come in any order.
     """
     hashed = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     rows = wrapped(docs).select("row", source_key(F.col("row.source")).alias("key"), F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("tie"))
-    order = [F.col("key"), F.col("id").asc_nulls_last(), F.col("tie")]
-    ids, _ = materialize(rows.select("key", "id", "tie").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-ids")
+    # Ids that are the same are told apart by where they were read, so that many of them are several ranges.
+    salted = rows.select("key", "id", "tie").withColumn("salt", F.monotonically_increasing_id())
+    order = [F.col("key"), F.col("id").asc_nulls_last(), F.col("tie"), F.col("salt")]
+    ids, _ = materialize(salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("salt").withColumn("at", F.monotonically_increasing_id()), "mix-ids")
     part = F.shiftright("at", 33).alias("part")  # of the range sort
     ranges = ids.groupBy("key", part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.select("key", "part", (before - F.col("first")).alias("shift"))
     numbers = ids.select("key", part, "id", "tie", "at").join(offsets, ["key", "part"]).select("id", "tie", (F.col("at") + F.col("shift")).alias("number"))
-    # Rows that are the same in all columns share a first number and are told apart by their place among themselves.
     sure = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    firsts = numbers.groupBy(sure(F.col("id")).alias("id"), "tie").agg(F.min("number").alias("number"))
+    firsts = numbers.groupBy(sure(F.col("id")).alias("id"), "tie").agg(F.min("number").alias("number"), F.count("*").alias("n"))
     met = rows.withColumn("id", sure(F.col("id"))).join(firsts, ["id", "tie"])
-    copy = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id")) - 1
-    placed = met.select("row", "key", (F.col("number") + copy).alias("number"))
+    # Rows that are the same in all columns are counted, and multiplied again in pieces: no task sees all of them.
+    same = met.where("n > 1").groupBy("key", "id", "tie", "number", "row").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("id", "tie").orderBy(F.xxhash64(F.lit(1), *hashed)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = same.withColumn("number", F.col("number") + ahead).withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("id", "tie", "piece")
+    copies = pieces.withColumn("copy", F.explode(F.expr(f"sequence(piece * {COPIES}, least(n, (piece + 1) * {COPIES}) - 1)")))
+    placed = met.where("n = 1").select("row", "key", "number").unionByName(copies.select("row", "key", (F.col("number") + F.col("copy")).alias("number")))
     blocks = placed.select("row", "key", F.expr(f"number div {block}").alias("mix_block"), (F.col("number") % block).alias("mix_place"))
     return blocks, ranges.groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -130,69 +139,98 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def deadlines(spark: SparkSession, weights: dict[str, int], blocks: dict[str, int], stretch: int = STRETCH) -> DataFrame:
-    """(key, mix_block, mix_slot) for each source's blocks 0 to ``blocks`` - 1, by earliest deadlines first over exact
-    whole weights: with a weight of w in W, block k is released at floor(k W / w) and due by ceil((k + 1) W / w). After any
-    number of slots a source is less than one block off its weight. Ties go to the smaller key; the slots of a
-    source that has run out stay empty.
+    """``slots_of`` for weights and numbers of blocks by source."""
+    return slots_of(spark.createDataFrame([(k, weights[k], blocks[k]) for k in weights], "key string, own long, blocks long"), stretch)
+
+
+_TAKEN = "unhex(array_join(transform(slice(acc.queue, 1, acc.gone), c -> lpad(hex(c), 16, '0')), ''))"
+#: The fold over the times of releases: the queue in order of deadline, of which the first ones go until the next such time.
+#: All that a fold carries is copied at each step but binary values, so what has gone is kept as one, 8 bytes each.
+_FOLD = f"""
+  aggregate(
+    events,
+    named_struct('queue', cast(array() as array<bigint>), 'gone', 0, 'part', X'', 'whole', X''),
+    (acc, e) -> named_struct(
+      'queue', sort_array(concat(slice(acc.queue, acc.gone + 1, size(acc.queue)), e.codes)),
+      'gone', cast(e.until - e.at as int),
+      'part', concat(if(length(acc.part) < {PART}, acc.part, X''), {_TAKEN}),
+      'whole', if(length(acc.part) < {PART}, acc.whole, concat(acc.whole, acc.part))),
+    acc -> concat(acc.whole, acc.part, {_TAKEN}))
+"""
+
+
+def slots_of(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(key, mix_block, mix_slot) for blocks 0 to ``blocks`` - 1 of each of ``sources`` (key, own, blocks), by earliest
+    deadlines first over exact whole weights: with a weight of w (own) in W, block k is released at floor(k W / w) and due by
+    ceil((k + 1) W / w). After any number of slots a source is less than one block off its weight. Ties go to the smaller
+    key; the slots of a source that has run out stay empty.
 
     Slots are laid out in stretches, each for itself. Which blocks have gone by slot t hangs only on releases up to t, and
     of those that are due after t only on how many blocks, not which, waited some slots before, if all that waited then
-    are due by t. None waits longer than its window, W / w + 2 slots at most. So a stretch begins its fold that many slots
-    ahead, with any blocks waiting in the right number, and from its own first slot on the schedule is that of one
-    fold over all slots. A stretch is as long as this lead, so the work is at most twice that of the slots.
-
-    The fold's state has an entry for each source, so this is for thousands of sources at most (``spread`` is for more).
-    Slots times all weights must stay below 2^62.
+    are due by t. None waits longer than its window, W / w + 2 slots at most. So a stretch begins that many slots ahead,
+    with any blocks waiting in the right number, and from its own first slot on the schedule is that of one fold over all
+    slots. A stretch is as long as this lead, so the work is at most twice that of the slots.
+
+    A stretch's blocks, some two for each slot and source, are one row: by time of release, as one number each in which
+    the deadline comes first. The fold goes from release to release with a sorted queue; between two releases its first
+    blocks go as they stand. So a stretch takes a merge of the queue, which has a block a source at most or so, for each
+    release. Only four numbers come to the driver, whatever the number of sources. Slots times all weights must stay
+    below 2^62.
     """
-    kind, keys = "key string, mix_block long, mix_slot long", sorted(weights)
-    if not keys:
+    spark, kind = sources.sparkSession, "key string, mix_block long, mix_slot long"
+    # Weights up to 2^61 are summed without overflow.
+    wide = F.col("own").cast("decimal(38,0)")
+    whole, least, n = sources.agg(F.sum(wide), F.min("own"), F.count("*")).first()
+    if not n:
         return spark.createDataFrame([], kind)
-    whole, lead = sum(weights.values()), -(-sum(weights.values()) // min(weights.values())) + 2
-    slots, step = max(-(-blocks[k] * whole // weights[k]) for k in keys), max(stretch, lead)
+    whole = int(whole)
+    slots = int(sources.agg(F.max(F.expr(f"cast(ceil(blocks * {whole}BD / own) as decimal(38,0))"))).first()[0])
     if slots * whole >= 1 << 62:
         raise OverflowError("slots times weights are beyond 2^62")
-    source = "array<struct<key: string, own: bigint, blocks: bigint>>"
-    sources = spark.createDataFrame([([(k, weights[k], blocks[k]) for k in keys],)], f"src {source}")
-    n = -(-slots // step)
-    stretches = spark.range(0, n, 1, min(n, max(spark.sparkContext.defaultParallelism, n // 64)))
-    bounds = stretches.crossJoin(F.broadcast(sources)).selectExpr("src", f"id * {step} AS first", f"greatest(0, id * {step} - {lead}) AS ahead", f"least({slots}, (id + 1) * {step}) AS until")
-    gone = bounds.selectExpr("*", f"transform(src, s -> s.own * ahead div {whole}) AS least", f"filter(sequence(0, {len(keys) - 1}), i -> src[i].own * ahead % {whole} > 0) AS begun")
-    some = gone.selectExpr("*", "slice(begun, 1, cast(ahead - aggregate(least, 0L, (a, x) -> a + x) AS int)) AS more")
-    # A transform copies all that its function returns, so what grows stays out of it and takes the slot before.
-    fold = f"""
-      aggregate(
-        sequence(ahead, until - 1),
-        named_struct(
-          'now', named_struct('done', transform(least, (k, i) -> if(array_contains(more, i), k + 1, k)), 'i', -1, 'k', -1L),
-          'part', cast(array() as array<struct<i: int, k: bigint>>),
-          'parts', cast(array() as array<array<struct<i: int, k: bigint>>>)),
-        (acc, t) -> named_struct(
-          'now', transform(
-            array(array_min(transform(src, (s, i) -> if(
-              acc.now.done[i] * {whole} div s.own <= t,
-              named_struct('due', ((acc.now.done[i] + 1) * {whole} + s.own - 1) div s.own, 'i', i),
-              null))).i),
-            p -> named_struct('done', transform(acc.now.done, (d, j) -> if(j = p, d + 1, d)), 'i', p, 'k', acc.now.done[p]))[0],
-          'part', if(t <= first, acc.part, concat(if(size(acc.part) < {PART}, acc.part, slice(acc.part, 1, 0)), array(named_struct('i', acc.now.i, 'k', acc.now.k)))),
-          'parts', if(t <= first or size(acc.part) < {PART}, acc.parts, concat(acc.parts, array(acc.part)))),
-        acc -> flatten(concat(acc.parts, array(acc.part), array(array(named_struct('i', acc.now.i, 'k', acc.now.k))))))
-    """
-    laid = some.select("src", "first", F.posexplode(F.expr(fold)).alias("at", "p")).selectExpr("src[p.i] AS s", "p.k AS mix_block", "first + at AS mix_slot")
-    return laid.where("mix_block < s.blocks").select("s.key", "mix_block", "mix_slot")
+    if not slots:
+        return spark.createDataFrame([], kind)
+    lead = -(-whole // least) + 2
+    step = max(stretch, lead)
+    named = numbered(sources, ["key"], "place").withColumn("i", F.col("place") - 1).select("key", "own", "blocks", "i")
+    each = named.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((slots - 1) // step).cast("long"))))
+    bounds = each.selectExpr("own", "i", "j", f"greatest(0L, j * {step} - {lead}) AS ahead", f"least({slots}L, (j + 1) * {step}) AS until")
+    gone = bounds.selectExpr("*", f"own * ahead div {whole} AS least", f"own * ahead % {whole} > 0 AS begun")
+    # As many of those that have begun another block are taken to have gone as makes the count right.
+    within = Window.partitionBy("j")
+    begun = F.sum(F.col("begun").cast("long")).over(within.orderBy("i"))
+    more = F.col("begun") & (begun <= F.col("ahead") - F.sum("least").over(within))
+    open_ = gone.withColumn("k", F.col("least") + more.cast("long")).selectExpr("*", f"(until * own + {whole - 1}) div {whole} - 1 AS top").where("k <= top")
+    jobs = open_.selectExpr("own", "i", "j", "ahead", "until", "explode(sequence(k, top)) AS k")
+    coded = jobs.selectExpr("j", "ahead", "until", f"greatest(ahead, k * {whole} div own) AS at", f"(((k + 1) * {whole} + own - 1) div own - ahead) * {n} + i AS code")
+    released = coded.groupBy("j", "ahead", "until", "at").agg(F.collect_list("code").alias("codes"))
+    times = released.groupBy("j", "ahead", "until").agg(F.sort_array(F.collect_list(F.struct("at", "codes"))).alias("times"))
+    folded = times.select("j", "ahead", F.expr("transform(times, (e, x) -> named_struct('at', e.at, 'codes', e.codes, 'until', coalesce(get(times, x + 1).at, until)))").alias("events"))
+    laid = folded.select("j", "ahead", F.expr(_FOLD).alias("taken"))
+    each_slot = laid.select("j", "ahead", F.posexplode(F.expr("transform(sequence(1, length(taken), 8), p -> cast(conv(hex(substring(taken, p, 8)), 16, 10) as bigint))")).alias("pos", "code")).selectExpr("ahead + pos AS mix_slot", f"ahead + code div {n} AS due", f"code % {n} AS i", f"j * {step} AS first").where("mix_slot >= first")
+    met = each_slot.join(named, "i").selectExpr("key", f"due * own div {whole} - 1 AS mix_block", "mix_slot", "blocks")
+    return met.where("mix_block < blocks").select("key", "mix_block", "mix_slot")
+
+
+def weighed(totals: DataFrame, block: int) -> DataFrame:
+    """(key, own, blocks) of sources with their counts (key, n): square roots of the counts in units of about a billionth of
+    all, by operations that any engine rounds alike, one at least."""
+    root = F.sqrt(F.col("n").cast("double"))
+    whole = totals.agg(F.sum(F.ceil(root))).first()[0]
+    own = F.greatest(F.lit(1), F.floor(root * float(UNITS) / float(whole or 1))).cast("long")
+    return totals.select("key", own.alias("own"), F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
 
 
 def pfair(docs: DataFrame, block: int = 16) -> DataFrame:
     """All columns of ``docs`` and mix_block, mix_slot, mix_place, as by ``schedule``, but from exact weights and without
-    a period: square roots of the sources' counts, in units of a billionth of all (a weight of a billionth at least).
+    a period: those of ``weighed``.
 
-    One row for each source comes to the driver. Blocks' slots are joined to rows by source and block, which no hot source
-    can skew; Spark broadcasts them only while they are small. Nulls, ties, repeated rows, empty tables and names are
-    as for ``schedule``.
+    Blocks' slots are joined to rows by source and block, which no hot source can skew; Spark broadcasts them only while
+    they are small. Nulls, ties, repeated rows, empty tables and names are as for ``schedule``.
     """
     refuse(docs, ADDS[:3])
     blocks, totals = _numbered(docs, block)
-    counts = {r.key: r.n for r in totals.collect()}
-    turns = deadlines(docs.sparkSession, _units(counts), {k: -(-n // block) for k, n in counts.items()})
+    sources, _ = materialize(weighed(totals, block), "mix-sources")
+    turns, _ = materialize(slots_of(sources), "mix-slots")
     return blocks.join(turns, ["key", "mix_block"]).select(*_columns(docs), *ADDS[:3])
 
 
@@ -261,27 +299,28 @@ def in_order(docs: DataFrame, **how) -> DataFrame:
 MIX_SQL = """
 WITH RECURSIVE counts AS (
   SELECT CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key, count(*) AS n FROM documents GROUP BY 1),
-shares AS (
-  SELECT key, greatest(1, CAST(floor(1000 * sqrt(n) / (SELECT sum(sqrt(n)) FROM counts)) AS BIGINT)) AS share FROM counts),
+weights AS (
+  SELECT key, (n + 15) // 16 AS blocks, greatest(1, CAST(floor(sqrt(n) * 1000000000.0::DOUBLE / (SELECT CAST(sum(ceil(sqrt(n))) AS DOUBLE) FROM counts)) AS BIGINT)) AS own
+  FROM counts),
 src AS (
-  SELECT list(share ORDER BY key) AS share, list(key ORDER BY key) AS keys, CAST(sum(share) AS BIGINT) AS slots FROM shares),
+  SELECT list(own ORDER BY key) AS own, list(key ORDER BY key) AS keys, CAST(sum(own) AS BIGINT) AS whole FROM weights),
+ends AS (SELECT max((blocks * whole + own - 1) // own) AS slots FROM weights, (SELECT whole FROM src)),
 plan AS (
-  SELECT CAST(-1 AS BIGINT) AS t, list_transform(share, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM src
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(own, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM src
   UNION ALL
   SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p THEN d + 1 ELSE d END), p
   FROM (
     SELECT t, done,
-           list_min(list_filter(list_transform(share, lambda s, i: CASE
-             WHEN (done[i] * slots) // s <= t + 1 AND done[i] < s
-             THEN (((done[i] + 1) * slots + s - 1) // s) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS p, slots
+           list_min(list_filter(list_transform(own, lambda s, i: CASE
+             WHEN (done[i] * whole) // s <= t + 1
+             THEN (((done[i] + 1) * whole + s - 1) // s) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS p
     FROM plan, src) z
-  WHERE t + 1 < slots),
+  WHERE t + 1 < (SELECT slots FROM ends)),
 turns AS (
   SELECT keys[pick] AS key, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM plan, src WHERE t >= 0),
 numbered AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
-SELECT n.doc_id, n.source, n.k // 16 AS mix_block, ((n.k // 16) // s.share) * r.slots + t.slot AS mix_slot,
-       n.k % 16 AS mix_place, s.share AS mix_share, r.slots AS mix_slots
-FROM numbered n JOIN shares s ON n.key = s.key JOIN turns t ON n.key = t.key AND (n.k // 16) % s.share = t.turn, src r
+SELECT n.doc_id, n.source, n.k // 16 AS mix_block, t.slot AS mix_slot, n.k % 16 AS mix_place
+FROM numbered n JOIN turns t ON n.key = t.key AND n.k // 16 = t.turn
 """

@@ -45,7 +45,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(documents(spark, sf_dir).select("doc_id", "source"), block=16, slots=1000)
+    return mixing.pfair(documents(spark, sf_dir).select("doc_id", "source"), block=16)
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
