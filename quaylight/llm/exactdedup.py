@@ -47,9 +47,10 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
 
 
 def _seen(frame: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """digest, and who: doc_id (nulls last) and where the row's content lies; ``_metadata`` is asked for before
+    """digest, and who: doc_id (nulls last) and where the row's content lies; the scan's metadata is asked for before
     the text is touched, since it belongs to the scan."""
-    who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = frame.metadataColumn("_metadata")  # also where the table has a column of that name
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), place["file_path"].alias("file"), place["row_index"].alias("row"))
     return frame.select(who.alias("who"), "text").select("who", digest(normalised(F.col("text"))).alias("digest"))
 
 
@@ -81,18 +82,21 @@ def exact_duplicates(spark: SparkSession, path: str, digest: Callable[[Column],
 
     The table needs doc_id and text; other columns are not read. Texts are equal if their normalised forms are;
     of equal texts the smallest doc_id stays (null ids last; of rows that share it, the first by file and row, so
-    exactly one row of a group is kept). Null texts equal empty ones. An empty table gives no rows. If texts
+    exactly one row of a group is kept). Null texts equal empty ones. An empty table gives no rows. Very long texts take
+    their own memory in one task, as they do in the scan. If texts
     share a digest without being equal, their rows are grouped by the whole text instead.
     """
     state = new_path(spark, "exact-state")
     update_state(spark, path, state, digest, files_per_batch)
-    table, _ = materialize(read_state(spark, state), "exact-keys")
+    states, _ = materialize(read_state(spark, state), "exact-keys")
     discard(spark, [state])
-    found, _ = materialize(_seen(spark.read.parquet(path), digest).join(table, "digest"), "exact-rows")
+    found, _ = materialize(_seen(spark.read.parquet(path), digest).join(states, "digest"), "exact-rows")
 
     # Hits and the rows they hit, with their texts; rows meet their texts by locator, which is spread evenly.
     wanted = found.where("n > 1").select(F.col("who.file").alias("file"), F.col("who.row").alias("row"), "who", "keeper", "digest")
-    placed = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "text")
+    table = spark.read.parquet(path)
+    place = table.metadataColumn("_metadata")
+    placed = table.select(place["file_path"].alias("file"), place["row_index"].alias("row"), "text")
     texts, texts_path = materialize(placed.join(wanted, ["file", "row"]).select("digest", "who", "keeper", normalised(F.col("text")).alias("norm")), "exact-texts")
     holders = texts.where("who = keeper").select("digest", F.col("norm").alias("held"))
     differ = texts.where("who <> keeper").join(holders, "digest").where("norm <> held")
