@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,14 @@ from ..scratch import discard, exists, scratch_dir
 __all__ = ["discard", "exists", "scratch_dir"]
 #: The white space that the contracts name: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-_OPEN: list[list[str]] = []
+#: The lists of what is made inside the ``scratch``es that this thread (or task of an event loop) is in.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def new_path(spark: SparkSession, label: str, leaves: bool = False) -> str:
     path = scratch_tables.new_path(spark, label)
-    for made in () if leaves else _OPEN:
+    for made in () if leaves else _OPEN.get():
         made.append(path)
     return path
 
@@ -37,13 +39,14 @@ def materialize(df: DataFrame, label: str, leaves: bool = False) -> tuple[DataFr
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is materialized inside is deleted at the end; nothing that leaves it may read those tables any more."""
+    """What is materialized inside, by this thread, is deleted at the end; nothing that leaves it may read those tables any
+    more. Queries in other threads keep their own."""
     made: list[str] = []
-    _OPEN.append(made)
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(before)
         discard(spark, made)
 
 
