@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,39 @@ class LoadSummary:
     n_rows: int
     n_dropped: int
     status: str
+    n_rejected: int = 0  #: lines that were no records (of a CSV load)
+
+
+def csv_schema(depth: int) -> T.StructType:
+    """A line of CSV: the columns of a raw record, its levels as columns bid_px_00, ask_px_00, ... of ``depth`` levels."""
+    flat = [f for f in S.RAW.fields if f.name != "levels"]
+    sides = [T.StructField(f"{c}_{d:02d}", T.LongType()) for d in range(depth) for c in S.BOOK]
+    return T.StructType([*flat, *sides, T.StructField("_line", T.StringType())])
+
+
+def read_csv(spark: SparkSession, path: str, depth: int = 1, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected lines) of CSV files. Fields that do not parse, and lines with too few or too many, make a line
+    rejected, as does a missing instrument_id, ts_recv, price, size or action; no good line is lost with it. Levels of which no
+    field is given are absent. Lines are parsed once."""
+    kind = csv_schema(depth)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "header": str(header), "enforceSchema": "true"}
+    parsed = written(spark.read.schema(kind).options(**options).csv(path), "csv")
+    whole = F.col("_line").isNull()
+    for c in ("instrument_id", "ts_recv", "price", "size", "action"):
+        whole = whole & F.col(c).isNotNull()
+    level = [F.struct(F.lit(d).alias("depth"), *(F.col(f"{c}_{d:02d}").alias(c) for c in S.LEVEL.names[1:])) for d in range(depth)]
+    given = F.filter(F.array(*level), lambda v: F.coalesce(*(v[c] for c in S.BOOK)).isNotNull()).cast(S.LEVELS)
+    records = parsed.where(whole).select(*(f.name for f in S.RAW.fields if f.name != "levels"), given.alias("levels"))
+    return records, parsed.where(~whole).drop("_line")
+
+
+def load_csv(spark: SparkSession, path: str, store: str, instruments: DataFrame, load_id: str, duplicates: str = "error", depth: int = 1, most_rejected: int | None = None) -> LoadSummary:
+    """``bulk_load`` of CSV files. The summary counts rejected lines; more than ``most_rejected`` reject the load."""
+    records, rejected = read_csv(spark, path, depth)
+    n = rejected.count()
+    if most_rejected is not None and n > most_rejected:
+        raise Rejected(f"{n} lines are no records")
+    return replace(bulk_load(records, store, instruments, load_id, duplicates), n_rejected=n)
 
 
 def read_records(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

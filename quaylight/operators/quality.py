@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def record_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_records"))
@@ -44,6 +46,50 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     return net.select(*cols, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.abs("_n").alias("n"))
 
 
+def branch_digests(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """For each branch the number of rows and two sums of row hashes: the same for the same rows in any order. A branch's
+    digest is the sum of its parts', so coarser ones need no second look at the rows."""
+    sums = (F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"_h{seed}") for seed in (1, 2))
+    return df.groupBy(*by).agg(F.count("*").alias("_rows"), *sums)
+
+
+def differing(left: DataFrame, right: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Branches (values of ``by``) whose rows are not the same on both sides."""
+    one, two = (branch_digests(df, by, columns) for df in (left, right))
+    both = one.unionByName(two.select(*by, *((-F.col(c)).alias(c) for c in ("_rows", "_h1", "_h2"))))
+    return both.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("_rows", "_h1", "_h2"))).where("_rows <> 0 OR _h1 <> 0 OR _h2 <> 0").select(*by)
+
+
+def reconcile_keyed(left: DataFrame, right: DataFrame, key: list[str], by: list[str], most_days: int = 20_000) -> DataFrame:
+    """Where two tables differ, by key: the key, side (left or right for a row that only one side has, changed for one that
+    both have) and changed, the names of the columns that differ, by comma in the order of the table.
+
+    First each branch of ``by`` (the first of which is ``day``, the others part of each row's key) is summed up on both
+    sides, once over all rows; only rows of branches that differ are then compared, and of partitioned tables only their
+    days are read again. Rows that share a key are told apart by their place among themselves in the order of the other
+    columns, so a key that is repeated compares like with like as far as it goes. Nulls are values like any.
+    """
+    columns = left.columns
+    rest = [c for c in columns if c not in key]
+    found = written(differing(left, right, by, columns), "differing")
+    days = [r.day for r in found.select("day").distinct().limit(most_days + 1).collect()]
+
+    def narrowed(df: DataFrame, side: str) -> DataFrame:
+        some = df.where(F.col("day").isin(days)) if len(days) <= most_days else df
+        names = {b: f"_{b}" for b in by}
+        same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+        met = some.join(found.withColumnsRenamed(names), same, "left_semi")
+        copy = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.col(c).asc_nulls_first() for c in rest)))
+        return met.select(*key, copy.alias("_copy"), F.struct(*rest).alias(side)) if rest else met.select(*key, copy.alias("_copy"), F.lit(True).alias(side))
+
+    one, two = narrowed(left, "_left"), narrowed(right, "_right")
+    met = one.unionByName(two, allowMissingColumns=True).groupBy(*key, "_copy").agg(F.first("_left", True).alias("_left"), F.first("_right", True).alias("_right"))
+    names = F.array(*(F.when(~F.col(f"_left.{c}").eqNullSafe(F.col(f"_right.{c}")), c) for c in rest)) if rest else F.array().cast("array<string>")
+    side = F.when(F.col("_right").isNull(), "left").when(F.col("_left").isNull(), "right").otherwise("changed")
+    changed = F.when(F.col("_left").isNull() | F.col("_right").isNull(), "").otherwise(F.array_join(names, ","))
+    return met.select(*key, side.alias("side"), changed.alias("changed")).where("side <> 'changed' OR changed <> ''")
+
+
 def flat_symbol_map(mappings: DataFrame) -> DataFrame:
     """(symbol, intervals array<struct<start, end, raw>>) → one row with the map symbol → raw symbol; of several
     intervals the latest counts."""

@@ -6,6 +6,7 @@ as they went in.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..scratch import exists
+from ..sources.folders import only_writer, publish, published, remove, withdraw
 
 SERIES = {"period": "period_timeseries_stats", "daily": "daily_timeseries_stats"}
 Tables = dict[str, DataFrame]
@@ -119,10 +121,22 @@ def delete_documents(tables: Tables, kind: str, ids: DataFrame) -> Tables:
     return {name: t.join(gone, ["doc_id", "kind"], "left_anti") for name, t in tables.items()}
 
 
+def _base(spark: SparkSession, folder: str) -> str:
+    """Where the folder's tables lie: in its newest generation, if it was purged."""
+    versions = published(spark, folder)
+    return f"{folder}/{versions[-1][1]}" if versions else folder
+
+
 def write_tables(tables: Tables, folder: str, mode: str = "append") -> None:
-    """Each table as Parquet, partitioned by kind."""
+    """Each table as Parquet, partitioned by kind. One writer at a time."""
+    spark = next(iter(tables.values())).sparkSession
+    with only_writer(spark, folder, f"documents {uuid.uuid4().hex}"):
+        _write(tables, _base(spark, folder), mode)
+
+
+def _write(tables: Tables, base: str, mode: str = "append") -> None:
     for name, t in tables.items():
-        t.write.mode(mode).partitionBy("kind").parquet(f"{folder}/{name}")
+        t.write.mode(mode).partitionBy("kind").parquet(f"{base}/{name}")
 
 
 _PARTS = ["header", "parameters", "trades", "signals", "instructions"]
@@ -131,13 +145,38 @@ PARTS = {"backtest": [*_PARTS, "static_stats", "series"], "live": [*_PARTS, "acc
 
 def read_tables(spark: SparkSession, folder: str, kind: str) -> Tables:
     """What write_tables wrote of a kind, without deleted documents."""
-    tables = {name: spark.read.parquet(f"{folder}/{name}").where(F.col("kind") == kind) for name in PARTS[kind]}
-    if not exists(spark, f"{folder}/deleted"):
+    base = _base(spark, folder)
+    tables = {name: spark.read.parquet(f"{base}/{name}").where(F.col("kind") == kind) for name in PARTS[kind]}
+    if not exists(spark, f"{base}/deleted"):
         return tables
-    return delete_documents(tables, kind, spark.read.parquet(f"{folder}/deleted").where(F.col("kind") == kind))
+    return delete_documents(tables, kind, spark.read.parquet(f"{base}/deleted").where(F.col("kind") == kind))
 
 
 def delete_stored(ids: DataFrame, folder: str, kind: str) -> None:
-    """Delete documents by ``ids`` (doc_id) with all their parts: one small table is appended, no part is rewritten. Ids
-    are not given out again."""
-    ids.select("doc_id", F.lit(kind).alias("kind")).distinct().write.mode("append").parquet(f"{folder}/deleted")
+    """Delete documents by ``ids`` (doc_id) with all their parts: one small table is appended, no part is rewritten until
+    ``purge``. Ids are not given out again."""
+    spark = ids.sparkSession
+    with only_writer(spark, folder, f"deletion {uuid.uuid4().hex}"):
+        ids.select("doc_id", F.lit(kind).alias("kind")).distinct().write.mode("append").parquet(f"{_base(spark, folder)}/deleted")
+
+
+def purge(spark: SparkSession, folder: str) -> bool:
+    """Take deleted documents with all their parts out of the files for good; whether there were any. The tables are written
+    anew as the folder's next generation, which readers see all at once; then the one before is deleted. If it dies,
+    readers see the tables as before or as after."""
+    with only_writer(spark, folder, f"purge {uuid.uuid4().hex}") as lock:
+        base, new = _base(spark, folder), f"generation-{uuid.uuid4().hex}"
+        if not exists(spark, f"{base}/deleted"):
+            return False
+        gone = spark.read.parquet(f"{base}/deleted")
+        every = sorted({part for parts in PARTS.values() for part in parts})
+        tables = {n: spark.read.parquet(f"{base}/{n}").join(gone, ["doc_id", "kind"], "left_anti") for n in every if exists(spark, f"{base}/{n}")}
+        _write(tables, f"{folder}/{new}")
+        publish(lock, new)
+        for number, name in published(spark, folder)[:-1]:
+            withdraw(spark, folder, number, name)
+            remove(spark, f"{folder}/{name}")
+        if base == folder:
+            for n in (*every, "deleted"):
+                remove(spark, f"{folder}/{n}")
+        return True

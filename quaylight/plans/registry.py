@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.book import levels_normalised
 from ..functions.last_value import fill_forward, filled_forward, last_non_null
-from ..operators import continuous, ingest, instruments, mapstore, quality, results
+from ..operators import continuous, emission, ingest, instruments, mapstore, quality, results
 from ..operators.retrieve import RetrieveParams, metadata, retrieve, symbol_map, write_result
 from ..operators.retrieve import symbols as known_symbols
 from ..scratch import new_path
@@ -294,6 +294,14 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name")), orders, instructions
 
 
+_STATISTICS, _ACCOUNT = documents.BACKTEST["metadata"].dataType["static_stats"].dataType, documents.LIVE["account"].dataType
+
+
+def _marked(names: list[str]) -> dict[str, Column]:
+    """A value for each field that tells document and field."""
+    return {n: F.col("doc_id") * 100 + i for i, n in enumerate(names)}
+
+
 def _stored_documents(spark: SparkSession, d: str, kind: str) -> str:
     """Customers as documents of a kind: built from tables, written as JSON, read, split into tables, stored, and those on
     the other side of a balance of nothing deleted. Returns the folder."""
@@ -312,9 +320,11 @@ def _stored_documents(spark: SparkSession, d: str, kind: str) -> str:
         "signals": signals,
         "instructions": lines.select("doc_id", "signal_pos", "pos", order.alias("i")).select("doc_id", "signal_pos", "pos", "i.*"),
         "trades": lines.select("doc_id", F.struct("signal_pos", "pos").alias("pos"), trade.alias("t")).select("doc_id", "pos", "t.*"),
-        "static_stats": customer.select("doc_id", null(documents.BACKTEST["metadata"].dataType["static_stats"].dataType).alias("s")).select("doc_id", "s.*"),
-        "series": orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), series.alias("s"), F.lit("period").alias("granularity")).select("doc_id", "pos", "s.*", "granularity"),
-        "account": customer.select("doc_id", null(documents.LIVE["account"].dataType, currency=F.col("doc_id"), start_buying_power=F.col("c_nationkey")).alias("a")).select("doc_id", "a.*"),
+        "static_stats": customer.select("doc_id", null(_STATISTICS, **_marked(_STATISTICS.names)).alias("s")).select("doc_id", "s.*"),
+        # The daily series has the same orders, in cents less one.
+        "series": orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), series.alias("s"))
+        .select("doc_id", "pos", "s.*").withColumn("granularity", F.explode(F.array(F.lit("period"), F.lit("daily")))).withColumn("equity_value", F.col("equity_value") - F.when(F.col("granularity") == "daily", 1).otherwise(0)),
+        "account": customer.select("doc_id", null(_ACCOUNT, **_marked(_ACCOUNT.names) | {"currency": F.col("doc_id"), "start_buying_power": F.col("c_nationkey")}).alias("a")).select("doc_id", "a.*"),
     }
     tables = {k: v.withColumn("kind", F.lit(kind)) for k, v in tables.items() if k in results.PARTS[kind]}
     source, folder = new_path(spark, "json"), new_path(spark, "documents")
@@ -351,6 +361,46 @@ def _assembled(kind: str) -> Query:
     return query
 
 
+def _unpivoted(whole: DataFrame, record: str, names: list[str]) -> DataFrame:
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"{record}.{n}").cast("long").alias("value")) for n in names)))
+    return whole.select("doc_id", pairs.alias("p")).select("doc_id", "p.field", "p.value")
+
+
+def backtest_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Each statistic of each stored backtest."""
+    whole = results.assemble(results.read_tables(spark, _stored_documents(spark, d, "backtest"), "backtest"), "backtest")
+    return _unpivoted(whole, "metadata.static_stats", _STATISTICS.names)
+
+
+def equity_series(spark: SparkSession, d: str) -> DataFrame:
+    """Both series of each stored backtest, by position."""
+    whole = results.assemble(results.read_tables(spark, _stored_documents(spark, d, "backtest"), "backtest"), "backtest")
+    parts = [whole.select("doc_id", F.lit(g).alias("granularity"), F.posexplode(c).alias("pos", "s")) for g, c in results.SERIES.items()]
+    return parts[0].unionByName(parts[1]).select("doc_id", "granularity", "pos", "s.timestamp", "s.equity_value")
+
+
+def live_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Each field of the account of each stored live session; its currency is a number here."""
+    whole = results.assemble(results.read_tables(spark, _stored_documents(spark, d, "live"), "live"), "live")
+    return _unpivoted(whole, "account", _ACCOUNT.names)
+
+
+def live_list(spark: SparkSession, d: str) -> DataFrame:
+    """Stored live sessions, and whether the list tells the time of storing as text."""
+    listed = results.list_documents(results.read_tables(spark, _stored_documents(spark, d, "live"), "live")["header"], "live")
+    shown = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}(Z|[+-]\d\d:\d\d)$") & (F.to_timestamp("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX") <= F.current_timestamp())
+    return listed.select("doc_id", shown.alias("has_time"))
+
+
+def docs_purged(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each table has of each document after deleted ones are taken out of the files."""
+    folder = _stored_documents(spark, d, "backtest")
+    results.purge(spark, folder)
+    tables = results.read_tables(spark, folder, "backtest")
+    counted = [tables[name].groupBy("doc_id").agg(F.count("*").alias("n_rows")).withColumn("part", F.lit(name)) for name in ("header", "signals", "instructions")]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).select("part", "doc_id", "n_rows")
+
+
 def doc_list(spark: SparkSession, d: str) -> DataFrame:
     return results.list_documents(results.read_tables(spark, _stored_documents(spark, d, "backtest"), "backtest")["header"], "backtest")
 
@@ -401,6 +451,38 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return quality.reconcile(m.mbp.select(*cols), some.select(*cols))
 
 
+def reconcile_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """What has changed where, if in the last days trades of inactive instruments are missing and errors have other prices
+    and sizes."""
+    m = feeds.market(spark, d)
+    cols = ["day", "instrument_id", "rec_id", "ts_recv", "action", "price", "size"]
+    late = F.col("ts_recv") >= FROM + 25 * S.DAY
+    idle = m.instruments.where("not active").select(F.col("instrument_id").alias("idle"))
+    left = m.mbp.select(*cols)
+    met = left.join(idle, F.col("instrument_id") == F.col("idle"), "left").where(~(late & F.col("idle").isNotNull() & (F.col("action") == S.TRADE)))
+    other = late & (F.col("action") == 82)
+    right = met.withColumn("price", F.col("price") + F.when(other, 1).otherwise(0)).withColumn("size", F.col("size") + F.when(other, 1).otherwise(0)).select(*cols)
+    return quality.reconcile_keyed(left, right, ["day", "instrument_id", "rec_id"], ["day", "instrument_id"]).select("instrument_id", "rec_id", "side", "changed")
+
+
+def result_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """What the manifest of a result in chunks adds up to, and how many chunks begin before the one before has ended."""
+    listed = emission.emit(_raw("trades")(spark, d), new_path(spark, "result"), records_per_file=500)
+    whole = listed.agg(F.sum("n_records").alias("n_records"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max(F.col("n_before") + F.col("n_records")).alias("n_upto"))
+    return whole.crossJoin(emission.steps_between(listed).agg(F.count("*").alias("n_backward")))  # one row each
+
+
+def csv_load(spark: SparkSession, d: str) -> DataFrame:
+    """A store that was loaded from CSV in which errors have no number for a price, and how many lines were rejected."""
+    source, store = new_path(spark, "csv"), new_path(spark, "store")
+    rows = _records(spark, d)
+    sides = [F.get("levels", F.lit(i))[c].alias(f"{c}_{i:02d}") for i in range(2) for c in S.BOOK]
+    price = F.when(F.col("action") == 82, "?").otherwise(F.col("price").cast("string"))
+    rows.withColumn("price", price).select(*(c for c in S.RAW.names if c != "levels"), *sides).write.option("header", "true").csv(source)
+    done = ingest.load_csv(spark, source, store, feeds.event_instruments(spark, d), "csv", depth=2)
+    return levels_normalised(ingest.read_store(spark, store).select(F.col("sequence").alias("rec_id"), "levels")).withColumn("n_rejected", F.lit(done.n_rejected).cast("long"))
+
+
 def chronological_check(spark: SparkSession, d: str) -> DataFrame:
     return quality.chronological_check(feeds.event_feed(spark, d))
 
@@ -487,6 +569,14 @@ QUERIES: dict[str, Query] = {
     "trades_by_doc": trades_by_doc,
     "doc_delete": doc_delete,
     "reconcile": reconcile,
+    "reconcile_keyed": reconcile_keyed,
+    "result_chunks": result_chunks,
+    "csv_load": csv_load,
+    "backtest_statistics": backtest_statistics,
+    "equity_series": equity_series,
+    "live_accounts": live_accounts,
+    "live_list": live_list,
+    "docs_purged": docs_purged,
     "chronological_check": chronological_check,
     "rollover_count": rollover_count,
 }
