@@ -130,3 +130,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_dir(Session())
+
+
+def test_duplicates_are_dropped_by_hash(spark):
+    """No struct is carried through a sort to find first arrivals, and books take no part in it."""
+    text = plan(QUERIES["dedup_load"](spark, DATA))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+@pytest.mark.parametrize("name", ["continuous_map", "mbp1_continuous", "ohlcv_1d_continuous"])
+def test_days_and_contracts_are_not_multiplied(spark, name):
+    text = plan(QUERIES[name](spark, DATA))
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
