@@ -12,6 +12,7 @@ from ..operators.continuous import write_continuous_map
 from ..operators.ingest import prepare
 from ..operators.retrieve import Market
 from ..scratch import new_path
+from .folders import stamp
 
 START = 1_704_067_200 * S.SECOND  #: 2024-01-01
 TICK = 10_000_000
@@ -118,19 +119,21 @@ def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(S.CONTINUOUS_MAP).parquet(_store_map(spark, sf_dir))
 
 
-#: The stored map of each application and folder: built by the first query that asks, deleted when the driver ends.
-_MAPS: dict[tuple[str, str], str] = {}
+#: The stored map of each application and folder, and the events' files that it was made of: built by the first query that
+#: asks, deleted when the driver ends.
+_MAPS: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def market(spark: SparkSession, sf_dir: str, continuous: bool = False) -> Market:
-    """The feed's tables; continuous symbols go by the folder's stored map, which stays as it is once it is built, as a
-    materialised view does (``stored_map`` builds another)."""
+    """The feed's tables; continuous symbols go by the folder's stored map, which stays as it is until the events' files change,
+    and is then built anew (``stored_map`` always builds another; a store's map is refreshed by ``mapstore``)."""
     known = None
     if continuous:
         key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _MAPS:
-            _MAPS[key] = _store_map(spark, sf_dir)
-        known = spark.read.schema(S.CONTINUOUS_MAP).parquet(_MAPS[key])
+        files = stamp(spark, f"{sf_dir}/events.parquet")
+        if _MAPS.get(key, ((), ""))[0] != files:
+            _MAPS[key] = files, _store_map(spark, sf_dir)
+        known = spark.read.schema(S.CONTINUOUS_MAP).parquet(_MAPS[key][1])
     return Market(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), known)
 
 

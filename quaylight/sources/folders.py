@@ -33,6 +33,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of change of a table's files: another value once the table has changed."""
+    hadoop, fs = _at(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hadoop)))
+
+
 @dataclass(frozen=True)
 class Lock:
     """A folder's lock as one holder has it."""

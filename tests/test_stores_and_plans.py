@@ -142,3 +142,19 @@ def test_duplicates_are_dropped_by_hash(spark):
 def test_days_and_contracts_are_not_multiplied(spark, name):
     text = plan(QUERIES[name](spark, DATA))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_a_changed_folder_gets_a_new_map(spark, tmp_path):
+    """Also within one application: the map in use is of the files that are there."""
+    from quaylight.sources import feeds
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    d = str(tmp_path / "data")
+    events.where("event_id < 300").write.parquet(f"{d}/events.parquet")
+    first = feeds.market(spark, d, continuous=True).continuous_map
+    assert feeds.market(spark, d, continuous=True).continuous_map.inputFiles() == first.inputFiles()
+    n = first.select("ts_day").distinct().count()
+    events.where("event_id >= 300").write.mode("append").parquet(f"{d}/events.parquet")
+    second = feeds.market(spark, d, continuous=True).continuous_map
+    assert second.select("ts_day").distinct().count() > n
+    assert set(second.inputFiles()).isdisjoint(first.inputFiles())
