@@ -83,8 +83,9 @@ def period(share: DataFrame) -> DataFrame:
     return laid.select(F.col("s.key").alias("key"), turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), F.col("s.share").alias("share"), "slots")
 
 
-def _numbered(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """(row, key, mix_block, mix_place) for each row of ``docs``, and the sources' counts (key, n).
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, key, id, tie), the numbers of each id and tie in their source (key, id, tie, number of the first, n), and
+    the sources' counts (key, n).
 
     Only ids are sorted: by ranges of (source, doc_id, hash of the row, place read), as many as the data asks for, so that
     neither a hot source nor rows without a doc_id meet in one task. A row's number is its place in its range after the
@@ -100,18 +101,30 @@ def _numbered(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     ranges = ids.groupBy("key", part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.select("key", "part", (before - F.col("first")).alias("shift"))
-    numbers = ids.select("key", part, "id", "tie", "at").join(offsets, ["key", "part"]).select("id", "tie", (F.col("at") + F.col("shift")).alias("number"))
+    numbers = ids.select("key", part, "id", "tie", "at").join(offsets, ["key", "part"]).select("key", "id", "tie", (F.col("at") + F.col("shift")).alias("number"))
     sure = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    firsts = numbers.groupBy(sure(F.col("id")).alias("id"), "tie").agg(F.min("number").alias("number"), F.count("*").alias("n"))
-    met = rows.withColumn("id", sure(F.col("id"))).join(firsts, ["id", "tie"])
-    # Rows that are the same in all columns are counted, and multiplied again in pieces: no task sees all of them.
+    firsts = numbers.groupBy("key", sure(F.col("id")).alias("id"), "tie").agg(F.min("number").alias("number"), F.count("*").alias("n"))
+    return rows.withColumn("id", sure(F.col("id"))), firsts, ranges.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _placed(rows: DataFrame, firsts: DataFrame, turns: DataFrame, block: int) -> DataFrame:
+    """``rows`` with what ``turns`` (key, mix_block, ...) says of their blocks, and mix_place.
+
+    Numbers meet turns first, so that rows are shuffled once, to where their numbers are. Rows that are the same in all columns
+    are counted there, multiplied again in pieces, so that no task sees all of them, and then meet turns themselves.
+    """
+    in_block = [F.expr(f"number div {block}").alias("mix_block"), (F.col("number") % block).alias("mix_place")]
+    told = firsts.select("*", *in_block).join(turns, ["key", "mix_block"], "left")
+    met = rows.join(told, ["key", "id", "tie"])
+    out = ["row", "key", "mix_block", "mix_place", *(c for c in turns.columns if c not in ("key", "mix_block"))]
     same = met.where("n > 1").groupBy("key", "id", "tie", "number", "row").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("id", "tie").orderBy(F.xxhash64(F.lit(1), *hashed)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = same.withColumn("number", F.col("number") + ahead).withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("id", "tie", "piece")
+    # Rows that differ, but not in their hashes, follow one another.
+    fields = [F.col("row").getField(f.name) for f in rows.schema["row"].dataType.fields if f.dataType.typeName() not in ("map", "variant")]
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("key", "id", "tie").orderBy(F.xxhash64(F.lit(1), *fields)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = same.withColumn("number", F.col("number") + ahead).withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("key", "id", "tie", "piece")
     copies = pieces.withColumn("copy", F.explode(F.expr(f"sequence(piece * {COPIES}, least(n, (piece + 1) * {COPIES}) - 1)")))
-    placed = met.where("n = 1").select("row", "key", "number").unionByName(copies.select("row", "key", (F.col("number") + F.col("copy")).alias("number")))
-    blocks = placed.select("row", "key", F.expr(f"number div {block}").alias("mix_block"), (F.col("number") % block).alias("mix_place"))
-    return blocks, ranges.groupBy("key").agg(F.sum("n").alias("n"))
+    again = copies.select("row", "key", (F.col("number") + F.col("copy")).alias("number")).select("row", "key", *in_block).join(turns, ["key", "mix_block"])
+    return met.where("n = 1").select(*out).unionByName(again.select(*out))
 
 
 def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[str, float] | None = None) -> DataFrame:
@@ -124,14 +137,20 @@ def schedule(docs: DataFrame, block: int = 16, slots: int = 1000, weights: dict[
     Columns of the input may have any names but the five that are added, which are a ValueError.
     """
     refuse(docs, ADDS)
-    blocks, totals = _numbered(docs, block)
+    rows, firsts, totals = _numbered(docs)
     turns = period(shares(totals, slots, weights))
     mine = turns.select("key", F.col("turn").alias("at_turn"), "slot", F.col("slots").alias("mix_slots"))
     sized = turns.select("key", F.col("share").alias("mix_share")).distinct()
     # Both sides have a row for each source or slot, so they are bounded by the period, not by the documents.
-    sharing = blocks.join(F.broadcast(sized), "key").withColumn("at_turn", F.expr("mix_block % mix_share"))
+    every = _blocks(totals, block)
+    sharing = every.join(F.broadcast(sized), "key").withColumn("at_turn", F.expr("mix_block % mix_share"))
     placed = sharing.join(F.broadcast(mine), ["key", "at_turn"]).withColumn("mix_slot", F.expr("(mix_block div mix_share) * mix_slots + slot"))
-    return placed.select(*_columns(docs), *ADDS)
+    return _placed(rows, firsts, placed.select("key", *(c for c in ADDS if c != "mix_place")), block).select(*_columns(docs), *ADDS)
+
+
+def _blocks(totals: DataFrame, block: int) -> DataFrame:
+    """(key, mix_block) for each block of each source."""
+    return totals.select("key", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("mix_block"))
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -224,14 +243,14 @@ def pfair(docs: DataFrame, block: int = 16) -> DataFrame:
     """All columns of ``docs`` and mix_block, mix_slot, mix_place, as by ``schedule``, but from exact weights and without
     a period: those of ``weighed``.
 
-    Blocks' slots are joined to rows by source and block, which no hot source can skew; Spark broadcasts them only while
-    they are small. Nulls, ties, repeated rows, empty tables and names are as for ``schedule``.
+    Blocks' slots are joined to rows' numbers by source and block, which no hot source can skew, and rows are then shuffled
+    once. Nulls, ties, repeated rows, empty tables and names are as for ``schedule``.
     """
     refuse(docs, ADDS[:3])
-    blocks, totals = _numbered(docs, block)
+    rows, firsts, totals = _numbered(docs)
     sources, _ = materialize(weighed(totals, block), "mix-sources")
     turns, _ = materialize(slots_of(sources), "mix-slots")
-    return blocks.join(turns, ["key", "mix_block"]).select(*_columns(docs), *ADDS[:3])
+    return _placed(rows, firsts, turns, block).select(*_columns(docs), *ADDS[:3])
 
 
 def _units(counts: dict[str, int]) -> dict[str, int]:
@@ -275,7 +294,7 @@ def spread(docs: DataFrame, block: int = 16) -> DataFrame:
     empty tables and names are as for ``schedule``.
     """
     refuse(docs, ADDS[:3])
-    blocks, totals = _numbered(docs, block)
+    rows, firsts, totals = _numbered(docs)
     ways = tree(_units({r.key: r.n for r in totals.collect()}))
     table = docs.sparkSession.createDataFrame(list(ways.items()), "key string, way array<struct<whole: bigint, own: bigint, first: boolean>>")
     slot = F.expr("""
@@ -283,7 +302,8 @@ def spread(docs: DataFrame, block: int = 16) -> DataFrame:
         (s.whole * (2 * k + 1) + 2 * s.own - 1) div (2 * s.own) - 1,
         (s.whole * (2 * k + 1)) div (2 * s.own)))
     """)
-    return blocks.join(table, "key").withColumn("mix_slot", slot).select(*_columns(docs), *ADDS[:3])
+    turns = _blocks(totals, block).join(table, "key").select("key", "mix_block", slot.alias("mix_slot"))
+    return _placed(rows, firsts, turns, block).select(*_columns(docs), *ADDS[:3])
 
 
 def lay_out(placed: DataFrame, columns: list[str]) -> DataFrame:
