@@ -2,7 +2,8 @@
 
 Line hashes are range-partitioned and sorted by document and position; a window streams over them and marks the
 first line of each document under a hash. A hash that a third of all documents hold would be one long run, so
-the range key ends in a salt of the document, and marks are summed for each hash afterwards. The plan finds for
+the range key ends in a hash of the document, so its lines spread over as many ranges as it fills and a window holds
+the lines of one document; marks are summed for each hash afterwards. The plan finds for
 each document the runs of lines it keeps (a run-length bitmap), never text; texts are cut by it at the end.
 """
 
@@ -39,10 +40,11 @@ def long_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     )
 
 
-def repeated_keys(lines: DataFrame, min_docs: int = 3, salts: int = 64) -> DataFrame:
-    """The keys (h1, h2, keeper) of lines that at least ``min_docs`` documents hold."""
+def repeated_keys(lines: DataFrame, min_docs: int = 3) -> DataFrame:
+    """The keys (h1, h2, keeper) of lines that at least ``min_docs`` documents hold. The salt is no fixed number of parts, so
+    a line that any number of documents hold leaves no window larger than the lines of the documents of one hash."""
     run = ["h1", "h2", "salt"]
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = lines.withColumn("salt", F.xxhash64("doc_id"))
     ranged = salted.repartitionByRange(*run).sortWithinPartitions(*run, F.desc("doc_id"), "pos")
     before = F.lag("doc_id").over(Window.partitionBy(*run).orderBy(F.desc("doc_id"), "pos"))
     firsts = ranged.select("h1", "h2", "doc_id", before.alias("before")).where("before is null or before <> doc_id")
