@@ -3,9 +3,10 @@
 64-bit fingerprints of word shingles link at ``radius`` or fewer differing bits. Two such fingerprints agree on
 at least ``blocks - radius`` of ``blocks`` bit blocks, so each distinct fingerprint is filed under every choice of
 ``blocks - radius`` blocks and any linked pair meets in a bucket. A bucket of more than ``shard`` fingerprints falls
-apart by its other bits, and what is still larger is dealt out in shards. Each shard has one BK-tree (children keyed by
-their Hamming distance to the parent), built once; the fingerprints of later shards of its bucket stream past it and
-follow only edges within the radius. They travel to the trees by the shuffle instead of the driver: a broadcast of all
+apart by its other bits, and what is still larger is dealt out in shards. Each shard has a BK-tree (children keyed by
+their Hamming distance to the parent); the fingerprints of later shards of its bucket come by and follow only edges
+within the radius. They come in groups of shards, each of which brings a tree of its own, so that no task has to see a
+whole bucket. They travel to the trees by the shuffle instead of the driver: a broadcast of all
 trees would pass every fingerprint through the driver and grow with the corpus. Links to a root leave, not pairs.
 """
 
@@ -29,6 +30,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SEED = 42
 _CHUNK = 1 << 16
+#: What tells cells apart: a way to choose bits, their values, a shard of the bucket and a group of its probes.
+_CELL = ("choice", "bits", "i", "probes")
 
 
 def fingerprint(text: str, size: int) -> int:
@@ -133,15 +136,15 @@ class _Shard:
 
 
 def _walk(radius: int):
-    """Rows arrive sorted by shard, first the shard's own fingerprints, then those of later shards of its bucket, which
-    stream past its tree; a task holds one tree at a time."""
+    """Rows arrive sorted by cell, first a shard's own fingerprints, then those of a group of later shards of its bucket,
+    which stream past its tree; a task holds one tree at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         shard, now = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "bits", "i")], axis=1)
+            cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _CELL], axis=1)
             second = batch.column("second").to_numpy(zero_copy_only=False)
             fp = batch.column("fp").to_numpy().view(np.uint64)
             edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist(), len(fp)] if len(fp) else []
@@ -176,9 +179,11 @@ def _split(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
 
 
-def bucket_cells(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
-    """(choice, bits, i, second, fp): each shard i of a bucket with its own fingerprints and, as ``second``, those of the
-    bucket's later shards, so that any two fingerprints within the radius meet in a cell."""
+def bucket_cells(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096, group: int = 8) -> DataFrame:
+    """(choice, bits, i, probes, second, fp): each shard i of a bucket with its own fingerprints and, as ``second``, those
+    of the bucket's later shards, so that any two fingerprints within the radius meet in a cell. Probes are dealt out by
+    groups of so many shards, each with a copy of the shard: a cell has about (group + 1) * shard rows at most, however
+    large the bucket is."""
     if not radius < blocks <= 64:
         raise ValueError("blocks must be more than the radius")
     runs = _split(list(range(64)), blocks)
@@ -198,19 +203,23 @@ def bucket_cells(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int
     met = filed.where(F.col("n") <= shard).select("fp", "choice", "bits", "n").unionByName(again.select("fp", "choice", "bits", "n"))
     shards = F.ceil(F.col("n") / shard).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
+    at = F.expr(f"mine div {group}").cast("int")
+    copies = F.sequence(at, F.expr(f"(shards - 1) div {group}").cast("int"))
+    own = F.transform(copies, lambda p: F.struct(F.col("mine").alias("i"), p.alias("probes"), F.lit(False).alias("second")))
+    earlier = F.filter(F.sequence(F.lit(0), F.col("mine")), lambda i: i < F.col("mine"))
+    probing = F.transform(earlier, lambda i: F.struct(i.alias("i"), at.alias("probes"), F.lit(True).alias("second")))
     return (
         met.withColumn("shards", shards)
         .withColumn("mine", mine)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mine"))))
-        .select("choice", "bits", "i", (F.col("mine") > F.col("i")).alias("second"), "fp")
+        .select("choice", "bits", "fp", F.inline(F.concat(own, probing)))
+        .select(*_CELL, "second", "fp")
     )
 
 
 def near_links(values: DataFrame, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
     """Links (a, b) that connect exactly the distinct ``values.fp`` within the radius of one another, transitively."""
-    key = ["choice", "bits", "i"]
     cells = bucket_cells(values, radius, blocks, shard)
-    return cells.repartition(*key).sortWithinPartitions(*key, "second", "fp").mapInArrow(_walk(radius), "a long, b long")
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "second", "fp").mapInArrow(_walk(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int = 5, shard: int = 4096) -> DataFrame:
