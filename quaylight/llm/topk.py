@@ -29,7 +29,8 @@ _FOUND = "query_id long, vec_id long, score long"
 def quantize(vectors: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """floor(scale * x) of each vector without nulls, as doubles by length: (row numbers by length, matrices).
 
-    Vectors that are null, empty, or hold a null or a number that is not finite are left out.
+    Vectors that are null, empty, or hold a null or a number that is not finite are left out. A finite one whose product
+    with the scale is beyond a double is an OverflowError: it would have scores, but none that we can tell.
     """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -41,8 +42,12 @@ def quantize(vectors: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, np.nd
     for n in np.unique(lengths):
         if n:
             at = np.flatnonzero(lengths == n)
-            m = np.floor(scale * values[starts[at][:, None] + np.arange(n)])
-            good = np.isfinite(m).all(axis=1)
+            x = values[starts[at][:, None] + np.arange(n)]
+            with np.errstate(over="ignore"):
+                m = np.floor(scale * x)
+            good = np.isfinite(x).all(axis=1)
+            if not np.isfinite(m[good]).all():
+                raise OverflowError("a component times the scale is beyond a double")
             rows[int(n)], mats[int(n)] = at[good], m[good]
     return rows, mats
 
@@ -160,7 +165,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Vectors that are null or empty or hold null or non-finite components take no part, nor do null ids. Only vectors
     of the query's length are its candidates. A repeated query row asks once; a repeated candidate row counts
-    each time. An empty table gives no rows. A score that a long can't hold is an OverflowError; all others are exact.
+    each time. An empty table gives no rows. A score that a long can't hold is an OverflowError, and so is a component that
+    a double can't hold once it is scaled; all other scores are exact.
 
     The query set is read in blocks of ``block`` rows, so what is broadcast and what the driver holds at a time is
     bounded, and each block's rows are written before the next begins. A block reads the candidates three to five
