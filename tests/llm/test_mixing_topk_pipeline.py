@@ -14,7 +14,8 @@ import corpus_pipeline
 from quaylight.llm import langid, mixing, queries, topk
 from quaylight.llm.shared import discard, materialize, scratch_dir
 
-from .test_dedup import groups_by_force, lines_by_force, plain_fingerprint
+from .test_dedup import lines_by_force
+from .test_near_copies import groups_by_force, links_by_force
 from .test_packing_tokens import check_packing
 from .util import HARD, SCHEMA, empty, hard
 
@@ -182,12 +183,9 @@ def test_line_stage(stages):
 
 def test_near_copy_stage(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
-    worded = [(d, plain_fingerprint(t)) for d, t in rows if t.strip(" \t\n\x0b\x0c\r")]
-    roots, least = groups_by_force({f for _, f in worded}), {}
-    for d, f in worded:
-        least[roots[f]] = min(least.get(roots[f], d), d)
-    kept = set(least.values()) | {d for d, t in rows if not t.strip(" \t\n\x0b\x0c\r")}
-    assert pairs(stages[3]) == sorted(((d, t) for d, t in rows if d in kept), key=repr)
+    links = links_by_force(rows)
+    least = groups_by_force(rows, links)
+    assert links and pairs(stages[3]) == sorted(((d, t) for d, t in rows if least[d] == d), key=repr)
 
 
 def test_mixture_stage(stages):
