@@ -15,6 +15,8 @@ from ..scratch import new_path
 from .folders import stamp
 
 START = 1_704_067_200 * S.SECOND  #: 2024-01-01
+LATEST = (1 << 63) - 1  #: the last instant that a long of nanoseconds tells, in April 2262
+_FIRST_EXPIRY, _BETWEEN = START + 8 * S.DAY + 17 * S.HOUR, 9 * S.DAY  #: a root's contracts expire every nine days
 TICK = 10_000_000
 _ACTIONS = {"purchase": 84, "signup": 65, "click": 67, "view": 77, "error": 82}
 
@@ -74,11 +76,16 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An instrument for each user, in five roots, and the continuous symbols of ranks 0 and 1."""
+    """An instrument for each user, in five roots, and the continuous symbols of ranks 0 and 1.
+
+    From user 48,345 on (sf0.1 times 33), contracts expire later than a long of nanoseconds can tell, and bear its last
+    instant. No rank depends on it: they are live on all days, and of equal expiries the lower id, which is the earlier contract
+    of its root, comes first.
+    """
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
     root = F.concat(F.expr("char(65 + user_id % 5)"), F.lit("X"))
     slot = F.expr("user_id div 5")
-    expiry = F.lit(START) + (slot * 9 + 8) * S.DAY + 17 * S.HOUR
+    expiry = F.when(slot <= (LATEST - _FIRST_EXPIRY) // _BETWEEN, _FIRST_EXPIRY + slot * _BETWEEN).otherwise(LATEST)
     raw = users.select(
         F.col("user_id").alias("instrument_id"),
         F.concat(root, F.lpad(slot.cast("string"), 4, "0")).alias("ticker"),
