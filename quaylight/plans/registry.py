@@ -287,10 +287,11 @@ def instrument_delete(spark: SparkSession, d: str) -> DataFrame:
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers as documents, their orders as signals, lines as instructions and as trades."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("signal_pos"), _seconds("o_orderdate").alias("timestamp"))
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    lines = li.select(F.col("l_orderkey").alias("signal_pos"), key.alias("pos"), F.col("l_partkey").cast("string").alias("ticker"), F.col("l_quantity").cast("int").alias("quantity"))
-    instructions = lines.join(orders.select("doc_id", "signal_pos"), "signal_pos")
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("signal_pos"), *key, "l_quantity")
+    # Positions and tickers are made above the join, so that all tables made of it share one exchange of plain columns.
+    met = li.join(orders.select("doc_id", "signal_pos"), "signal_pos")
+    instructions = met.select("signal_pos", F.struct(*key).alias("pos"), F.col("l_partkey").cast("string").alias("ticker"), F.col("l_quantity").cast("int").alias("quantity"), "doc_id")
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name")), orders, instructions
 
 
@@ -328,7 +329,7 @@ def _stored_documents(spark: SparkSession, d: str, kind: str) -> str:
     }
     tables = {k: v.withColumn("kind", F.lit(kind)) for k, v in tables.items() if k in results.PARTS[kind]}
     source, folder = new_path(spark, "json"), new_path(spark, "documents")
-    results.assemble(tables, kind).drop("doc_id").write.json(source)
+    results.assemble(tables, kind).drop("doc_id").write.json(source, compression="gzip")
     read = documents.read_documents(spark, source, kind, lines=True)
     # A live session has no id of its own: its account names the customer here.
     read = read.withColumn("doc_id", (F.col("metadata.backtest_id") if kind == "backtest" else F.col("account.currency")).cast("long"))
