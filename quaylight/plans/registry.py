@@ -78,17 +78,18 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return ingest.prepare(feeds.line_feed(spark, d), "lines", 0)
 
 
-def _returned(spark: SparkSession, d: str, feed: DataFrame) -> DataFrame:
-    """The events of returned lines (flag R)."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R'")
-    keys = li.select(F.col("l_orderkey").alias("sequence"), F.col("l_linenumber").cast("long").alias("discriminator")).distinct()
-    return feed.join(keys, ["sequence", "discriminator"], "left_semi")
+def _returned(spark: SparkSession, d: str) -> DataFrame:
+    """The raw records of returned lines (flag R). Lines are met before records are made of them, so that no book is shuffled."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    keys = li.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").distinct()
+    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    return feeds.line_feed(spark, d, li.select(*used).join(keys, ["l_orderkey", "l_linenumber"], "left_semi"))
 
 
 def _sent_again(spark: SparkSession, d: str) -> DataFrame:
     """All trades, and those of returned lines a second time; the first time ts_in_delta is the part, then less than 0."""
     raw = feeds.line_feed(spark, d)
-    again = _returned(spark, d, raw)
+    again = _returned(spark, d)
     part = F.col("l_partkey").cast("int")
     return ingest.prepare(raw.withColumn("ts_in_delta", part).unionByName(again.withColumn("ts_in_delta", -part - 1)), "lines", 0)
 
@@ -104,8 +105,8 @@ def dedup_load(spark: SparkSession, d: str) -> DataFrame:
 
 def load_against_store(spark: SparkSession, d: str) -> DataFrame:
     """Trades that a store of the returned lines does not hold."""
-    feed = _lines(spark, d)
-    return ingest.against_store(feed, _returned(spark, d, feed), "left_anti").select(*_LINE)
+    stored = ingest.prepare(_returned(spark, d), "lines", 0)
+    return ingest.against_store(_lines(spark, d), stored, "left_anti").select(*_LINE)
 
 
 def orphan_events(spark: SparkSession, d: str) -> DataFrame:
