@@ -116,6 +116,11 @@ def duplicate_keys(events: DataFrame) -> DataFrame:
     return events.groupBy("dataset", *S.EVENT_KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _any_twice(events: DataFrame) -> bool:
+    """Whether there are ``duplicate_keys``; whole keys are compared only if digests are equal."""
+    return eventkeys.any_equal(events) and not duplicate_keys(events).isEmpty()
+
+
 def days_of(events: DataFrame) -> list[int] | None:
     """The days of a load: a calendar's worth at most; None if there are too many to name."""
     days = [r.day for r in events.select("day").distinct().limit(MOST_DAYS + 1).collect()]
@@ -141,12 +146,42 @@ def drop_duplicates(events: DataFrame) -> DataFrame:
 
     The fingerprint is half of an event: it is kept as bytes, or as it is where it isn't lower-case hex, and the exchange goes
     by the rest of the key. Equal rest is nearly always an equal event; of others the whole key still tells."""
-    hexed = F.coalesce(F.col("order_book_hash").rlike(r"\A[0-9a-f]*\z") & (F.length("order_book_hash") % 2 == 0), F.lit(False))
-    small = events.withColumn("_bytes", F.when(hexed, F.unhex("order_book_hash"))).withColumn("order_book_hash", F.when(~hexed, F.col("order_book_hash")))
+    small = _packed(events)
     rest = ["dataset", *(c for c in S.EVENT_KEY if c != "order_book_hash")]
     arrival = Window.partitionBy(*rest, "order_book_hash", "_bytes").orderBy("rec_id")
     first = written(small, "arrived", "zstd").repartition(*rest).withColumn("_at", F.row_number().over(arrival)).where("_at = 1")
-    return first.withColumn("order_book_hash", F.coalesce("order_book_hash", F.lower(F.hex("_bytes")))).select(*events.columns)
+    return _unpacked(first).select(*events.columns)
+
+
+def _packed(events: DataFrame) -> DataFrame:
+    """The fingerprint as ``_bytes`` where it is lower-case hex; else it stays as it is."""
+    hexed = F.coalesce(F.col("order_book_hash").rlike(r"\A[0-9a-f]*\z") & (F.length("order_book_hash") % 2 == 0), F.lit(False))
+    return events.withColumn("_bytes", F.when(hexed, F.unhex("order_book_hash"))).withColumn("order_book_hash", F.when(~hexed, F.col("order_book_hash")))
+
+
+def _unpacked(events: DataFrame) -> DataFrame:
+    return events.withColumn("order_book_hash", F.coalesce("order_book_hash", F.lower(F.hex("_bytes")))).drop("_bytes")
+
+
+#: How a load's events lie: by ranges of day, instrument and time, so that a busy day is several tasks' work and files skip well.
+_PLACE = ["dataset", "day", "instrument_id", "ts_recv"]
+
+
+def _laid(packed: DataFrame) -> DataFrame:
+    return _unpacked(packed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE))
+
+
+def _laid_firsts(packed: DataFrame, held: DataFrame | None) -> DataFrame:
+    """``_laid``, with the first arrival of each event key only, and none whose key is among the ``held`` ones of the store.
+
+    Equal events have one place, so the ranges that the events are laid out by bring them together, too, and the store's
+    keys, whose ids are lower, come along: all rows move once, and the order of the window begins as that of the files."""
+    rows = packed.withColumn("_held", F.lit(False))
+    if held is not None:
+        rows = rows.unionByName(_packed(held).withColumn("_held", F.lit(True)), allowMissingColumns=True)
+    arrival = Window.partitionBy(*_PLACE, *(c for c in S.EVENT_KEY if c not in _PLACE), "_bytes").orderBy("rec_id")
+    first = rows.repartitionByRange(*_PLACE).withColumn("_at", F.row_number().over(arrival)).where("_at = 1 AND NOT _held")
+    return _unpacked(first.drop("_at", "_held")).sortWithinPartitions(*_PLACE)
 
 
 def high_water_mark(store: DataFrame, dataset: str | None = None) -> DataFrame:
@@ -328,26 +363,31 @@ def _load(lock: Lock, raw: DataFrame, store: str, instruments: DataFrame, load_i
     if not wrong_types(raw).isEmpty():
         raise Rejected(f"only records of type {RECORD_TYPE} are accepted")
     part = f"{store}/events/load_id={load_id}/attempt={attempt}"
-    events = prepare(raw, load_id, mark)
+    events = prepare(raw, load_id, mark).drop("load_id")
+    # An event of an unknown instrument rejects the load, unless it is dropped because the store has it; few are asked
+    # for that, and before anything is written.
+    unknown = not orphans(raw.select("dataset", "instrument_id").distinct(), instruments).isEmpty()
+    if unknown and (duplicates == "error" or eventkeys.any_new(orphans(events, instruments), store)):
+        raise Rejected("events of unknown instruments")
     if duplicates == "drop":
-        first = drop_duplicates(events)
-        events = first.join(eventkeys.known(first, store, stored, days_of(first)), "rec_id", "left_anti").select(*events.columns)
-    # By ranges of day, instrument and time, so that a busy day is several tasks' work and files skip well.
-    place = ["dataset", "day", "instrument_id", "ts_recv"]
-    laid = events.drop("load_id").repartitionByRange(*place).sortWithinPartitions(*place)
+        arrived = written(_packed(events), "arrived", "zstd")
+        whole = _unpacked(arrived)
+        laid = _laid_firsts(arrived, eventkeys.known(whole, store, stored, days_of(arrived)))
+    else:
+        laid = _laid(_packed(events))
     laid.write.mode("overwrite").partitionBy("dataset", "day").option("maxRecordsPerFile", records_per_file).parquet(part)
     # The checks read what was written: ids and fingerprints are made once, and a rejected load takes its files along.
     mine = spark.read.schema(S.MBP).option("basePath", f"{store}/events").parquet(part)
     try:
-        if not orphans(mine, instruments).isEmpty():
+        if unknown and not orphans(mine, instruments).isEmpty():
             raise Rejected("events of unknown instruments")
-        if duplicates == "error" and not (duplicate_keys(mine).isEmpty() and eventkeys.known(mine, store, stored, days_of(mine)).isEmpty()):
+        if duplicates == "error" and (_any_twice(mine) or eventkeys.any_known(mine, store, stored, days_of(mine))):
             raise Rejected("events that exist already or come twice")
         n, top = mine.agg(F.count("*"), F.coalesce(F.max("rec_id"), F.lit(mark))).first()
     except Rejected:
         roll_back(spark, store, load_id, attempt)
         raise
-    arrived = raw.count() if duplicates == "drop" else n
+    n_arrived = arrived.count() if duplicates == "drop" else n
     # First the keys, so that no published event lacks its own; keys without an event do no harm.
     eventkeys.add(mine, store)
     row = spark.createDataFrame([(load_id, attempt, mark, top, n)], "load_id string, attempt string, mark bigint, top bigint, n_rows bigint").withColumn("loaded_at", F.current_timestamp())
@@ -356,4 +396,4 @@ def _load(lock: Lock, raw: DataFrame, store: str, instruments: DataFrame, load_i
     for other in names(spark, f"{store}/events/load_id={load_id}"):
         if other.startswith("attempt=") and other != f"attempt={attempt}":
             roll_back(spark, store, load_id, other.removeprefix("attempt="))
-    return LoadSummary(load_id, mark, n, arrived - n, "success")
+    return LoadSummary(load_id, mark, n, n_arrived - n, "success")

@@ -18,6 +18,8 @@ from ..scratch import exists, written
 
 #: Buckets of a period, given when the table is made: as many tasks read a period, so some million keys each serve.
 BUCKETS = 16
+#: So many hits are looked up before all are.
+_FEW = 1000
 _COLUMNS = "high bigint, low bigint, rec_id bigint, day bigint, dataset string, period bigint"
 
 
@@ -61,19 +63,58 @@ def met(events: DataFrame, store: str, days: list[int] | None) -> DataFrame:
     return digested(events).select("high", "low", "rec_id").join(old, ["high", "low"]).select("rec_id", "old_id", "dataset", "day")
 
 
-def known(events: DataFrame, store: str, stored: DataFrame, days: list[int] | None) -> DataFrame:
-    """rec_id of the events whose whole key is among the ``stored`` ones of the store, once each."""
-    spark = events.sparkSession
-    if not exists(spark, f"{store}/keys"):
-        return events.select("rec_id").limit(0)
-    hits = written(met(events, store, days), "key-hits")
-    if hits.isEmpty():  # as for most loads; then no event of the store is read
-        return events.select("rec_id").limit(0)
-    old = [F.col(c).alias(f"_{c}") for c in S.EVENT_KEY]
+def _held(events: DataFrame, store: str, days: list[int] | None) -> DataFrame | None:
+    """(old_id, dataset, day) of the keys that the events' digests meet, once each; None if there is none."""
+    if not exists(events.sparkSession, f"{store}/keys"):
+        return None
+    hits = written(met(events, store, days).select("old_id", "dataset", "day").distinct(), "key-hits")
+    return None if hits.isEmpty() else hits  # none as for most loads; then no event of the store is read
+
+
+def _of(stored: DataFrame, hits: DataFrame, days: list[int] | None) -> DataFrame:
+    """rec_id, dataset, day and key of the ``stored`` events that were met; a key whose event is gone, or was never published, gives none."""
     if days is not None:
         stored = stored.where(F.col("day").isin(days))
-    named = hits.join(stored.select(F.col("rec_id").alias("old_id"), "dataset", "day", *old), ["old_id", "dataset", "day"])
-    same = named.join(events.select("rec_id", *S.EVENT_KEY), "rec_id")
-    for c in S.EVENT_KEY:
-        same = same.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
-    return same.select("rec_id").distinct()
+    named = hits.withColumnRenamed("old_id", "rec_id")
+    return stored.select("rec_id", "dataset", "day", *S.EVENT_KEY).join(named, ["rec_id", "dataset", "day"], "left_semi")
+
+
+def known(events: DataFrame, store: str, stored: DataFrame, days: list[int] | None) -> DataFrame | None:
+    """rec_id, dataset, day and key of the ``stored`` events of the store whose digests the events meet; None if there is none."""
+    hits = _held(events, store, days)
+    return None if hits is None else _of(stored, hits, days)
+
+
+def any_known(events: DataFrame, store: str, stored: DataFrame, days: list[int] | None) -> bool:
+    """Whether the whole key of an event is among the ``stored`` ones. One such event decides, so a few hits are looked up
+    first, for which neither side is shuffled, and all of them only if none of these is the same event."""
+    hits = _held(events, store, days)
+    if hits is None:
+        return False
+    few, many = F.broadcast(hits.limit(_FEW)), hits.count() > _FEW
+    if _same(events, F.broadcast(_of(stored, few, days))):
+        return True
+    return many and _same(events, _of(stored, hits, days))
+
+
+def _same(events: DataFrame, old: DataFrame) -> bool:
+    key = ["dataset", *S.EVENT_KEY]
+    old = old.select(*(F.col(c).alias(f"_{c}") for c in key))
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return not events.select(*key).join(old, whole, "left_semi").isEmpty()
+
+
+def any_equal(events: DataFrame) -> bool:
+    """Whether two events have the same digest; if none have, no key comes twice."""
+    return not digested(events).groupBy("high", "low").count().where("count > 1").isEmpty()
+
+
+def any_new(events: DataFrame, store: str) -> bool:
+    """Whether a digest of the events is not in the store, so that the store does not have the event itself."""
+    spark = events.sparkSession
+    if not exists(spark, f"{store}/keys"):
+        return not events.isEmpty()
+    stored = spark.table(table(spark, store)).select("high", "low").hint("merge")
+    return not digested(events).select("high", "low").join(stored, ["high", "low"], "left_anti").isEmpty()
