@@ -289,10 +289,12 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     """Customers as documents, their orders as signals, lines as instructions and as trades."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("signal_pos"), _seconds("o_orderdate").alias("timestamp"))
     key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("signal_pos"), *key, "l_quantity")
-    # Positions and tickers are made above the join, so that all tables made of it share one exchange of plain columns.
-    met = li.join(orders.select("doc_id", "signal_pos"), "signal_pos")
-    instructions = met.select("signal_pos", F.struct(*key).alias("pos"), F.col("l_partkey").cast("string").alias("ticker"), F.col("l_quantity").cast("int").alias("quantity"), "doc_id")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("signal_pos"), *key, F.col("l_quantity").cast("int").alias("quantity"))
+    # A line's place in its order is numbered where the order's lines meet for the join, so that no later exchange carries the
+    # key. Tickers are made above the join, so that all tables made of it share one exchange of plain columns.
+    placed = li.withColumn("pos", F.row_number().over(Window.partitionBy("signal_pos").orderBy(*key, "quantity")))
+    met = placed.join(orders.select("doc_id", "signal_pos"), "signal_pos")
+    instructions = met.select("signal_pos", "pos", F.col("l_partkey").cast("string").alias("ticker"), "quantity", "doc_id")
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name")), orders, instructions
 
 
