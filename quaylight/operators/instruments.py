@@ -13,16 +13,20 @@ class Conflict(ValueError):
     """A change that would break the dimension's rules."""
 
 
-def create_instruments(dim: DataFrame, new: DataFrame) -> DataFrame:
+def create_instruments(dim: DataFrame, new: DataFrame, namesakes: bool = False) -> DataFrame:
     """Add instruments (columns as in the dimension, without ids) under the next free ids, in order of data set and
-    ticker. Ids are unique over all data sets, tickers within one; a ticker that exists or comes twice is a Conflict."""
+    ticker. Ids are unique over all data sets, tickers within one; a ticker that exists or comes twice is a Conflict.
+    With ``namesakes``, for sources whose names are no key, one that comes twice (or is null) is an
+    instrument for each of its rows; nulls are numbered last."""
     key = ["dataset", "ticker"]
-    twice = new.groupBy(*key).count().where("count > 1").select(*key)
-    taken = new.join(dim, key, "left_semi").select(*key).unionByName(twice).limit(5).collect()
+    bad = new.join(dim, key, "left_semi").select(*key)
+    if not namesakes:
+        bad = bad.unionByName(new.groupBy(*key).count().where("count > 1").select(*key))
+    taken = bad.limit(5).collect()
     if taken:
         raise Conflict(f"tickers exist already or come twice: {[tuple(r) for r in taken]}")
     top = dim.agg(F.coalesce(F.max("instrument_id"), F.lit(0)).alias("top"))
-    added = numbered(new, key, "n").crossJoin(F.broadcast(top)).withColumn("instrument_id", F.col("top") + F.col("n"))  # one row
+    added = numbered(new, ["dataset", F.asc_nulls_last("ticker")], "n").crossJoin(F.broadcast(top)).withColumn("instrument_id", F.col("top") + F.col("n"))  # one row
     return dim.unionByName(added.select(*dim.columns))
 
 

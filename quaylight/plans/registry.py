@@ -261,14 +261,14 @@ def instruments_by_vendor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def instrument_create(spark: SparkSession, d: str) -> DataFrame:
-    """The dimension with an equity for each supplier."""
+    """The dimension with an equity for each supplier, also for those that share a name (the key is the number)."""
     dim = feeds.event_instruments(spark, d)
     new = spark.read.parquet(f"{d}/supplier.parquet").select(
         F.lit("equities").alias("dataset"), F.col("s_name").alias("ticker"), F.col("s_name").alias("name"), F.lit("east").alias("vendor"),
         F.lit(2).cast("long").alias("vendor_data"), F.lit(0).cast("long").alias("last_available"), F.lit(0).cast("long").alias("first_available"),
         F.lit(None).cast("long").alias("expiration_date"), F.lit(False).alias("is_continuous"), F.lit(True).alias("active"),
     )
-    return instruments.create_instruments(dim, new).select("dataset", "instrument_id", "ticker", "vendor", "expiration_date")
+    return instruments.create_instruments(dim, new, namesakes=True).select("dataset", "instrument_id", "ticker", "vendor", "expiration_date")
 
 
 def instrument_upsert(spark: SparkSession, d: str) -> DataFrame:
