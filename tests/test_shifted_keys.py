@@ -9,6 +9,7 @@ from quaylight.plans.sql import SQL
 _SHIFTS = (0, 60_000, 1_000_000_000, 600_000_000_000)
 _NAMES = [
     "bbo_1s_continuous",
+    "continuous_map",
 ]
 
 
