@@ -10,6 +10,7 @@ _SHIFTS = (0, 60_000, 1_000_000_000, 600_000_000_000)
 _NAMES = [
     "bbo_1s_continuous",
     "continuous_map",
+    "continuous_map_calendar",
 ]
 
 
