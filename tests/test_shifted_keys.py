@@ -11,6 +11,7 @@ _NAMES = [
     "bbo_1s_continuous",
     "continuous_map",
     "continuous_map_calendar",
+    "continuous_map_refreshed",
 ]
 
 
