@@ -12,6 +12,7 @@ _NAMES = [
     "continuous_map",
     "continuous_map_calendar",
     "continuous_map_refreshed",
+    "continuous_map_stored",
 ]
 
 
