@@ -13,6 +13,7 @@ _NAMES = [
     "continuous_map_calendar",
     "continuous_map_refreshed",
     "continuous_map_stored",
+    "continuous_map_volume",
 ]
 
 
