@@ -14,6 +14,7 @@ _NAMES = [
     "continuous_map_refreshed",
     "continuous_map_stored",
     "continuous_map_volume",
+    "mbp1_continuous",
 ]
 
 
