@@ -15,6 +15,7 @@ _NAMES = [
     "continuous_map_stored",
     "continuous_map_volume",
     "mbp1_continuous",
+    "ohlcv_1d_continuous",
 ]
 
 
