@@ -16,6 +16,7 @@ _NAMES = [
     "continuous_map_volume",
     "mbp1_continuous",
     "ohlcv_1d_continuous",
+    "ohlcv_1h_continuous",
 ]
 
 
