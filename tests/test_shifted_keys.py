@@ -17,6 +17,7 @@ _NAMES = [
     "mbp1_continuous",
     "ohlcv_1d_continuous",
     "ohlcv_1h_continuous",
+    "ohlcv_1m_continuous",
 ]
 
 
