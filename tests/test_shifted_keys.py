@@ -18,6 +18,7 @@ _NAMES = [
     "ohlcv_1d_continuous",
     "ohlcv_1h_continuous",
     "ohlcv_1m_continuous",
+    "ohlcv_1s_continuous",
 ]
 
 
