@@ -19,6 +19,7 @@ _NAMES = [
     "ohlcv_1h_continuous",
     "ohlcv_1m_continuous",
     "ohlcv_1s_continuous",
+    "rollover_count",
 ]
 
 
