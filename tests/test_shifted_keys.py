@@ -20,6 +20,7 @@ _NAMES = [
     "ohlcv_1m_continuous",
     "ohlcv_1s_continuous",
     "rollover_count",
+    "rollover_events",
 ]
 
 
