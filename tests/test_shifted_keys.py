@@ -21,6 +21,7 @@ _NAMES = [
     "ohlcv_1s_continuous",
     "rollover_count",
     "rollover_events",
+    "symbol_intervals",
 ]
 
 
