@@ -22,6 +22,7 @@ _NAMES = [
     "rollover_count",
     "rollover_events",
     "symbol_intervals",
+    "tbbo_continuous",
 ]
 
 
