@@ -23,6 +23,7 @@ _NAMES = [
     "rollover_events",
     "symbol_intervals",
     "tbbo_continuous",
+    "trades_continuous",
 ]
 
 
