@@ -24,6 +24,7 @@ _NAMES = [
     "symbol_intervals",
     "tbbo_continuous",
     "trades_continuous",
+    "window_mbp1_continuous",
 ]
 
 
