@@ -21,7 +21,7 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,10 +100,11 @@ def wrong_types(raw: DataFrame) -> DataFrame:
     return raw.where(~F.col("rtype").eqNullSafe(RECORD_TYPE))
 
 
-def prepare(raw: DataFrame, load_id: str, mark: int) -> DataFrame:
-    """Raw records → events: ids above the mark in order of arrival, the book's fingerprint, the day."""
+def prepare(raw: DataFrame, load_id: str, mark: int, arrival: Column | None = None) -> DataFrame:
+    """Raw records → events: ids above the mark in order of arrival, the book's fingerprint, the day. Records arrive as they are
+    read, unless ``arrival`` numbers them from 0."""
     return (
-        raw.withColumn("rec_id", F.monotonically_increasing_id() + mark + 1)
+        raw.withColumn("rec_id", (F.monotonically_increasing_id() if arrival is None else arrival) + mark + 1)
         .withColumn("order_book_hash", book_hash(F.coalesce("levels", F.array().cast(S.LEVELS))))
         .withColumn("day", day_of("ts_recv"))
         .withColumn("load_id", F.lit(load_id))
@@ -140,16 +141,19 @@ def orphans(events: DataFrame, instruments: DataFrame) -> DataFrame:
     return events.join(instruments.select("dataset", "instrument_id"), ["dataset", "instrument_id"], "left_anti")
 
 
-def drop_duplicates(events: DataFrame) -> DataFrame:
-    """The first arrival of each event key. Events are written once, so that their ids stay what they are; then they meet by
-    their keys in one exchange, and of each key the row with the least id stays.
+def drop_duplicates(events: DataFrame, dealt: bool = False) -> DataFrame:
+    """The first arrival of each event key: events meet by their keys in one exchange, and of each key the row with the least id
+    stays. With ``dealt``, equal events lie in one partition already (by any columns of the key), and none is moved.
+
+    Events are read once and written nowhere but in the exchange. Ids that hang on how they were read are those of that reading,
+    so a result that is needed twice is to be written.
 
     The fingerprint is half of an event: it is kept as bytes, or as it is where it isn't lower-case hex, and the exchange goes
     by the rest of the key. Equal rest is nearly always an equal event; of others the whole key still tells."""
     small = _packed(events)
-    rest = ["dataset", *(c for c in S.EVENT_KEY if c != "order_book_hash")]
+    rest = ["sequence", *(c for c in ("dataset", *S.EVENT_KEY) if c not in ("sequence", "order_book_hash"))]
     arrival = Window.partitionBy(*rest, "order_book_hash", "_bytes").orderBy("rec_id")
-    first = written(small, "arrived", "zstd").repartition(*rest).withColumn("_at", F.row_number().over(arrival)).where("_at = 1")
+    first = (small if dealt else small.repartition(*rest)).withColumn("_at", F.row_number().over(arrival)).where("_at = 1")
     return _unpacked(first).select(*events.columns)
 
 

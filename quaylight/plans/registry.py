@@ -78,20 +78,31 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return ingest.prepare(feeds.line_feed(spark, d), "lines", 0)
 
 
+#: The columns of an order line that records are made of, and those that tell it from others.
+_USED, _OF_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], ["l_orderkey", "l_linenumber"]
+
+
 def _returned(spark: SparkSession, d: str) -> DataFrame:
     """The raw records of returned lines (flag R). Lines are met before records are made of them, so that no book is shuffled."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    keys = li.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").distinct()
-    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    return feeds.line_feed(spark, d, li.select(*used).join(keys, ["l_orderkey", "l_linenumber"], "left_semi"))
+    keys = li.where("l_returnflag = 'R'").select(*_OF_LINE).distinct()
+    return feeds.line_feed(spark, d, li.select(*_USED).join(keys, _OF_LINE, "left_semi"))
 
 
 def _sent_again(spark: SparkSession, d: str) -> DataFrame:
-    """All trades, and those of returned lines a second time; the first time ts_in_delta is the part, then less than 0."""
-    raw = feeds.line_feed(spark, d)
-    again = _returned(spark, d)
+    """All trades, and after them those of returned lines (flag R) a second time; the first time ts_in_delta is the part, then
+    less than 0.
+
+    Lines move once, by order and line, before records are made of them: returned lines are met there, and equal events, whose
+    sequence and discriminator these are, are made where they meet. No book or fingerprint is shuffled."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
+    lines = li.select(*_USED, F.monotonically_increasing_id().alias("arrived")).repartition(*_OF_LINE)
+    keys = li.where("l_returnflag = 'R'").select(*_OF_LINE).distinct().withColumn("again", F.lit(True))
+    times = F.when(F.col("again"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    raw = feeds.line_feed(spark, d, lines.join(keys, _OF_LINE, "left").withColumn("time", F.explode(times)), also=["arrived", "time"])
     part = F.col("l_partkey").cast("int")
-    return ingest.prepare(raw.withColumn("ts_in_delta", part).unionByName(again.withColumn("ts_in_delta", -part - 1)), "lines", 0)
+    sent = raw.withColumn("ts_in_delta", F.when(F.col("time") == 0, part).otherwise(-part - 1))
+    return ingest.prepare(sent, "lines", 0, arrival=F.col("arrived") + F.col("time") * F.lit(1 << 62))
 
 
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +111,7 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_load(spark: SparkSession, d: str) -> DataFrame:
     """What a load that drops duplicates keeps, without the ids that arrival gives; ts_in_delta tells the first arrival."""
-    return ingest.drop_duplicates(_sent_again(spark, d)).select(*_LINE, "ts_in_delta", "order_book_hash")
+    return ingest.drop_duplicates(_sent_again(spark, d), dealt=True).select(*_LINE, "ts_in_delta", "order_book_hash")
 
 
 def load_against_store(spark: SparkSession, d: str) -> DataFrame:

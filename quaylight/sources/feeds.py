@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,13 +146,14 @@ def market(spark: SparkSession, sf_dir: str, continuous: bool = False) -> Market
     return Market(event_feed(spark, sf_dir), event_instruments(spark, sf_dir), known)
 
 
-def line_feed(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def line_feed(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, also: Iterable[str] = ()) -> DataFrame:
     """Trades of equities from ``lineitem``, or some ``lines`` of it, as raw records: the supplier is the instrument, seconds are
-    spread over the ship day. The order key, line number and part make up sequence, discriminator and flags."""
+    spread over the ship day. The order key, line number and part make up sequence, discriminator and flags. Columns of the
+    lines in ``also`` are kept."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet") if lines is None else lines
     price = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long") * TICK
     at = _nanos("l_shipdate") + ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 86400) * S.SECOND
-    base = li.select(price.alias("price"), at.alias("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    base = li.select(price.alias("price"), at.alias("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *also)
     one = F.struct(
         F.lit(0).alias("depth"),
         (F.col("price") - TICK).alias("bid_px"),
@@ -176,6 +179,7 @@ def line_feed(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None)
         F.col("l_linenumber").cast("long").alias("discriminator"),
         F.array(one).alias("levels"),
         "l_partkey",
+        *also,
     )
 
 
