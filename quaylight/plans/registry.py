@@ -80,6 +80,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 #: The columns of an order line that records are made of, and those that tell it from others.
 _USED, _OF_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], ["l_orderkey", "l_linenumber"]
+#: Order lines that one task makes records of, some more or less, at about 500 bytes of memory each.
+_LINES_A_PART = 250_000
 
 
 def _returned(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +96,13 @@ def _sent_again(spark: SparkSession, d: str) -> DataFrame:
     less than 0.
 
     Lines move once, by order and line, before records are made of them: returned lines are met there, and equal events, whose
-    sequence and discriminator these are, are made where they meet. No book or fingerprint is shuffled."""
+    sequence and discriminator these are, are made where they meet. No book or fingerprint is shuffled. Parts are small enough to
+    be sorted in memory."""
     li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
-    lines = li.select(*_USED, F.monotonically_increasing_id().alias("arrived")).repartition(*_OF_LINE)
-    keys = li.where("l_returnflag = 'R'").select(*_OF_LINE).distinct().withColumn("again", F.lit(True))
+    parts = -(-li.count() // _LINES_A_PART)
+    deal = [parts, *_OF_LINE] if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else _OF_LINE
+    lines = li.select(*_USED, F.monotonically_increasing_id().alias("arrived")).repartition(*deal)
+    keys = li.where("l_returnflag = 'R'").select(*_OF_LINE).repartition(*deal).distinct().withColumn("again", F.lit(True))
     times = F.when(F.col("again"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     raw = feeds.line_feed(spark, d, lines.join(keys, _OF_LINE, "left").withColumn("time", F.explode(times)), also=["arrived", "time"])
     part = F.col("l_partkey").cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylight import schema as S
 from quaylight.operators import ingest
+from quaylight.plans import registry
 from quaylight.plans.registry import QUERIES
 from quaylight.scratch import exists, scratch_dir
 from quaylight.sources.folders import names
@@ -23,7 +24,15 @@ def test_no_fingerprint_is_moved_or_written(spark):
     df = QUERIES["dedup_load"](spark, DATA)
     moves = [line for line in plan(df).splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
     assert df.count() > 0 and held() == before
-    assert moves and all("hashpartitioning(l_orderkey" in line for line in moves) and sum("REPARTITION" in line for line in moves) == 1
+    assert len(moves) == 2 and all("hashpartitioning(l_orderkey" in line for line in moves)  # lines, and the keys of returned ones
+
+
+def test_many_lines_are_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_LINES_A_PART", 500)
+    df = QUERIES["dedup_load"](spark, DATA)
+    n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert n > 4 and plan(df).count(f", {n}), REPARTITION_BY_NUM") == plan(df).count("Exchange hashpartitioning") == 2
+    assert df.rdd.getNumPartitions() == n
 
 
 def test_first_arrivals_of_awkward_lines(spark, tmp_path):
