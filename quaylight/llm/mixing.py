@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -311,6 +312,32 @@ def lay_out(placed: DataFrame, columns: list[str]) -> DataFrame:
     return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*columns)
 
 
+#: What ``standing`` adds, with types.
+STANDS = {"mix_part": "long", "mix_file": "string", "mix_row": "long"}
+
+
+def standing(docs: DataFrame) -> DataFrame:
+    """``docs`` and where each row stands in the files that ``lay_out`` was written to: mix_part, mix_file, mix_row. Files are read
+    in an order of their own, but each holds its rows in theirs, and its name has the number of the task that wrote it. Rows that
+    come from no Parquet file stand as they come."""
+    refuse(docs, STANDS)
+    part = F.expr("coalesce(try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS bigint), -1L)")
+    try:
+        return docs.select("*", part.alias("mix_part"), F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return docs.select("*", F.shiftright(at, 33).alias("mix_part"), F.lit("").alias("mix_file"), at.bitwiseAND((1 << 33) - 1).alias("mix_row"))
+
+
+def runs(stood: DataFrame, size: int) -> DataFrame:
+    """``stood``, rows with the columns of ``standing``, and ``run``: which ``size`` rows of that order each is among. No row is
+    moved or sorted for it; the window sees a row for each file."""
+    files = stood.groupBy("mix_part", "mix_file").agg((F.max("mix_row") + 1).alias("_n"))
+    before = Window.orderBy("mix_part", "mix_file").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = files.select("mix_part", "mix_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return stood.join(shifts, ["mix_part", "mix_file"]).withColumn("run", F.expr(f"(_before + mix_row) div {size}")).drop("_before")
+
+
 def in_order(docs: DataFrame, **how) -> DataFrame:
     """The same rows and columns, laid out in the order of the schedule."""
     return lay_out(schedule(docs, **how), docs.columns)
